@@ -38,5 +38,6 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 def ratio(num: Column, den: Column) -> Column:
     """num / den as clipping to [0, 1] sees it: x/0 is 1 or 0 by sign, 0/0 is null; never an error."""
-    safe = F.when(den != 0, num / F.when(den != 0, den))
-    return F.when(den == 0, F.when(num > 0, 1.0).when(num < 0, 0.0)).otherwise(F.least(F.greatest(safe, F.lit(0.0)), F.lit(1.0)))
+    safe = num / F.when(den != 0, den)
+    clipped = F.when(safe.isNotNull(), F.least(F.greatest(safe, F.lit(0.0)), F.lit(1.0)))  # least and greatest pass over nulls
+    return F.when(den == 0, F.when(num > 0, 1.0).when(num < 0, 0.0)).otherwise(clipped)

@@ -28,7 +28,7 @@ def relative_metrics(df: DataFrame, price: str | None = None) -> DataFrame:
     known = F.col(EVENT).isNotNull()
     return df.withColumns({
         "peso_aforo": ratio(F.col("dn_quota").cast("double"), F.col("performance_quota").cast("double")),
-        "ratio_precio_max": F.when(known, F.when(F.col("_top") > 0, F.least(absolute / F.when(F.col("_top") > 0, F.col("_top")), F.lit(1.0))).otherwise(F.when(F.col("_top").isNotNull(), 0.0))),
+        "ratio_precio_max": F.when(known & absolute.isNotNull(), F.when(F.col("_top") > 0, F.least(absolute / F.when(F.col("_top") > 0, F.col("_top")), F.lit(1.0))).otherwise(F.when(F.col("_top").isNotNull(), 0.0))),
         "ratio_precio_mean": F.when(known, F.when(F.col("_mean") > 0, absolute / F.when(F.col("_mean") > 0, F.col("_mean"))).otherwise(F.when(F.col("_mean").isNotNull(), 1.0))),
         "percentil_precio_evento": F.when(known, F.col("_pct")),
         "tasa_ocupacion": ratio(paid + free, quota), "tasa_venta_paga": ratio(paid, quota),

@@ -26,7 +26,7 @@ tagged AS (SELECT * EXCLUDE (r), CASE WHEN r IS NULL AND NOT net_sold_p_qty <= d
 RANK_SQL = "CASE WHEN med_base_unit_amt_itx IS NOT NULL THEN (rank() OVER (PARTITION BY t_performance_id ORDER BY med_base_unit_amt_itx ASC NULLS LAST) + (count(med_base_unit_amt_itx) OVER (PARTITION BY t_performance_id, med_base_unit_amt_itx) - 1) / 2.0) / count(med_base_unit_amt_itx) OVER (PARTITION BY t_performance_id) END"
 METRICS_SQL = f"""{INV_SQL}, w AS (SELECT *, max(abs(med_base_unit_amt_itx)) OVER (PARTITION BY t_performance_id) AS top, avg(abs(med_base_unit_amt_itx)) OVER (PARTITION BY t_performance_id) AS mean, {RANK_SQL} AS pct FROM inv),
 metrics AS (SELECT *, least(greatest(dn_quota / performance_quota, 0), 1) AS peso_aforo,
- CASE WHEN top > 0 THEN least(abs(med_base_unit_amt_itx) / top, 1) WHEN top IS NOT NULL THEN 0 END AS ratio_precio_max, CASE WHEN mean > 0 THEN abs(med_base_unit_amt_itx) / mean WHEN mean IS NOT NULL THEN 1 END AS ratio_precio_mean,
+ CASE WHEN med_base_unit_amt_itx IS NULL THEN NULL WHEN top > 0 THEN least(abs(med_base_unit_amt_itx) / top, 1) WHEN top IS NOT NULL THEN 0 END AS ratio_precio_max, CASE WHEN mean > 0 THEN abs(med_base_unit_amt_itx) / mean WHEN mean IS NOT NULL THEN 1 END AS ratio_precio_mean,
  pct AS percentil_precio_evento, least(greatest((net_sold_p_qty + net_sold_c_qty) / dn_quota, 0), 1) AS tasa_ocupacion, least(greatest(net_sold_p_qty / dn_quota, 0), 1) AS tasa_venta_paga,
  CASE WHEN net_sold_p_qty + net_sold_c_qty > 0 THEN net_sold_c_qty / (net_sold_p_qty + net_sold_c_qty) ELSE 0 END AS ratio_cortesias FROM w)"""
 METRICS = ["peso_aforo", "ratio_precio_max", "ratio_precio_mean", "percentil_precio_evento", "tasa_ocupacion", "tasa_venta_paga", "ratio_cortesias"]
