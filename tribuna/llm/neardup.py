@@ -6,10 +6,11 @@
    threshold shares at least `need` retained values (all but one chance in 10^7; certain where a sketch is the whole set),
    so each node enters only the lists of its rarest values, all but need - 1 of them. Passages that many texts share drop out.
 3. Each list is ordered from its most connected node on. A node is paired with the list's first node and the NEAR nodes
-   before it: a number of pairs in proportion to the lists. Longer lists are swept block by block for the pairs that could
-   still link: both nodes linked to the first node already are in one component, and sizes of intersections with the first
-   node, known by then, and the sketches bound what a pair can reach. Only pairs that may pass are given; no list is paired out.
-4. The union sketch estimates each pair's similarity; pairs that stay are verified on full shingle sets.
+   before it: a number of pairs in proportion to the lists. The union sketch estimates each pair's similarity; pairs that stay
+   are verified on full shingle sets.
+4. Longer lists are then swept for links of nodes that are not linked to the first one, on full sets, block against block;
+   what each has in common with the first node bounds what two can reach. A block gives a spanning forest of its links, so no
+   list is paired out.
 5. Components are found by alternating large-star and small-star steps over the links; every step is a table in the
    shared folder. Nothing but counters comes to the driver.
 
@@ -36,8 +37,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Retained values, those that a pair at the threshold shares at least, nodes before it that a node is paired with.
 SKETCH, NEED, NEAR = 64, 30, 8
-#: Rows of a block of a long list.
-BLOCK = 512
+#: Rows and shingles of a block of a long list.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: Hashes of words that a worker keeps.
+KEPT_WORDS = 300_000
 
 _WORD = re.compile(WORD)
 _UPPER = {ord("A") + i: ord("a") + i for i in range(26)}
@@ -73,7 +76,7 @@ class Hasher:
     def get(self, word: str) -> int:
         h = self.kept.get(word)
         if h is None:
-            if len(self.kept) > 1_000_000:
+            if len(self.kept) > KEPT_WORDS:
                 self.kept.clear()
             self.kept[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -204,53 +207,71 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(both.mapInPandas(exact, "a long, b long, both long, n_a long, n_b long"), "verified")
 
 
-def sweep_pairs(lists: DataFrame, tops: DataFrame, nodes: DataFrame, verified: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Further pairs of long lists that may link, found block against block."""
+def shingle_sets(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, grams (its sorted shingle hashes as bytes) of the wanted nodes."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "grams": [hasher.shingles(words_of(t)).tobytes() for t in batch["text"]]})
+
+    return texts.join(wanted, "node").mapInPandas(make, "node long, grams binary")
+
+
+def sweep_links(lists: DataFrame, tops: DataFrame, nodes: DataFrame, texts: DataFrame, verified: DataFrame, rows_a_block: int = BLOCK, shingles_a_block: int = BLOCK_SHINGLES) -> DataFrame:
+    """a, b: further links of long lists, enough of them to connect what is connected.
+
+    Lists with the same first node are one unit, so a node is sent once a unit and not once a list. A unit's open nodes, those
+    not linked to its first node, are compared with all its nodes on full sets, block against block; each block gives a
+    spanning forest of the links it finds, so what comes out grows with the nodes and not with their pairs."""
     known = verified.select("a", "b", "both").unionByName(verified.select(F.col("b").alias("a"), F.col("a").alias("b"), "both"))
-    rows = lists.select("value", "node", "n").join(tops, "value")
+    members = lists.join(tops, "value").select("first", "node", "n").distinct()
     sizes = nodes.select(F.col("node").alias("first"), F.col("n").alias("n_first"))
-    rows = rows.join(known.select(F.col("a").alias("first"), F.col("b").alias("node"), "both"), ["first", "node"], "left").join(sizes, "first")
+    rows = members.join(known.select(F.col("a").alias("first"), F.col("b").alias("node"), "both"), ["first", "node"], "left").join(sizes, "first")
     both = F.when(F.col("node") == F.col("first"), F.col("n")).otherwise(F.coalesce("both", F.lit(-1)))
-    linked = (both >= 0) & (both * DENOMINATOR >= NUMERATOR * (F.col("n") + F.col("n_first") - both))
-    rows = rows.withColumn("both", both).withColumn("linked", linked)
-    open_ = rows.where(~F.col("linked")).groupBy("value").agg(F.count("*").alias("u"))
-    rows = rows.join(open_, "value").withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("nu", F.ceil(F.col("u") / block).cast("int"))
+    linked = (F.col("both") >= 0) & (F.col("both") * DENOMINATOR >= NUMERATOR * (F.col("n") + F.col("n_first") - F.col("both")))
+    rows = materialise(rows.withColumn("both", both).withColumn("linked", linked).select("first", "node", "n", "both", "linked"), "members")
+    blocks = lambda count, shingles: F.greatest(F.ceil(count / rows_a_block), F.ceil(shingles / shingles_a_block)).cast("int")
+    is_open = ~F.col("linked")
+    shape = rows.groupBy("first").agg(blocks(F.count("*"), F.sum("n")).alias("nb"), F.count_if(is_open).alias("u"), F.greatest(F.lit(1), blocks(F.count_if(is_open), F.sum(F.when(is_open, F.col("n")).otherwise(0)))).alias("nu")).where("u > 0")
+    rows = rows.join(shape, "first")
     h = F.xxhash64("node")
-    left = rows.where(~F.col("linked")).withColumn("xb", F.pmod(h, F.col("nu"))).withColumn("yb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    right = rows.withColumn("yb", F.pmod(h, F.col("nb"))).withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("nu") - 1)))
-    shape = ["value", F.col("xb").cast("int").alias("xb"), F.col("yb").cast("int").alias("yb"), "node", "n", "both", "linked"]
-    units = left.select(*shape, F.lit(True).alias("open")).unionByName(right.select(*shape, F.lit(False).alias("open")))
-    units = units.join(nodes.select("node", "sketch"), "node")
+    left = rows.where(is_open).withColumn("xb", F.pmod(h, F.col("nu")).cast("int")).withColumn("yb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    right = rows.withColumn("yb", F.pmod(h, F.col("nb")).cast("int")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("nu") - 1)))
+    columns = ["first", "xb", "yb", "node", "n", "both", "linked"]
+    units = left.select(*columns, F.lit(True).alias("open")).unionByName(right.select(*columns, F.lit(False).alias("open")))
+    units = units.join(materialise(shingle_sets(rows.select("node").distinct(), texts), "sets"), "node")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x, y = group[group["open"]], group[~group["open"]]
-        got = _block_pairs(x, y) if len(x) and len(y) else []
-        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(_block_links(x, y, key[0]) if len(x) and len(y) else [], columns=["a", "b"], dtype="int64")
 
-    return units.groupBy("value", "xb", "yb").applyInPandas(compare, "a long, b long").distinct()
+    return units.groupBy("first", "xb", "yb").applyInPandas(compare, "a long, b long")
 
 
-def _block_pairs(x: pd.DataFrame, y: pd.DataFrame) -> list[tuple[int, int]]:
-    """Pairs of a block of open nodes with a block of a list that may reach the threshold."""
+def _block_links(x: pd.DataFrame, y: pd.DataFrame, first: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between a block of open nodes and a block of their unit."""
     nx, ny = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
     bx, by = x["both"].to_numpy()[:, None], y["both"].to_numpy()[None, :]
     # what two sets can have in common, from what each has in common with the first node; -1 is unknown
     bound = np.where((bx >= 0) & (by >= 0), np.minimum(bx, by) + np.minimum(nx - bx, ny - by), np.minimum(nx, ny))
     bound = np.minimum(bound, np.minimum(nx, ny))
-    may = DENOMINATOR * bound >= NUMERATOR * (nx + ny - bound)
-    ids_x, ids_y = x["node"].to_numpy()[:, None], y["node"].to_numpy()[None, :]
-    may &= (ids_x != ids_y) & (y["linked"].to_numpy()[None, :] | (ids_x < ids_y))
-    if not may.any():
+    ids_x, ids_y = x["node"].to_numpy(), y["node"].to_numpy()
+    in_y = y["linked"].to_numpy()
+    may = (DENOMINATOR * bound >= NUMERATOR * (nx + ny - bound)) & (ids_x[:, None] != ids_y[None, :]) & (in_y[None, :] | (ids_x[:, None] < ids_y[None, :]))
+    keep_x, keep_y = may.any(axis=1), may.any(axis=0)
+    if not keep_x.any():
         return []
-    sx, sy = x["sketch"].tolist(), y["sketch"].tolist()
-    vx, vy = np.concatenate(sx), np.concatenate(sy)
-    values = np.intersect1d(vx, vy)
+    may, ids_x, ids_y, in_y = may[keep_x][:, keep_y], ids_x[keep_x], ids_y[keep_y], in_y[keep_y]
+    sides = []
+    for frame, keep in ((x, keep_x), (y, keep_y)):
+        sets = [np.frombuffer(g, np.int64) for g in frame["grams"].to_numpy()[keep]]
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(g) for g in sets]), len(sets)))
+    values = np.intersect1d(sides[0][0], sides[1][0])
     shared = np.zeros(may.shape, dtype=np.float32)
-    rx, ry = np.repeat(np.arange(len(sx)), [len(s) for s in sx]), np.repeat(np.arange(len(sy)), [len(s) for s in sy])
     for at in range(0, len(values), 4096):
-        part = values[at : at + 4096]
-        tables = []
-        for v, r, n in ((vx, rx, len(sx)), (vy, ry, len(sy))):
+        part, tables = values[at : at + 4096], []
+        for v, r, n in sides:
             col = np.searchsorted(part, v)
             col[col == len(part)] = 0
             own = part[col] == v
@@ -258,11 +279,24 @@ def _block_pairs(x: pd.DataFrame, y: pd.DataFrame) -> list[tuple[int, int]]:
             m[r[own], col[own]] = 1
             tables.append(m)
         shared += tables[0] @ tables[1].T
-    need = lambda n: np.where(n <= SKETCH, -(-NUMERATOR * n // DENOMINATOR), NEED)
-    may &= shared >= np.minimum(need(nx), need(ny))
-    i, j = np.nonzero(may)
-    a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
-    return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+    shared = np.rint(shared).astype(np.int64)
+    hit = may & (DENOMINATOR * shared >= NUMERATOR * (nx[keep_x] + ny[:, keep_y] - shared))
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.setdefault(i, i) != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(hit)):
+        a, b = int(ids_x[i]), int(ids_y[j])
+        ra, rb = find(a), find(int(first) if in_y[j] else b)  # all that is linked to the first node is one component
+        if ra != rb:
+            root[ra] = rb
+            out.append((min(a, b), max(a, b)))
+    return out
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -296,10 +330,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(docs[id_col].cast("long").alias("node"), docs[text_col].alias("text")).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
     pairs, tops = near_pairs(lists)
     first = verify(pairs, nodes, texts)
-    more = sweep_pairs(lists, tops, nodes, first).join(first, ["a", "b"], "left_anti")
-    second = verify(materialise(more, "more"), nodes, texts)
-    links = first.unionByName(second).where(F.col("both") * DENOMINATOR >= NUMERATOR * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
-    found = components(links)
+    links = first.where(F.col("both") * DENOMINATOR >= NUMERATOR * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    found = components(links.unionByName(sweep_links(lists, tops, nodes, texts, first)))
     # rows of a node, and ids that stand on several nodes, go to the node's component
     named = rows.where("digest IS NOT NULL").join(nodes.select("digest", "node"), "digest").select("id", "n", "node").join(found, "node", "left")
     named = named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
