@@ -13,6 +13,7 @@ from ..operators import hierarchy as H
 from ..operators import metrics as M
 from ..operators import relative as R
 from ..operators import space as S
+from ..sources.scratch import materialise
 from ..streaming import drift as W
 from .common import Registry, rounded
 from .domain import inventory, table
@@ -32,8 +33,10 @@ def vectors(spark, sf_dir):
     return e.select("vec_id", "label", F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("features"), (F.col("vec_id") % 5).alias("other"))
 
 
+@lru_cache(maxsize=4)
 def metrics(spark, sf_dir):
-    return T.with_text_features(R.relative_metrics(typed(spark, sf_dir)))
+    """Enriched rows, computed once a session: fits and predictions read them many times."""
+    return materialise(T.with_text_features(R.relative_metrics(typed(spark, sf_dir))), "enriched")
 
 
 @query(f"WITH {VEC_SQL}, c AS (SELECT vec_id AS c, v AS cv FROM vec WHERE vec_id < 5), d AS (SELECT vec_id, c, sqrt(list_sum(list_transform(range(1, 9), lambda i: (v[i] - cv[i]) * (v[i] - cv[i])))) AS d FROM vec, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS k FROM d) SELECT vec_id, CAST(max(CASE WHEN k = 1 THEN c END) AS INT) AS cluster, CAST(max(CASE WHEN k = 2 THEN c END) AS INT) AS second, round(max(CASE WHEN k = 1 THEN d END), 6) + 0.0 AS d1, round((max(CASE WHEN k = 2 THEN d END) - max(CASE WHEN k = 1 THEN d END)) / (max(CASE WHEN k = 2 THEN d END) + 1e-9), 6) AS margin FROM r GROUP BY vec_id")
@@ -245,8 +248,9 @@ def two_stage_train(spark, sf_dir):
     return spark.createDataFrame([(i, lab, float(w)) for i, (lab, w) in enumerate(zip(m.labels, m.weights))], "cluster int, arquetipo_demanda string, weight double")
 
 
+@lru_cache(maxsize=4)
 def predicted(spark, sf_dir):
-    return K.predict_two_stage(metrics(spark, sf_dir), _model(spark, sf_dir))
+    return materialise(K.predict_two_stage(metrics(spark, sf_dir), _model(spark, sf_dir)), "predicted")
 
 
 @query()
