@@ -21,6 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows that go to a Python worker at once: texts may be long, and a batch is held several times over.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch, unless the session bounds them more tightly."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for one run of one step, so that reruns and parallel queries never meet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -29,6 +40,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

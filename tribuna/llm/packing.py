@@ -33,7 +33,7 @@ SEQUENCE, END_ID, WINDOWS = 2048, 1, 64
 LEAST_CUT = 8
 #: So many partitions' leftovers are merged together.
 MERGED_PARTITIONS = 64
-KEPT_WORDS, KEPT_LENGTH = 1_000_000, 64
+KEPT_WORDS, KEPT_LENGTH = 500_000, 64
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bounds of the sample, number of hash buckets, EM steps, gradient steps.
 LABELLED, UNLABELLED, BUCKETS, EM_STEPS, FIT_STEPS = 8000, 2000, 1 << 18, 30, 300
 #: A feature has weight if its share differs between the classes by so many standard errors; and a lexicon's terms.
@@ -38,6 +40,8 @@ INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "p
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[%$&*#@^~]{2,}")
 BEGINNING = 4
+#: Buckets of words that a worker keeps.
+KEPT_WORDS = 300_000
 
 
 def measures(text: str, words: list[str], lower: str) -> dict[str, float]:
@@ -85,7 +89,7 @@ class Reader:
     def bucket(self, name: str) -> int:
         b = self.kept.get(name)
         if b is None:
-            if len(self.kept) > 800_000:
+            if len(self.kept) > KEPT_WORDS:
                 self.kept.clear()
             self.kept[name] = b = bucket(name)
         return b
@@ -164,6 +168,7 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, steps: int = FIT_STEP
 
 def fit_scorers(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> dict:
     """{"quality": (weights, intercept), "toxic": ...} from a bounded sample."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     near = lambda rate: F.pmod(F.xxhash64("id"), F.lit(1 << 24)) < int(min(1.0, rate) * (1 << 24))
     if labels is not None:
@@ -207,6 +212,7 @@ def fit_scorers(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id
 
 def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, quality_score, toxic_score, kept of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
