@@ -32,6 +32,8 @@ from .common import small_batches
 LABELLED, UNLABELLED, BUCKETS, EM_STEPS, FIT_STEPS = 8000, 2000, 1 << 18, 30, 300
 #: A feature has weight if its share differs between the classes by so many standard errors; and a lexicon's terms.
 SCREEN, LEXICON_ROWS, LEXICON_RATE = 5.0, 3, 0.8
+#: The same for the few dozen binned measures.
+BIN_SCREEN = 3.0
 #: Least quality and, exclusive, most toxicity of a row that is kept.
 THRESHOLD, TOXIC_THRESHOLD = 0.5, 0.7
 #: Insults of the lexicon labeller.
@@ -116,27 +118,31 @@ def quality_votes(m: dict[str, float]) -> list[int]:
     return out
 
 
-def weak_labels(votes: np.ndarray, prior: float = 0.5, steps: int = EM_STEPS) -> np.ndarray:
-    """P(class 1) of each row from votes (rows x labellers of -1, 0, 1) by EM over the labellers' rates."""
-    if not len(votes):
+def weak_labels(votes: np.ndarray, steps: int = EM_STEPS) -> np.ndarray:
+    """P(sound) of each row from votes (rows x labellers of -1, 0, 1) by EM over the labellers' rates of votes.
+
+    Faults are of different kinds, and a labeller that sees one kind votes "for" on the others; so the unsound are a mixture of
+    one hidden kind for each labeller, started at the rows that it votes against, beside the one class of sound rows."""
+    n, labellers = votes.shape
+    if not n:
         return np.zeros(0)
     said = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
-    ones, zeros = (votes == 1).sum(1), (votes == -1).sum(1)
-    # start: one vote against counts as much as all votes for, since few labellers see a given fault
-    p = np.where(zeros > 0, 0.1, np.where(ones > 0, 0.9, prior))
+    against = said[:, :, 0]
+    faults = against.sum(axis=1, keepdims=True)
+    w = np.concatenate([np.where(faults > 0, 0.05, 0.95), np.where(faults > 0, 0.95 * against / np.maximum(faults, 1), 0.05 / labellers)], axis=1)
     for _ in range(steps):
-        w = np.stack([1 - p, p], axis=1)
-        rates = np.einsum("rc,rlv->clv", w, said) + 1.0
+        rates = np.einsum("rc,rlv->clv", w, said) + 0.5
+        for k in range(labellers):
+            rates[k + 1, k, 0] += 20.0  # a kind is what its own labeller votes against
         rates /= rates.sum(axis=2, keepdims=True)
-        share = (w.sum(0) + 1) / (len(votes) + 2)
+        share = (w.sum(axis=0) + 1) / (n + labellers + 1)
         score = np.einsum("rlv,clv->rc", said, np.log(rates)) + np.log(share)
-        score -= score.max(1, keepdims=True)
-        w = np.exp(score)
-        p = w[:, 1] / w.sum(1)
-    return p
+        w = np.exp(score - score.max(axis=1, keepdims=True))
+        w /= w.sum(axis=1, keepdims=True)
+    return w[:, 0]
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, steps: int = FIT_STEPS) -> tuple[dict[int, float], float]:
+def fit_linear(rows: list[np.ndarray], target: np.ndarray, screen: float = SCREEN, steps: int = FIT_STEPS) -> tuple[dict[int, float], float]:
     """({bucket: weight}, intercept) of a logistic scorer on screened features. rows: buckets of each row, distinct."""
     n = len(rows)
     if n == 0 or target.sum() < 0.5 or (1 - target).sum() < 0.5:
@@ -147,7 +153,7 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, steps: int = FIT_STEP
     c1, c0 = (np.bincount(ids, weights=w[at], minlength=BUCKETS) for w in (target, 1 - target))
     share = (c1 + c0) / n
     z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1 / n**2) * (1 / n1 + 1 / n0))
-    kept = np.flatnonzero((np.abs(z) > SCREEN) & (c1 + c0 >= LEXICON_ROWS))
+    kept = np.flatnonzero((np.abs(z) > screen) & (c1 + c0 >= LEXICON_ROWS))
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
     col = place[ids]
@@ -207,7 +213,7 @@ def fit_scorers(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id
     toxic = 1 - weak_labels(-toxic_votes)
     good = weak_labels(votes[:, :-2])
     every = [np.concatenate(x) for x in zip(words, begins, bins)]
-    return {"quality": fit_linear(bins, good), "toxic": fit_linear(every, toxic)}
+    return {"quality": fit_linear(bins, good, BIN_SCREEN), "toxic": fit_linear(every, toxic)}
 
 
 def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
