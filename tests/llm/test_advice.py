@@ -1,0 +1,28 @@
+"""Cases of the advice of round 1."""
+
+import random
+
+from tribuna.llm import neardup
+
+
+def docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_near_duplicates_with_one_whole_sketch(spark):
+    """Texts of 49 to 64 shingles and the same with words appended, up to the threshold: every such pair is linked."""
+    rnd, texts, hasher = random.Random(11), [], neardup.Hasher()
+    for n in range(49, 65):
+        for m in sorted({65, 75, 4 * n // 3}):
+            if m > 4 * n // 3 or m < 65:
+                continue
+            for _ in range(4):
+                words = [f"w{rnd.randrange(10**9)}" for _ in range(m + 4)]
+                texts += [" ".join(words[: n + 4]), " ".join(words)]
+    sets = [hasher.shingles(neardup.words_of(t)) for t in texts]
+    assert all(neardup.reaches(neardup.common(a, b), len(a), len(b)) for a, b in zip(sets[::2], sets[1::2]))
+    # what `needed` promises holds for the sketches of both
+    for a, b in zip(sets[::2], sets[1::2]):
+        assert neardup.common(a[: neardup.SKETCH], b[: neardup.SKETCH]) >= max(neardup.needed(len(a)), neardup.needed(len(b)))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}

@@ -3,8 +3,8 @@
 1. Texts with equal word sequences are one node. A node has the set of its 64-bit shingle hashes and, as its sketch, the
    SKETCH smallest of them.
 2. Inverted lists: retained values that several nodes share, with the nodes that have them. A pair that reaches the
-   threshold shares at least `need` retained values (all but one chance in 10^7; certain where a sketch is the whole set),
-   so each node enters only the lists of its rarest values, all but need - 1 of them. Passages that many texts share drop out.
+   threshold shares at least `need` retained values (certain where one sketch is the whole set, by counting what the other
+   may have left out; all but one chance in 10^7 where neither is), so each node enters only the lists of its rarest values, all but need - 1 of them. Passages that many texts share drop out.
 3. Each list is ordered from its most connected node on. A node is paired with the list's first node and the NEAR nodes
    before it: a number of pairs in proportion to the lists. The union sketch estimates each pair's similarity; pairs that stay
    are verified on full shingle sets.
@@ -99,8 +99,14 @@ def reaches(both: int, a: int, b: int) -> bool:
 
 
 def needed(n: int) -> int:
-    """Retained values that a node of n shingles shares at least with any node at the threshold."""
-    return -(-NUMERATOR * n // DENOMINATOR) if n <= SKETCH else NEED
+    """Retained values that a node of n shingles shares at least with any node at the threshold.
+
+    A node of m shingles has at least NUMERATOR (n + m) / (NUMERATOR + DENOMINATOR) in common with it, of which it leaves
+    m - SKETCH out of its sketch at most."""
+    if n > SKETCH:
+        return NEED
+    sizes = range(-(-NUMERATOR * n // DENOMINATOR), DENOMINATOR * n // NUMERATOR + 1)
+    return min(-(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR)) - max(0, m - SKETCH) for m in sizes)
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -135,7 +141,8 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     hits = retained.join(shared, "value")
     per = hits.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("hits"))  # SKETCH at most
     kept = F.least(F.col("n"), F.lit(SKETCH).cast("long"))
-    need = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)).otherwise(F.lit(NEED))
+    small = F.array(*[F.lit(needed(n)) for n in range(1, SKETCH + 1)])
+    need = F.when(F.col("n") <= SKETCH, F.element_at(small, F.col("n").cast("int"))).otherwise(F.lit(NEED))
     room = (kept - need + 1 - (kept - F.size("hits"))).cast("int")  # values that nothing shares are the rarest
     per = per.withColumn("room", room).where("room > 0").withColumn("weight", F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["df"]))
     return per.select("node", "n", "weight", F.explode(F.slice("hits", F.lit(1), F.col("room"))).alias("hit")).select(F.col("hit.value").alias("value"), F.col("hit.df").alias("df"), "node", "n", "weight")
