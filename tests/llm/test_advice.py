@@ -1,8 +1,9 @@
 """Cases of the advice of round 1."""
 
 import random
+import string
 
-from tribuna.llm import neardup
+from tribuna.llm import neardup, secretscan
 
 
 def docs(spark, texts):
@@ -26,3 +27,20 @@ def test_near_duplicates_with_one_whole_sketch(spark):
         assert neardup.common(a[: neardup.SKETCH], b[: neardup.SKETCH]) >= max(neardup.needed(len(a)), neardup.needed(len(b)))
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, texts)).collect()}
     assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_secrets_after_equals_and_in_mixed_alphabets(spark):
+    rnd = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    draw = lambda n, chars=letters: "".join(rnd.choice(chars) for _ in range(n - 1)) + "7"
+    values = [draw(n) for n in (36, 40, 64)]
+    mixed = draw(60, letters + "+/-_") + "+/-_a1"
+    texts = [f"GITHUB_PAT={values[0]}", f"export A_LONG_NAME_OF_A_VARIABLE_2={values[1]}\n", f"https://x.org/a?sig={values[2]}&n=1", f"see {mixed} there", f"blob={values[1]}== end"]
+    texts.append("PATH_OF_IT=some-words/of_the/common-language/2020/and_other-words/again")
+    got = {r.doc_id: r.spans for r in secretscan.scan_secrets(docs(spark, texts)).collect()}
+    for i, value in enumerate([*values, mixed, values[1] + "=="]):
+        start = texts[i].index(value)
+        assert got[i] == f"random:{start}:{start + len(value)}", texts[i]
+    assert got[5] == ""
+    redacted = {r.doc_id: r.text for r in secretscan.redact_secrets(docs(spark, texts)).collect()}
+    assert redacted[0] == "GITHUB_PAT=<redacted>" and redacted[2] == "https://x.org/a?sig=<redacted>&n=1"

@@ -3,10 +3,10 @@
 Base kinds are the fixed patterns, leftmost and not overlapping per kind. Positions come from the texts between matches
 (split) and the matches themselves, by prefix sums over array blocks, so a text with many matches costs n^1.5, not n^2.
 
-The battery takes further strings of 20 or more characters of [A-Za-z0-9+/_=-] with a letter and a digit that touch no base
-span. The narrowest encoding that holds a string's characters is inferred (hex, base 32, 36, 62, 64) and three tests of
-"drawn evenly from that alphabet" are made: chi-squared over the alphabet, runs above and below its middle, and serial
-correlation. Their p-values are combined by Bonferroni. A string is called ordinary when that hypothesis is rejected, by the
+The battery takes further strings of 20 or more characters of [A-Za-z0-9+/_-], with the padding "=" at their end, with a letter
+and a digit that touch no base span; in NAME=value both sides are strings of their own. The narrowest encoding that holds a
+string's characters is inferred (hex, base 32, 36, 62, 64, both alphabets of base 64 mixed) and three tests of "drawn evenly
+from that alphabet" are made: chi-squared over the alphabet, runs above and below its middle, and serial correlation. Their p-values are combined by Bonferroni. A string is called ordinary when that hypothesis is rejected, by the
 Benjamini-Hochberg step-up over the text's strings with weights in proportion to their length; strings too short for
 the chi-squared test to tell letters of words from even draws are left out. The rest are spans of kind "random".
 
@@ -28,7 +28,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 #: Strings for the battery, and the rate at which random strings may be called ordinary.
-DENSE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+DENSE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 ALPHA = 0.01
 #: Chance that two letters of ordinary words are equal, and the deviations from even draws that a string must allow to see.
 COINCIDENCE, POWER = 0.06, 3.0
@@ -43,6 +43,7 @@ ENCODINGS = {
     "base62": ("[A-Za-z0-9]*", _DIGITS + _UPPER + _LOWER),
     "base64": ("[A-Za-z0-9+/]*", _UPPER + _LOWER + _DIGITS + "+/"),
     "base64url": ("[A-Za-z0-9_-]*", _UPPER + _LOWER + _DIGITS + "-_"),
+    "mixed": ("[A-Za-z0-9+/_-]*", _UPPER + _LOWER + _DIGITS + "+/-_"),
 }
 REDACTED = "<redacted>"
 
