@@ -3,7 +3,7 @@
 import random
 import string
 
-from tribuna.llm import neardup, secretscan
+from tribuna.llm import neardup, pagetext, secretscan
 
 
 def docs(spark, texts):
@@ -44,3 +44,31 @@ def test_secrets_after_equals_and_in_mixed_alphabets(spark):
     assert got[5] == ""
     redacted = {r.doc_id: r.text for r in secretscan.redact_secrets(docs(spark, texts)).collect()}
     assert redacted[0] == "GITHUB_PAT=<redacted>" and redacted[2] == "https://x.org/a?sig=<redacted>&n=1"
+
+
+def test_page_text_of_unclosed_elements():
+    model = pagetext.fit()
+    text = "A sentence of the article that is long enough to be read as what the page is about."
+    body = f"<article><h1>A title of the page</h1><p>{text}</p><p>{text}</p></article>"
+    whole = pagetext.main_text(f"<html><head><title>x</title></head><body>{body}</body></html>", model)
+    assert whole.count(text) == 2
+    for page in (
+        f"<html><head><title>x</title><body>{body}</body></html>",
+        f"<html><head><meta charset=x><script>a='<body>'</script><style>p {{}}</style>{body}</html>",
+        f"<html><head><title>x</title>{body}",
+        f"<html><head><title>x<body>{body}</body></html>",
+        f"<html><head></head><body><div><button>Go</div>{body}</body></html>",
+        f"<html><head></head><body><button>Go{body}</body></html>",
+        f"<html><head></head><body><button>Go{body}<button>Stop</button></body></html>",
+        f"<html><head></head><body><div><select><option>a<option>b</div>{body}</body></html>",
+        f"<html><head></head><body><object><object>{body}<div><object>x</object></div></body></html>",
+        f"<html><head></head><body><svg><path d='m'>{body}</body></html>",
+        f"<html><head></head><body><noscript>on{body}</body></html>",
+        f"<html><head></head><body><object>{body}<noscript>a</noscript><div><noscript>b</div></body></html>",
+        f"<html><head></head><body>{body}<div><button><div>Go<p>there</div></button></div></body></html>",
+        f"<html><head></head><body>{body}<div><svg><title>t</title><text>Go</text><svg/></svg></div></body></html>",
+    ):
+        assert pagetext.main_text(page, model) == whole, page
+    # unclosed elements cost in proportion to the page
+    for tag in ("button", "object", "noscript", "svg", "video"):
+        assert len(pagetext.parse(f"<{tag}>x<i>y</i> " * 20_000 + f"</{tag}>" + body)) == 5

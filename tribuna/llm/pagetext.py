@@ -1,8 +1,8 @@
 """Main text of pages by a tree-structured graphical model over DOM nodes.
 
-A tolerant parser turns a page into a tree of block elements (inline markup belongs to its block; scripts, styles, heads and
-form controls are left out). Each node is content or not; a node's evidence is its tag, the words of its class and id, its
-share of link text and the length of its own text. Potentials tie each child to its parent. One sum-product pass from the
+A tolerant parser turns a page into a tree of block elements (inline markup belongs to its block; scripts, styles, titles and
+form controls are left out; a head has nothing else that is text, and what else stands in it is the body's, as in HTML).
+Each node is content or not; a node's evidence is its tag, the words of its class and id, its share of link text and the length of its own text. Potentials tie each child to its parent. One sum-product pass from the
 leaves to the root and one back give each node's marginal; blocks whose node is content with more than 1/2 are the text.
 
 Evidence and tie potentials are counted on labelled pages that `labelled_pages` makes: layouts of many kinds with articles,
@@ -10,7 +10,9 @@ menus, headers, footers, sidebars, notices, adverts, forms and comments, every n
 driver; the model is a few kilobytes. Extraction is one narrow pass over whole pages.
 
 Defined cases: null and empty html give the empty text; html without tags is one block; unclosed and stray tags are closed or
-skipped; nesting beyond MOST_DEPTH stays in the deepest node; repeated rows and other columns do not matter.
+skipped; an element that is left out and not closed before its parent ends at the next start or end of a block (an unclosed
+script or style, as in HTML, at the end of the page); nesting beyond MOST_DEPTH stays in the deepest node; repeated rows and
+other columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 #: Elements that start a block of their own. Fixed values of HTML.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements whose text is never read.
-SKIPPED = frozenset("script style noscript template head title select button textarea iframe object svg math canvas audio video datalist option input".split())
-RAW = frozenset("script style noscript template title textarea iframe svg math".split())
+SKIPPED = frozenset("script style noscript template title select button textarea iframe object svg math canvas audio video datalist option input".split())
+RAW = frozenset("script style noscript template title textarea iframe".split())
+#: Skipped elements in which another of their kind ends the open one, and those that run to the end of the page if unclosed.
+ALONE, TO_END = frozenset("select button audio video datalist option".split()), frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the key closes an open element of the value, within the nearest element of the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -40,6 +44,7 @@ MOST_DEPTH = 400
 SMOOTHING, PAGES, SEED = 0.5, 600, 7
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|$)|display\s*:\s*none", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -55,12 +60,74 @@ class Node:
         self.texts, self.chars, self.linked, self.kids = [], 0, 0, 0
 
 
+def boundary(page: str, at: int, tag: str, never: dict[str, int]) -> int:
+    """Where the next start or end of a block begins, or the next start of `tag`."""
+    while m := _TAG.search(page, at):
+        at = m.end()
+        if m.group(2) is None:
+            continue
+        name, closing = m.group(2).lower(), bool(m.group(1))
+        if name in BLOCKS or name == tag and not closing:
+            return m.start()
+        if name in RAW and not closing and name != tag:
+            at = skip_raw(page, at, name, never)
+    return len(page)
+
+
+def skip_raw(page: str, at: int, tag: str, never: dict[str, int]) -> int:
+    """Where an element without markup ends whose start tag ends at `at`; `never` gets where a tag is not closed any more."""
+    if at < never.get(tag, at + 1):
+        end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
+        if end:
+            return end.end()
+        never[tag] = at
+    if tag in TO_END:
+        return len(page)
+    block = _BLOCK.search(page, at)
+    return block.start() if block else len(page)
+
+
+def skip_element(page: str, start: int, tag: str, above: set[str], ends: dict[int, int | None], never: dict[str, int]) -> int:
+    """Where a skipped element with markup ends whose start tag ends at `start`, in open blocks of the tags `above`.
+
+    `ends` keeps, by where start tags end, where their elements end (None: not closed), so a part of a page is read once."""
+    if start not in ends:
+        own, inside, at = [start], [], start
+        while own and (m := _TAG.search(page, at)):
+            at = m.end()
+            if m.group(2) is None:
+                continue
+            name, closing = m.group(2).lower(), bool(m.group(1))
+            if name == tag:
+                if closing:
+                    ends[own.pop()] = at
+                elif tag in ALONE:
+                    break
+                elif not m.group(0).endswith("/>"):
+                    own.append(at)
+            elif name in RAW and not closing:
+                at = skip_raw(page, at, name, never)
+            elif name in BLOCKS and name != "hr":
+                if not closing:
+                    inside.append(name)
+                elif name in inside:
+                    while inside.pop() != name:
+                        pass
+                elif name in above or name in ("body", "html"):
+                    break
+        ends.update(dict.fromkeys(own))
+    end = ends[start]
+    return boundary(page, start, tag, never) if end is None else end
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in document order, a parent before its children; node 0 is the root."""
     nodes, stack = [Node(-1, "#root", ())], [0]
     run: list[str] = []  # raw text of the present block
     link, run_linked, order = 0, 0, 0
     at, n = 0, len(page)
+    ends: dict[int, int | None] = {}
+    never: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal run, run_linked, order
@@ -90,21 +157,10 @@ def parse(page: str) -> list[Node]:
         if tag in SKIPPED:
             if not closing and tag not in VOID:
                 if tag in RAW:
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
-                    at = end.end() if end else n
+                    at = skip_raw(page, at, tag, never)
                 else:
                     flush()
-                    depth = 1
-                    for t in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>|<(/)(?:body|html)\b", re.I).finditer(page, at):
-                        if t.group(2):
-                            at, depth = t.start(), 0
-                            break
-                        depth += -1 if t.group(1) else (tag != "head" or 0)
-                        if depth == 0 or tag == "head" and not t.group(1):
-                            at = t.end()
-                            break
-                    else:
-                        at = m.end() if tag == "head" else n
+                    at = skip_element(page, at, tag, {nodes[k].tag for k in stack}, ends, never)
             continue
         if tag not in BLOCKS:
             if tag == "a":
