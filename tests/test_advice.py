@@ -1,0 +1,19 @@
+"""Cases of the advice of round 1."""
+
+from tribuna.plans import q_mining
+from tribuna.plans.domain import inventory
+from tribuna.sources import io, score
+from tribuna.sources.score import reject_reasons
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_all_events_are_scored(spark):
+    rows = inventory(spark, DIR)
+    checked = reject_reasons(io.event_rows(q_mining._documents(spark, DIR, "true")))
+    assert checked.count() == rows.count()
+    # rows that break the contract or the filter are left out, in every event alike
+    valid = score.clean_rows(score.with_row_id(checked.where("reject IS NULL").drop("reject")))
+    want = {str(r[0]): r[1] for r in valid.groupBy("t_performance_id").count().collect()}
+    got = {r[0]: r[1] for r in q_mining.score_event_json(spark, DIR).groupBy("t_performance_id").count().collect()}
+    assert got == want and len(want) > rows.select("t_performance_id").distinct().count() // 50 + 1
