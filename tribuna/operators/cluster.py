@@ -48,7 +48,7 @@ class Model:
     version: str = "1"
 
 
-def fit_kmeans(df: DataFrame, k: int, vector: str = "features", seeds: Sequence[int] = (42, 43, 44), iterations: int = 40) -> tuple[list[list[float]], float]:
+def fit_kmeans(df: DataFrame, k: int, vector: str = "features", seeds: Sequence[int] = (42, 43, 44), iterations: int = 300) -> tuple[list[list[float]], float]:
     """(centres in a canonical order, inertia) of the best of several seeded fits; the input is read from memory between them."""
     data = df.select(array_to_vector(vector).alias("v")).persist()
     try:
@@ -133,16 +133,21 @@ def label_centers(centers: Sequence[Sequence[float]], space: Space) -> list[str]
     return [names[j] if j >= 0 else f"{names[min(range(len(names)), key=row.__getitem__)]} (Variante #{i})" for i, (j, row) in enumerate(zip(pick, cost))]
 
 
-def fit_diagonal_mixture(df: DataFrame, centers: Sequence[Sequence[float]], vector: str = "features", steps: int = 10, floor: float = 1e-6) -> tuple[list[float], list[list[float]], list[list[float]]]:
-    """(weights, means, variances) by EM from given centres. Each step is one aggregate; k x d numbers reach the driver."""
+def fit_diagonal_mixture(df: DataFrame, centers: Sequence[Sequence[float]], vector: str = "features", steps: int = 100, floor: float = 1e-6, tolerance: float = 1e-3) -> tuple[list[float], list[list[float]], list[list[float]]]:
+    """(weights, means, variances) by EM from given centres, until the mean log-likelihood changes by less than the tolerance
+    (at most `steps` times). Each step is one aggregate; k x d numbers reach the driver."""
     k, d = len(centers), len(centers[0])
     weights, means, variances = [1.0 / k] * k, [list(map(float, c)) for c in centers], [[1.0] * d for _ in range(k)]
     data = df.select(F.col(vector).alias("v")).persist()
+    last = None
     try:
         for _ in range(steps):
-            rows = data.withColumn("r", posterior(F.col("v"), weights, means, variances)).select("v", F.posexplode("r").alias("c", "r"))
-            one = rows.select("c", "r", F.posexplode("v").alias("i", "x")).groupBy("c", "i").agg(F.sum("r").alias("n"), F.sum(F.col("r") * F.col("x")).alias("s"), F.sum(F.col("r") * F.col("x") * F.col("x")).alias("q")).collect()
+            rows = data.withColumn("l", log_density(F.col("v"), weights, means, variances)).withColumn("r", posterior(F.col("v"), weights, means, variances)).select("v", "l", F.posexplode("r").alias("c", "r"))
+            one = rows.select("c", "r", "l", F.posexplode("v").alias("i", "x")).groupBy("c", "i").agg(F.avg("l").alias("l"), F.sum("r").alias("n"), F.sum(F.col("r") * F.col("x")).alias("s"), F.sum(F.col("r") * F.col("x") * F.col("x")).alias("q")).collect()
             total = sum(r["n"] for r in one if r["i"] == 0)
+            if not one or last is not None and abs(one[0]["l"] - last) < tolerance:
+                break
+            last = one[0]["l"]
             for r in one:
                 n = max(r["n"], 1e-10)
                 weights[r["c"]] = n / total
@@ -153,17 +158,27 @@ def fit_diagonal_mixture(df: DataFrame, centers: Sequence[Sequence[float]], vect
     return weights, means, variances
 
 
-def posterior(v, weights: Sequence[float], means: Sequence[Sequence[float]], variances: Sequence[Sequence[float]]):
-    """Array of posteriors of a diagonal mixture, by log-sum-exp over k terms."""
+def _log_terms(v, weights: Sequence[float], means: Sequence[Sequence[float]], variances: Sequence[Sequence[float]]):
+    """Array of log(weight x density) of a diagonal mixture's components."""
     lits = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     parts = [F.struct(F.lit(math.log(w) - 0.5 * sum(math.log(2 * math.pi * x) for x in var)).alias("c"), lits(m).alias("m"), lits([1 / x for x in var]).alias("p")) for w, m, var in zip(weights, means, variances)]
     quad = lambda s: F.aggregate(F.zip_with(F.zip_with(v, s["m"], lambda x, y: (x - y) * (x - y)), s["p"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    logs = F.transform(F.array(*parts), lambda s: s["c"] - 0.5 * quad(s))
+    return F.transform(F.array(*parts), lambda s: s["c"] - 0.5 * quad(s))
+
+
+def log_density(v, weights: Sequence[float], means: Sequence[Sequence[float]], variances: Sequence[Sequence[float]]):
+    """Logarithm of a diagonal mixture's density, by log-sum-exp over k terms."""
+    return let(_log_terms(v, weights, means, variances), lambda xs: let(F.array_max(xs), lambda top: top + F.log(F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.exp(x - top)))))
+
+
+def posterior(v, weights: Sequence[float], means: Sequence[Sequence[float]], variances: Sequence[Sequence[float]]):
+    """Array of posteriors of a diagonal mixture, by log-sum-exp over k terms."""
+    logs = _log_terms(v, weights, means, variances)
     shifted = let(logs, lambda xs: let(F.array_max(xs), lambda top: F.transform(xs, lambda x: F.exp(x - top))))
     return let(shifted, lambda ys: let(F.aggregate(ys, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(ys, lambda y: y / total)))
 
 
-def train_two_stage(df: DataFrame, k: int | str = 5, mixture_steps: int = 5, seeds: Sequence[int] = (42, 43, 44), text_weight: float = 0.2) -> Model:
+def train_two_stage(df: DataFrame, k: int | str = 5, mixture_steps: int = 100, seeds: Sequence[int] = (42, 43, 44), text_weight: float = 0.2) -> Model:
     """Fit on rows of multi-zone events: space, K-Means (or k chosen), labels, diagonal mixture."""
     multi = split_flag(df).where("NOT es_monozona").persist()
     try:
@@ -228,9 +243,9 @@ def principal_axes(df: DataFrame, k: int = 2, vector: str = "features") -> DataF
     return PCA(k=k, inputCol="_c", outputCol="_p").fit(centred).transform(centred).withColumn("pca", vector_to_array("_p")).drop("_v", "_c", "_p")
 
 
-def mixed_distance_clusters(df: DataFrame, numeric: str, categories: list[str], k: int, gamma: float, steps: int = 5, seed: int = 42) -> DataFrame:
-    """Adds cluster by K-Prototypes: squared distance plus gamma times the number of differing categories. Each step is one
-    aggregate; k prototypes reach the driver."""
+def mixed_distance_clusters(df: DataFrame, numeric: str, categories: list[str], k: int, gamma: float, steps: int = 100, seed: int = 42, tolerance: float = 1e-9) -> DataFrame:
+    """Adds cluster by K-Prototypes: squared distance plus gamma times the number of differing categories, until no prototype
+    moves (at most `steps` times). Each step is one aggregate; k prototypes reach the driver."""
     rows = df.orderBy(F.xxhash64(F.lit(seed), F.to_json(F.struct(numeric, *categories)))).limit(k).select(numeric, *categories).collect()
     protos = [(list(r[numeric]), [r[c] for c in categories]) for r in rows]
     for _ in range(steps + 1):
@@ -238,5 +253,7 @@ def mixed_distance_clusters(df: DataFrame, numeric: str, categories: list[str],
         out = df.withColumn("cluster", F.array_min(F.array(*options))["i"])
         means = {r["cluster"]: r["m"] for r in out.select("cluster", F.posexplode(numeric).alias("p", "x")).groupBy("cluster", "p").agg(F.avg("x").alias("x")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("m")).collect()}
         modes = {r["cluster"]: [r[c] for c in categories] for r in out.groupBy("cluster").agg(*[F.mode(c, True).alias(c) for c in categories]).collect()}
-        protos = [(means.get(i, v), modes.get(i, c)) for i, (v, c) in enumerate(protos)]
+        before, protos = protos, [(means.get(i, v), modes.get(i, c)) for i, (v, c) in enumerate(protos)]
+        if all(c == c2 and math.dist(v, v2) <= tolerance for (v, c), (v2, c2) in zip(before, protos)):
+            break
     return out

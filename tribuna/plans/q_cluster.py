@@ -33,6 +33,12 @@ def vectors(spark, sf_dir):
     return e.select("vec_id", "label", F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("features"), (F.col("vec_id") % 5).alias("other"))
 
 
+def whole_vectors(spark, sf_dir):
+    """All dimensions, for the queries without SQL."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+
+
 @lru_cache(maxsize=4)
 def metrics(spark, sf_dir):
     """Enriched rows, computed once a session: fits and predictions read them many times."""
@@ -221,13 +227,13 @@ def elbow_score(spark, sf_dir):
 
 @query()
 def kmeans_fit(spark, sf_dir):
-    centers, inertia = K.fit_kmeans(vectors(spark, sf_dir), 5, seeds=(42, 43))
-    return K.nearest_two(vectors(spark, sf_dir), centers).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("inertia", F.lit(round(inertia, 6)))
+    centers, inertia = K.fit_kmeans(whole_vectors(spark, sf_dir), 5, seeds=(42, 43))
+    return K.nearest_two(whole_vectors(spark, sf_dir), centers).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("inertia", F.lit(round(inertia, 6)))
 
 
 @query()
 def auto_k(spark, sf_dir):
-    best, table_ = K.choose_k(vectors(spark, sf_dir), (3, 4, 5))
+    best, table_ = K.choose_k(whole_vectors(spark, sf_dir), (3, 4, 5, 6, 7))
     return spark.createDataFrame([(r["k"], float(r["inertia"]), float(r["davies_bouldin"]), float(r["score"]), r["k"] == best) for r in table_], "k int, inertia double, davies_bouldin double, score double, chosen boolean")
 
 
@@ -239,7 +245,7 @@ def archetype_assignment(spark, sf_dir):
 
 @lru_cache(maxsize=4)
 def _model(spark, sf_dir):
-    return K.train_two_stage(metrics(spark, sf_dir), 5, mixture_steps=2, seeds=(42,))
+    return K.train_two_stage(metrics(spark, sf_dir), 5, seeds=(42,))
 
 
 @query()
@@ -302,16 +308,16 @@ def cluster_catalogue(spark, sf_dir):
 
 @query()
 def bootstrap_stability(spark, sf_dir):
-    v = vectors(spark, sf_dir)
+    v = whole_vectors(spark, sf_dir)
     centers, _ = K.fit_kmeans(v, 4, seeds=(42,))
     x = K.nearest_two(v, centers).drop("second", "d1", "d2", "margin")
-    mean, std = H.bootstrap_stability(x, "vec_id", "cluster", lambda d, s: K.fit_kmeans(d, 4, seeds=(s,))[0], rounds=2)
+    mean, std = H.bootstrap_stability(x, "vec_id", "cluster", lambda d, s: K.fit_kmeans(d, 4, seeds=(s,))[0], rounds=20)
     return spark.createDataFrame([(float(mean), float(std))], "mean double, std double")
 
 
 @query()
 def benchmark_families(spark, sf_dir):
-    v = vectors(spark, sf_dir)
+    v = whole_vectors(spark, sf_dir)
     out = []
     for family in ("gmm", "bisecting"):
         x = K.fit_family(v, family, 4)
@@ -321,4 +327,4 @@ def benchmark_families(spark, sf_dir):
 
 @query()
 def pca_project(spark, sf_dir):
-    return K.principal_axes(vectors(spark, sf_dir), 2).groupBy().agg(F.round(F.var_samp(F.col("pca")[0]), 6).alias("var1"), F.round(F.var_samp(F.col("pca")[1]), 6).alias("var2"))
+    return K.principal_axes(whole_vectors(spark, sf_dir), 2).groupBy().agg(F.round(F.var_samp(F.col("pca")[0]), 6).alias("var1"), F.round(F.var_samp(F.col("pca")[1]), 6).alias("var2"))
