@@ -3,33 +3,77 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-#: Name under which a session without spark.checkpoint.dir keeps its scratch folder.
+#: Name under which a local session without spark.checkpoint.dir keeps its scratch folder.
 _OWN: dict[str, str] = {}
+#: Rows of an Arrow batch that become Python objects at once. Spark itself bounds the bytes of a batch (64 MB by default).
+SLICE_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, else a local one (tests only)."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir; a local one where the master is local and it is unset.
+
+    On a cluster each executor would write a folder of its own, so an unset spark.checkpoint.dir is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master is {master})")
         path = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tribuna-"))
     return path.rstrip("/")
 
 
-#: Rows that go to a Python worker at once: texts may be long, and a batch is held several times over.
-BATCH_ROWS = 500
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or it with underscores until no column of df is called so (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def arrow_types(fields: str) -> list:
+    """Arrow types of the columns of a DDL string."""
+    return list(to_arrow_schema(StructType.fromDDL(fields)).types)
+
+
+def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
+    """Arrow batches in slices of a bounded number of rows; nothing is copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def record_batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    """Rows as an Arrow batch of the given types: long integers beside nulls stay what they are."""
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=names)
+
+
+def add_columns(source: DataFrame, column: str, make: Callable[[], Callable], fields: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """source and the columns `fields` (DDL) that make()(value of `column`) gives as a tuple; make is called once a task.
+
+    All columns of source (but those of `drop`) pass as Arrow data, untouched: an id keeps its type and value whatever stands
+    beside it. One narrow step, in input order."""
+    kept = [c for c in source.columns if c not in drop]
+    added, types = [f.name for f in StructType.fromDDL(fields).fields], arrow_types(fields)
+    schema = StructType([source.schema[c] for c in kept] + StructType.fromDDL(fields).fields)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for part in slices(batches):
+            rows = [f(x) for x in part.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *record_batch(rows, added, types).columns], names=[*kept, *added])
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, unless the session bounds them more tightly."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    return source.mapInArrow(run, schema)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -40,7 +84,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
