@@ -10,7 +10,8 @@ The online step is deterministic for a partition, so a rerun after a lost execut
 written once to the shared folder; only leftovers (ids included) are shuffled, never the corpus.
 
 Defined cases: null and empty text is a document of the closing id alone; a text of any length is cut as above; repeated
-rows are packed each on their own; an empty table gives no rows; the columns of the input other than id and text are not read.
+rows and rows with equal or null ids are packed each on their own; ids keep their type and value; of equally full windows the
+one opened first is taken; an empty table gives no rows; the columns of the input other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,32 +21,33 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty, tokenizer_path
-from .wordsplit import SPECIALS, Splitter
+from .common import arrow_types, materialise, record_batch, slices, text_or_empty, tokenizer_path
+from .tokencount import byte_symbols
+from .wordsplit import Splitter
 
 SEQUENCE, END_ID, WINDOWS = 2048, 1, 64
 #: A gap under this many tokens is left as padding rather than filled by cutting a piece.
 LEAST_CUT = 8
 #: So many partitions' leftovers are merged together.
-MERGED_PARTITIONS = 64
+MERGED_PARTITIONS = 16
 KEPT_WORDS, KEPT_LENGTH = 500_000, 64
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian 32-bit bytes, by the library; short words are kept."""
+    """word -> its ids as little-endian 32-bit bytes, by the library's model on the word's byte symbols; short words are kept."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.model, self.symbols = tokenizer.model, byte_symbols()
 
     def __missing__(self, word: str) -> bytes:
-        ids = to_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        ids = to_bytes([t.id for t in self.model.tokenize("".join(map(self.symbols.__getitem__, word.encode("utf-8"))))])
         if len(word) <= KEPT_LENGTH:
             if len(self) >= KEPT_WORDS:
                 self.clear()
@@ -164,37 +166,42 @@ def merge_leftovers(pieces: list[tuple], size: int = SEQUENCE) -> Iterator[Windo
                 w = Window()
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, windows: int = WINDOWS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, windows: int = WINDOWS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", merged_partitions: int = MERGED_PARTITIONS) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or tokenizer_path()
-    names = [x.split()[0] for x in PIECE.split(", ")]
+    source = docs.select(docs[id_col].alias("doc"), text_or_empty(docs, text_col).alias("text"))
+    piece = f"doc {dict(source.dtypes)['doc']}, {PIECE}"
+    names = ["doc", *[x.split()[0] for x in PIECE.split(", ")]]
+    types = arrow_types(piece)
+    wide_names, wide_types = [*names, "ids", "part", "place"], [*types, pa.binary(), pa.int64(), pa.int64()]
 
-    def online(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows, count = TaskContext.get().partitionId(), [], 0
 
         def emit(w: Window) -> None:
             nonlocal count
-            rows.extend(_rows(w, (part << 32) + count, False))
+            rows.extend((*r, part, 0) for r in _rows(w, (part << 32) + count, False))
             count += 1
 
         packer = Packer(emit, size, windows)
-        for batch in batches:
-            for doc, text in zip(batch["doc"].tolist(), batch["text"].tolist()):
+        for batch in slices(batches):
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
                 packer.put(doc, document_ids(text, path, end_id))
-            yield pd.DataFrame(rows, columns=[*names, "ids"]).assign(part=part)
+                if len(rows) >= 10_000:
+                    yield record_batch(rows, wide_names, wide_types)
+                    rows.clear()
+            yield record_batch(rows, wide_names, wide_types)
             rows.clear()
-        for w in packer.leftovers():
-            rows.extend(_rows(w, -1, True))
-        yield pd.DataFrame(rows, columns=[*names, "ids"]).assign(part=part)
-
-    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["part", "doc_id", "start"], kind="stable")
-        pieces = list(zip(group["doc_id"].tolist(), group["start"].tolist(), group["ids"].tolist(), group["doc_tokens"].tolist()))
-        rows = [r[:-1] for i, w in enumerate(merge_leftovers(pieces, size)) for r in _rows(w, (1 << 62) + (int(key[0]) << 32) + i, False)]
-        return pd.DataFrame(rows, columns=names)
-
-    source = docs.select(docs[id_col].cast("long").alias("doc"), text_or_empty(docs, text_col).alias("text"))
-    placed = materialise(source.mapInPandas(online, f"{PIECE}, ids binary, part long"), "packed")
+        left = [r for w in packer.leftovers() for r in _rows(w, -1, True)]
+        yield record_batch([(*r, part, i) for i, r in enumerate(left)], wide_names, wide_types)
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        rows = sorted(group.select(["part", "place", "doc", "start", "ids", "doc_tokens"]).to_pylist(), key=lambda r: (r["part"], r["place"]))
+        pieces = [(r["doc"], r["start"], r["ids"], r["doc_tokens"]) for r in rows]
+        out = [r[:-1] for i, w in enumerate(merge_leftovers(pieces, size)) for r in _rows(w, (1 << 62) + (key[0].as_py() << 32) + i, False)]
+        return pa.Table.from_batches([record_batch(out, names, types)])
+
+    placed = materialise(source.mapInArrow(online, f"{piece}, ids binary, part long, place long"), "packed")
     done = placed.where(F.col("sequence_id") >= 0).select(*names)
-    left = placed.where(F.col("sequence_id") < 0).withColumn("merge_group", F.col("part").cast("long").bitwiseAND(F.lit(-MERGED_PARTITIONS).cast("long")))
-    return done.unionByName(left.groupBy("merge_group").applyInPandas(merge, PIECE))
+    left = placed.where(F.col("sequence_id") < 0).withColumn("merge_group", F.floor(F.col("part") / merged_partitions) * merged_partitions)
+    return done.unionByName(left.groupBy("merge_group").applyInArrow(merge, piece)).withColumnRenamed("doc", id_col)

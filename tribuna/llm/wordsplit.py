@@ -11,18 +11,25 @@ import regex
 #: The vocabulary file's pattern for words and its special strings.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
-
+#: Code points that the fast path knows.
+_FAST = 0x250
 
 
 def _plain_class(kind: str) -> str:
-    """Characters up to U+024F of a general category, for a class of the faster standard engine."""
-    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+    """Characters of the fast path of a general category, for a class of the standard engine."""
+    return "".join(re.escape(chr(c)) for c in range(_FAST) if unicodedata.category(chr(c))[0] == kind)
+
+
+def _is_plain(c: int) -> bool:
+    """Whether a character is in NFC, has a lower case of one character that the fast path knows, and is white space to both
+    engines or to neither (U+001C to U+001F and U+0085 are not)."""
+    low = chr(c).lower()
+    return len(low) == 1 and ord(low) < _FAST and unicodedata.normalize("NFC", chr(c)) == chr(c) and c not in (0x1C, 0x1D, 0x1E, 0x1F, 0x85)
 
 
 _WORDS = re.compile(PATTERN.replace(r"\p{L}", _plain_class("L")).replace(r"\p{N}", _plain_class("N")))
 _SPECIAL = regex.compile("(" + "|".join(map(regex.escape, SPECIALS)) + ")")
-#: Text up to U+024F is in NFC already and lower-cases alike everywhere; U+0130 and controls taken as space aside.
-_PLAIN = regex.compile("[\u0000-\u001b -\u0084\u0086-įı-ɏ]*")
+_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in range(_FAST) if _is_plain(c)) + "]*")
 
 
 class Splitter:
