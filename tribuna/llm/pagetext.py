@@ -6,13 +6,15 @@ Each node is content or not; a node's evidence is its tag, the words of its clas
 leaves to the root and one back give each node's marginal; blocks whose node is content with more than 1/2 are the text.
 
 Evidence and tie potentials are counted on labelled pages that `labelled_pages` makes: layouts of many kinds with articles,
-menus, headers, footers, sidebars, notices, adverts, forms and comments, every node labelled. Fitting takes a second on the
-driver; the model is a few kilobytes. Extraction is one narrow pass over whole pages.
+menus, headers, footers, sidebars, notices, adverts, forms and comments, every node labelled, class words drawn from several
+languages, from words that tell nothing, or left out, so that structure has to carry what words do not say. A class word that
+was never seen is no evidence. A page of which no block reaches 1/2 gives its best-scoring container, unless that is plainly
+none (LEAST). Fitting takes a second on the driver; the model is a few kilobytes. Extraction is one narrow pass over whole pages.
 
 Defined cases: null and empty html give the empty text; html without tags is one block; unclosed and stray tags are closed or
 skipped; an element that is left out and not closed before its parent ends at the next start or end of a block (an unclosed
-script or style, as in HTML, at the end of the page); nesting beyond MOST_DEPTH stays in the deepest node; repeated rows and
-other columns do not matter.
+script or style, as in HTML, at the end of the page); an attribute whose quote is never closed ends with its tag; elements nest
+to any depth; ids of any type, repeated rows and other columns stay apart and do not matter.
 """
 
 from __future__ import annotations
@@ -39,15 +41,15 @@ ALONE, TO_END = frozenset("select button audio video datalist option".split()),
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the key closes an open element of the value, within the nearest element of the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-#: Open blocks that a start of another block leaves the paragraph in.
-MOST_DEPTH = 400
-SMOOTHING, PAGES, SEED = 0.5, 600, 7
+SMOOTHING, PAGES, SEED = 0.5, 900, 7
+#: A page without content blocks gives its best container if one of its blocks is content with this chance at least.
+LEAST = 0.2
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)|([^>]*)(?:>|$)))", re.S)
 _BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|$)|display\s*:\s*none", re.I)
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[^\W\d_]+")
 
 
 class Node:
@@ -87,7 +89,7 @@ def skip_raw(page: str, at: int, tag: str, never: dict[str, int]) -> int:
     return block.start() if block else len(page)
 
 
-def skip_element(page: str, start: int, tag: str, above: set[str], ends: dict[int, int | None], never: dict[str, int]) -> int:
+def skip_element(page: str, start: int, tag: str, above: Counter, ends: dict[int, int | None], never: dict[str, int]) -> int:
     """Where a skipped element with markup ends whose start tag ends at `start`, in open blocks of the tags `above`.
 
     `ends` keeps, by where start tags end, where their elements end (None: not closed), so a part of a page is read once."""
@@ -113,7 +115,7 @@ def skip_element(page: str, start: int, tag: str, above: set[str], ends: dict[in
                 elif name in inside:
                     while inside.pop() != name:
                         pass
-                elif name in above or name in ("body", "html"):
+                elif above[name] or name in ("body", "html"):
                     break
         ends.update(dict.fromkeys(own))
     end = ends[start]
@@ -128,6 +130,12 @@ def parse(page: str) -> list[Node]:
     at, n = 0, len(page)
     ends: dict[int, int | None] = {}
     never: dict[str, int] = {}
+    opened: Counter = Counter()  # open blocks by tag
+
+    def shut_from(k: int) -> None:
+        for i in stack[k:]:
+            opened[nodes[i].tag] -= 1
+        del stack[k:]
 
     def flush() -> None:
         nonlocal run, run_linked, order
@@ -160,7 +168,7 @@ def parse(page: str) -> list[Node]:
                     at = skip_raw(page, at, tag, never)
                 else:
                     flush()
-                    at = skip_element(page, at, tag, {nodes[k].tag for k in stack}, ends, never)
+                    at = skip_element(page, at, tag, opened, ends, never)
             continue
         if tag not in BLOCKS:
             if tag == "a":
@@ -171,34 +179,32 @@ def parse(page: str) -> list[Node]:
         flush()
         link = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                shut_from(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag))
             continue
         if tag == "hr":
             continue
         if nodes[stack[-1]].tag == "p":
-            stack.pop()
-        if tag in CLOSES:
+            shut_from(len(stack) - 1)
+        if tag in CLOSES and any(opened[x] for x in CLOSES[tag][0]):
             shut, within = CLOSES[tag]
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = nodes[stack[k]].tag
                 if open_tag in within:
                     break
                 if open_tag in shut:
-                    del stack[k:]
+                    shut_from(k)
                     break
-        if len(stack) < MOST_DEPTH:
-            rest = m.group(3) or ""
-            words: tuple[str, ...] = ()
-            if rest and "=" in rest:
-                words = tuple(dict.fromkeys(w for a in _ATTR.findall(rest) for w in _NAME.findall(" ".join(a).lower())))
-            if rest and _HIDDEN.search(rest):
-                words += ("hidden",)
-            nodes[stack[-1]].kids += 1
-            nodes.append(Node(stack[-1], tag, words))
-            stack.append(len(nodes) - 1)
+        rest = m.group(3) or m.group(4) or ""
+        words: tuple[str, ...] = ()
+        if rest and "=" in rest:
+            words = tuple(dict.fromkeys(w for a in _ATTR.findall(rest) for w in _NAME.findall(" ".join(a).lower())))
+        if rest and _HIDDEN.search(rest):
+            words += ("hidden",)
+        nodes[stack[-1]].kids += 1
+        nodes.append(Node(stack[-1], tag, words))
+        stack.append(len(nodes) - 1)
+        opened[tag] += 1
     flush()
     return nodes
 
@@ -218,16 +224,18 @@ def evidence(nodes: list[Node]) -> list[list[str]]:
     for i, x in enumerate(nodes):
         share = linked[i] / chars[i] if chars[i] else 0.0
         above = nodes[x.parent].tag if i else ""
-        own = [f"tag={x.tag}", f"under={above}/{x.tag}", f"links={'none' if not share else 'few' if share < 0.34 else 'many' if share < 0.8 else 'all'}", f"length={min(6, int(math.log2(chars[i] + 1) / 2))}"]
+        own = [f"tag={x.tag}", f"under={above}/{x.tag}", f"links={'none' if not share else 'few' if share < 0.34 else 'many' if share < 0.8 else 'all'}", f"length={min(6, int(math.log2(chars[i] + 1) / 2))}", f"part={min(4, int(5 * chars[i] / (chars[0] or 1)))}"]
         own += [f"word={w}" for w in x.words]
         out.append(own)
     return out
 
 
-#: Words of class names and ids by the part of a page they name; any other word is no evidence. Fixed values of this model.
+#: Words of class names and ids, in several languages, that training pages take for content and for the rest, and words that
+#: tell nothing. Fixed values of this model.
 NAMES = {
-    True: "content article post entry main story body text page prose copy single blog news",
-    False: "nav navbar navigation menu header masthead banner topbar footer foot bottom copyright sidebar side aside widget rail ad ads advert advertisement sponsor sponsored promo promoted cookie cookies consent notice alert gdpr popup modal overlay newsletter subscribe signup login search form comment comments disqus reply replies discussion responses related recommended share social breadcrumb breadcrumbs pagination pager tags hidden toolbar skip complementary contentinfo navigation dialog",
+    True: "content article post entry main story body text page prose copy single blog news contenido articulo noticia cuerpo texto entrada contenu corps texte actualite inhalt artikel beitrag haupttext nachricht conteudo artigo materia corpo contenuto articolo notizia testo tekst innehall",
+    False: "nav navbar navigation menu header masthead banner topbar footer foot bottom copyright sidebar side aside widget rail ad ads advert advertisement sponsor sponsored promo promoted cookie cookies consent notice alert gdpr popup modal overlay newsletter subscribe signup login search form comment comments disqus reply replies discussion responses related recommended share social breadcrumb breadcrumbs pagination pager tags hidden toolbar skip complementary contentinfo dialog cabecera pie lateral anuncio publicidad aviso comentario comentarios relacionados compartir buscar entete pied barre publicite commentaire commentaires recherche partager kopfzeile fusszeile seitenleiste werbung anzeige hinweis kommentar kommentare verwandt suche teilen cabecalho rodape publicidade comentarios intestazione piede annuncio pubblicita commenti",
+    None: "wrapper container row col inner outer box block wrap grid flex item section group left right center top layout holder panel module component",
 }
 
 
@@ -241,6 +249,7 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> Iterator[tuple[str,
 
     for _ in range(pages):
         labels: list[bool] = []
+        silent = rnd.choice([0.1, 0.1, 0.5, 1.0])  # share of class words that say nothing on this page
 
         def tag(name: str, label: bool, inner, attrs: str = "") -> str:
             labels.append(label)
@@ -249,6 +258,8 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> Iterator[tuple[str,
         def named(pool: list[str], p: float = 0.8) -> str:
             if rnd.random() > p:
                 return ""
+            if rnd.random() < silent:  # a word that is nowhere else, or one that tells nothing
+                return f' class="{word() + word() if rnd.random() < 0.5 else rnd.choice(NAMES[None].split())}"'
             return f' {rnd.choice(["class", "class", "id"])}="{rnd.choice(["", "", "the-", "site-", "x "])}{rnd.choice(pool)}"'
 
         def links(label: bool) -> str:
@@ -265,7 +276,7 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> Iterator[tuple[str,
             if kind == 3:
                 return tag(rnd.choice(["div", "section"]), False, words(3, 40), named(bad, 1))
             if kind == 4:
-                return tag(rnd.choice(["div", "section", "ol"]), False, lambda: "".join(tag(rnd.choice(["div", "article", "li"]), False, lambda: tag("p", False, words(4, 50)), f' class="{rnd.choice(["comment", "reply", "comment-body"])}"') for _ in range(rnd.randrange(1, 5))), f' {rnd.choice(["id", "class"])}="{rnd.choice(["comments", "comment-list", "discussion", "responses", "replies"])}"')
+                return tag(rnd.choice(["div", "section", "ol"]), False, lambda: "".join(tag(rnd.choice(["div", "article", "li"]), False, lambda: tag("p", False, words(4, 50)), named(["comment", "reply", "comment-body", "comentario", "kommentar", "commentaire"], 1)) for _ in range(rnd.randrange(1, 5))), named(["comments", "comment-list", "discussion", "responses", "replies", "comentarios", "kommentare", "commentaires"], 1))
             if kind == 5:
                 return tag("div", False, lambda: "".join(tag("p", False, words(3, 30)) for _ in range(rnd.randrange(1, 3))), named(bad, 1))
             if kind == 6:
@@ -304,7 +315,7 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> Iterator[tuple[str,
                 return tag("article", True, inside, named(good, 0.3))
             if kind < 7:
                 return tag("main", True, lambda: tag("article", True, inside) if rnd.random() < 0.5 else inside(), named(good, 0.3))
-            return tag("div", True, lambda: tag("div", True, inside, named(good, 0.6)) if rnd.random() < 0.4 else inside(), named(good, 1))
+            return tag("div", True, lambda: tag("div", True, inside, named(good, 0.6)) if rnd.random() < 0.4 else inside(), named(good, 0.9))
 
         def body() -> str:
             top = "".join(boiler() for _ in range(rnd.randrange(0, 3)))
@@ -337,7 +348,7 @@ def fit(pages: int = PAGES, seed: int = SEED) -> tuple[dict[str, float], tuple[t
                 totals[marks[i]] += 1
                 pairs[tie_class(nodes[nodes[i].parent].tag), marks[nodes[i].parent], marks[i]] += 1
     known = set(counts[True]) | set(counts[False])
-    names = set(NAMES[True].split()) | set(NAMES[False].split()) | {"wrapper"}
+    names = {w for pool in NAMES.values() for w in pool.split()} | {"hidden"}
     odds = {}
     for f in known:
         if f.startswith("word=") and f[5:] not in names:
@@ -383,13 +394,28 @@ def main_text(page: str | None, model) -> str:
     if not page:
         return ""
     nodes = parse(page)
-    blocks: list[tuple[int, str]] = []
-    for x, p in zip(nodes, marginals(nodes, model)):
-        if x.texts and p > 0.5:
-            blocks.extend(x.texts)
+    chances = marginals(nodes, model)
+    blocks = [b for x, p in zip(nodes, chances) if p > 0.5 for b in x.texts]
+    if not blocks:
+        blocks = best_container(nodes, chances)
     return "\n".join(t for _, t in sorted(blocks))
 
 
+def best_container(nodes: list[Node], chances: list[float]) -> list[tuple[int, str]]:
+    """Blocks of the element whose own and children's texts have the most expected content, those half as likely as its best."""
+    scores: Counter = Counter()
+    for i, (x, p) in enumerate(zip(nodes, chances)):
+        if x.texts and p >= LEAST:
+            for k in {i, x.parent} - {-1}:
+                scores[k] += p * x.chars
+    if not scores:
+        return []
+    best = min(scores, key=lambda k: (-scores[k], k))
+    inside = [i for i, x in enumerate(nodes) if x.texts and (i == best or x.parent == best)]
+    most = max(chances[i] for i in inside)
+    return [b for i in inside if chances[i] >= most / 2 for b in nodes[i].texts]
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars of every row."""
     model = fit()
