@@ -6,12 +6,23 @@ Base kinds are the fixed patterns, leftmost and not overlapping per kind. Positi
 The battery takes further strings of 20 or more characters of [A-Za-z0-9+/_-], with the padding "=" at their end, with a letter
 and a digit that touch no base span; in NAME=value both sides are strings of their own. The narrowest encoding that holds a
 string's characters is inferred (hex, base 32, 36, 62, 64, both alphabets of base 64 mixed) and three tests of "drawn evenly
-from that alphabet" are made: chi-squared over the alphabet, runs above and below its middle, and serial correlation. Their p-values are combined by Bonferroni. A string is called ordinary when that hypothesis is rejected, by the
-Benjamini-Hochberg step-up over the text's strings with weights in proportion to their length; strings too short for
-the chi-squared test to tell letters of words from even draws are left out. The rest are spans of kind "random".
-
-Defined cases: null and empty text have no spans (the hash of the empty string); equal spans of two kinds are both given;
-repeated rows and other columns do not matter; an empty table gives no rows. Everything is one narrow projection.
+from that alphabet" are made: chi-squared over the alphabet, runs above and below its middle, and serial correlation. A string
+that one of them rejects (UNEVEN, by Bonferroni) is no secret.
+
+What is controlled is the rate of false secrets. The null hypothesis of a string is that it is ordinary text: words and numbers
+whose characters coincide at a rate of COINCIDENCE (COINCIDENCE_BOTH), not of 1 / alphabet. Then chi-squared is non-central, and its lower tail
+(Patnaik's scaled chi-squared, cube-root normal) is the string's p-value, 1 where the battery rejects an even draw; where the
+alphabet is too small for that to tell (hex), it is the chance that so much ordinary text has hexadecimal digits only. The
+Benjamini-Hochberg step-up at ALPHA over the text's strings, with weights in proportion to their length (long strings carry
+more evidence), gives the spans of kind "random". Short strings can hardly reach it, as they should not; the tests hold the rate
+of false secrets, and of random strings found by length, against labelled strings.
+
+Base spans and strings are put together by sorting and running maxima over blocks, and redacted texts are joined from pieces,
+so a text with many matches costs n^1.5, not n^2.
+
+Defined cases: null and empty text have no spans (the hash of the empty string); equal spans of two kinds are both given; ids
+of any type, repeated and null ones too, stay what they are; repeated rows and other columns do not matter; an empty table
+gives no rows. Everything is one narrow projection.
 """
 
 from __future__ import annotations
@@ -27,11 +38,15 @@ ASSIGN = r"""(?i:KEYWORDS)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replac
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
-#: Strings for the battery, and the rate at which random strings may be called ordinary.
+#: Strings for the battery.
 DENSE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
-ALPHA = 0.01
-#: Chance that two letters of ordinary words are equal, and the deviations from even draws that a string must allow to see.
-COINCIDENCE, POWER = 0.06, 3.0
+#: Rate of false secrets, and of random strings that the battery may reject.
+ALPHA, UNEVEN = 0.01, 0.001
+#: Chance that two characters of ordinary text are equal, of one letter case and of both; and, as an upper bound, that a
+#: character is a hexadecimal digit.
+COINCIDENCE, COINCIDENCE_BOTH, HEX_SHARE = 0.055, 0.042, 0.5
+#: Code points of a block when pieces are cut out of a text.
+BLOCK = 4096
 #: encoding: (characters it may have, its alphabet in order)
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = {
@@ -48,10 +63,37 @@ ENCODINGS = {
 REDACTED = "<redacted>"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once: an expression that stands in several places is else computed in each."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _blocks(xs: Column) -> Column:
+    """An array in blocks of about the root of its size."""
+
+    def cut(x: Column) -> Column:
+        block = F.greatest(F.ceil(F.sqrt(F.size(x))), F.lit(1)).cast("int")
+        return _let(block, lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / n), F.lit(0)).cast("int")), lambda b: F.slice(x, b * n + 1, n)))
+
+    return _let(xs, cut)
+
+
+def _running_max(xs: Column, least: int) -> Column:
+    """For each item of an array of any length the greatest before it (`least` before the first), by blocks of about its root."""
+
+    def scan(items: Column, first: Column) -> Column:
+        zero = F.struct(F.array().cast("array<long>").alias("out"), first.alias("top"))
+        return F.aggregate(items, zero, lambda a, x: F.struct(F.concat(a["out"], F.array(a["top"])).alias("out"), F.greatest(a["top"], x).alias("top")), lambda a: a["out"])
+
+    low = F.lit(least).cast("long")
+    tops = lambda blocks: scan(F.transform(blocks, lambda b: F.coalesce(F.array_max(b), low)), low)
+    return _let(_blocks(xs), lambda blocks: F.flatten(F.zip_with(blocks, tops(blocks), scan)))
+
+
 def _prefix(xs: Column) -> Column:
     """Exclusive prefix sums of a short array."""
     zero = F.struct(F.array().cast("array<long>").alias("out"), F.lit(0).cast("long").alias("sum"))
@@ -60,9 +102,7 @@ def _prefix(xs: Column) -> Column:
 
 def _prefix_sums(xs: Column) -> Column:
     """Exclusive prefix sums of an array of any length (not empty), by blocks of about its root."""
-    block = F.ceil(F.sqrt(F.size(xs))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda b: F.slice(xs, b * block + 1, block))
-    return F.flatten(F.zip_with(blocks, _prefix(F.transform(blocks, _sum)), lambda xs, at: F.transform(_prefix(xs), lambda x: x + at)))
+    return _let(_blocks(xs), lambda blocks: F.flatten(F.zip_with(blocks, _prefix(F.transform(blocks, _sum)), lambda xs, at: F.transform(_prefix(xs), lambda x: x + at))))
 
 
 def _found(df: DataFrame, name: str, pattern: str) -> DataFrame:
@@ -85,49 +125,61 @@ def _kind(column: str, order: int, kind: str) -> Column:
 
 def _upper_tail(z: Column) -> Column:
     """1 - Phi(z), by a logistic in z and its cube."""
-    z = F.least(F.greatest(z, F.lit(-20.0)), F.lit(20.0))
-    return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
+    return _let(F.least(F.greatest(z, F.lit(-20.0)), F.lit(20.0)), lambda z: 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z)))
+
+
+def _cube_root_normal(x: Column, df: Column) -> Column:
+    """z of a chi-squared value with df degrees of freedom (Wilson and Hilferty)."""
+    return (F.pow(x / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
 
 
 def _battery(token: Column) -> Column:
-    """(n, p): length without padding, and the combined p-value of even draws; null where the tests have no power."""
-    body = F.regexp_replace(token, "=+$", "")
-    encoding = F.coalesce(*[F.when(body.rlike(f"^{chars}$"), F.lit(name)) for name, (chars, _) in ENCODINGS.items()])
-    alphabet = F.coalesce(*[F.when(encoding == name, F.lit(letters)) for name, (_, letters) in ENCODINGS.items()])
-    inner = F.struct(body.alias("body"), encoding.alias("encoding"), alphabet.alias("alphabet"))
+    """(n, p): length without padding, and the p-value of ordinary text (1 where an even draw is rejected); null without an encoding."""
+
+    def encoded(body: Column) -> Column:
+        encoding = F.coalesce(*[F.when(body.rlike(f"^{chars}$"), F.lit(letters)) for chars, letters in ENCODINGS.values()])
+        return F.struct(body.alias("body"), encoding.alias("alphabet"))
 
-    def tests(x: Column) -> Column:
+    def counted(x: Column) -> Column:
         k, n = F.length(x["alphabet"]).cast("double"), F.length(x["body"]).cast("double")
         values = F.transform(F.split(x["body"], ""), lambda c: (F.instr(x["alphabet"], c) - 1).cast("double"))
         squares = F.aggregate(F.split(x["alphabet"], ""), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(x["body"], c, F.lit(""))), F.lit(2.0)))
-        return F.struct(x["encoding"].alias("encoding"), k.alias("k"), n.alias("n"), values.alias("v"), squares.alias("squares"))
+        return F.struct(k.alias("k"), n.alias("n"), values.alias("v"), (k * squares / n - n).alias("chi"))
 
-    def numbers(x: Column) -> Column:
+    def summed(x: Column) -> Column:
         k, n, v = x["k"], x["n"], x["v"]
-        chi, df = k * x["squares"] / n - n, k - 1
-        z1 = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        high = F.aggregate(v, F.lit(0.0), lambda a, y: a + F.when(y >= k / 2, 1.0).otherwise(0.0))
+        both = F.aggregate(v, F.struct(F.lit(0.0).alias("high"), F.lit(0.0).alias("sum")), lambda a, y: F.struct((a["high"] + F.when(y >= k / 2, 1.0).otherwise(0.0)).alias("high"), (a["sum"] + y).alias("sum")))
+        return _let(both, lambda b: F.struct(k.alias("k"), n.alias("n"), v.alias("v"), x["chi"].alias("chi"), (1 + 2 * b["high"] * (n - b["high"]) / n).alias("mu"), (b["sum"] / n).alias("mean")))
+
+    def walked(x: Column) -> Column:
+        half, mean = x["k"] / 2, x["mean"]
         start = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("lag"), F.lit(0.0).alias("sq"))
-        mean = F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / n
         step = F.aggregate(
-            v, start,
+            x["v"], start,
             lambda a, y: F.struct(
                 y.alias("last"),
-                (a["runs"] + F.when((a["last"] < 0) | ((a["last"] >= k / 2) != (y >= k / 2)), 1.0).otherwise(0.0)).alias("runs"),
+                (a["runs"] + F.when((a["last"] < 0) | ((a["last"] >= half) != (y >= half)), 1.0).otherwise(0.0)).alias("runs"),
                 (a["lag"] + F.when(a["last"] < 0, 0.0).otherwise((a["last"] - mean) * (y - mean))).alias("lag"),
                 (a["sq"] + (y - mean) * (y - mean)).alias("sq"),
             ),
         )
-        mu = 1 + 2 * high * (n - high) / n
+        return _let(step, lambda t: judged(x, t))
+
+    def judged(x: Column, step: Column) -> Column:
+        n, mu, df, far = x["n"], x["mu"], x["k"] - 1, F.lit(20.0)
         var = (mu - 1) * (mu - 2) / (n - 1)
-        z2 = F.when(var > 0, F.abs(step["runs"] - mu) / F.sqrt(F.when(var > 0, var))).otherwise(F.lit(20.0))
-        z3 = F.when(step["sq"] > 0, F.abs(step["lag"] / F.when(step["sq"] > 0, step["sq"]) + 1 / n) * F.sqrt(n)).otherwise(F.lit(20.0))
-        p = F.least(F.lit(1.0), 3 * F.least(_upper_tail(z1), 2 * _upper_tail(z2), 2 * _upper_tail(z3)))
-        least = F.when(x["encoding"].isin("hex", "HEX"), F.lit(20.0)).otherwise(1 + POWER * F.sqrt(2 * df) / F.greatest(COINCIDENCE * k - 1, F.lit(0.01)))
-        return F.when(n >= least, F.struct(n.alias("n"), p.alias("p")))
+        z2 = F.when(var > 0, F.abs(step["runs"] - mu) / F.sqrt(F.when(var > 0, var))).otherwise(far)
+        z3 = F.when(step["sq"] > 0, F.abs(step["lag"] / F.when(step["sq"] > 0, step["sq"]) + 1 / n) * F.sqrt(n)).otherwise(far)
+        even = F.least(_upper_tail(_cube_root_normal(x["chi"], df)), 2 * _upper_tail(z2), 2 * _upper_tail(z3)) * 3 >= UNEVEN
+        # non-central chi-squared of ordinary text as a scaled central one (Patnaik)
+        away = n * F.greatest(F.when(x["k"] < 62, COINCIDENCE).otherwise(COINCIDENCE_BOTH) * x["k"] - 1, F.lit(0.05))
+        scale, df2 = (df + 2 * away) / (df + away), (df + away) * (df + away) / (df + 2 * away)
+        ordinary = _let(F.struct(scale.alias("s"), df2.alias("d")), lambda c: _upper_tail(-_cube_root_normal(x["chi"] / c["s"], c["d"])))
+        ordinary = F.when(x["k"] == 16, F.pow(F.lit(HEX_SHARE), n)).otherwise(ordinary)
+        return F.struct(n.alias("n"), F.when(even, ordinary).otherwise(F.lit(1.0)).alias("p"))
 
-    one = F.transform(F.array(inner), tests)
-    return F.transform(one, numbers)[0]
+    found = lambda x: F.when(x["alphabet"].isNotNull(), _let(_let(_let(x, counted), summed), walked))
+    return _let(_let(F.regexp_replace(token, "=+$", ""), encoded), found)
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -137,14 +189,24 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         df = _found(df, name, pattern)
     df = df.withColumn("assign", F.filter("assign", lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= ASSIGN_LEAST))
     df = df.withColumn("base", F.array_sort(F.concat(_kind("assign", 0, "assign"), _kind("access", 1, "access"), _kind("hex_", 2, "hex"))))
-    candidate = lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    df = df.withColumn("dense", F.filter("dense", candidate))
+    # base spans and strings in one order: a string touches a base span that begins before it if one of these ends after its
+    # start, and one that begins later if that begins before its end
+    mixed = F.array_sort(F.concat(F.transform("base", lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("kind"), b["end"].alias("end"), F.lit("").alias("match"))), F.transform("dense", lambda x: F.struct(x["start"].alias("start"), F.lit(1).alias("kind"), x["end"].alias("end"), x["match"].alias("match")))))
+    df = df.withColumn("mixed", F.when((F.size("base") > 0) & (F.size("dense") > 0), mixed))
+    ends = F.transform("mixed", lambda x: F.when(x["kind"] == 0, x["end"]).otherwise(F.lit(-1).cast("long")))
+    starts = F.transform(F.reverse("mixed"), lambda x: F.when(x["kind"] == 0, -x["start"]).otherwise(F.lit(-(1 << 40)).cast("long")))
+    df = df.withColumn("past", F.when(F.col("mixed").isNotNull(), _running_max(ends, -1))).withColumn("next", F.when(F.col("mixed").isNotNull(), F.reverse(_running_max(starts, -(1 << 40)))))
+    apart = F.filter(F.arrays_zip("mixed", "past", "next"), lambda x: (x["mixed"]["kind"] == 1) & (x["past"] <= x["mixed"]["start"]) & (-x["next"] >= x["mixed"]["end"]))
+    apart = F.transform(apart, lambda x: F.struct(x["mixed"]["start"].alias("start"), x["mixed"]["end"].alias("end"), x["mixed"]["match"].alias("match")))
+    df = df.withColumn("dense", F.filter(F.coalesce(F.when(F.col("mixed").isNotNull(), apart), F.col("dense")), lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]")))
     df = df.withColumn("tested", F.filter(F.transform("dense", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _battery(x["match"]).alias("t"))), lambda x: x["t"].isNotNull()))
     m, total = F.size("tested"), F.aggregate("tested", F.lit(0.0), lambda a, x: a + x["t"]["n"])
-    df = df.withColumn("weighed", F.when(m > 0, F.transform("tested", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["t"]["p"] * total / (x["t"]["n"] * m)).alias("q")))))
+    weighed = _let(F.struct(total.alias("total"), m.alias("m")), lambda a: F.transform("tested", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["t"]["p"] * a["total"] / (x["t"]["n"] * a["m"])).alias("q"))))
+    df = df.withColumn("weighed", F.when(m > 0, weighed))
     ranked = F.array_sort(F.transform("weighed", lambda x: x["q"]))
-    df = df.withColumn("cut", F.when(m > 0, F.coalesce(F.array_max(F.filter(ranked, lambda q, i: q <= ALPHA * (i + 1) / m)), F.lit(-1.0))))
-    df = df.withColumn("random", F.coalesce(F.filter("weighed", lambda x: x["q"] > F.col("cut")), F.array().cast("array<struct<start:bigint,end:bigint,q:double>>")))
+    cut = F.coalesce(F.array_max(F.filter(ranked, lambda q, i: q <= ALPHA * (i + 1) / F.size("weighed"))), F.lit(-1.0))
+    random = F.when(m > 0, _let(cut, lambda c: F.filter("weighed", lambda x: x["q"] <= c)))
+    df = df.withColumn("random", F.coalesce(random, F.array().cast("array<struct<start:bigint,end:bigint,q:double>>")))
     return df.withColumn("spans", F.when(F.size("random") > 0, F.array_sort(F.concat("base", _kind("random", 3, "random")))).otherwise(F.col("base")))
 
 
@@ -162,19 +224,22 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = REDACTED) -> DataFrame:
     """docs with every span replaced by `mark` (overlapping spans by one); same columns, null text stays null."""
     others = tuple(c for c in docs.columns)
-    df = secret_spans(docs, id_col, text_col, keep=others)
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"), F.lit(-1).cast("long").alias("end"))
-
-    def put(a: Column, x: Column) -> Column:
-        new = F.substring("text", a["at"].cast("int") + 1, (x["start"] - a["at"]).cast("int"))
-        apart = x["start"] >= a["end"]
-        return F.struct(
-            F.when(apart, F.concat(a["out"], new, F.lit(mark))).otherwise(a["out"]).alias("out"),
-            F.greatest(a["at"], x["end"]).alias("at"), F.greatest(a["end"], x["end"]).alias("end"),
-        )
-
-    tail = lambda a: F.concat(a["out"], F.substring("text", a["at"].cast("int") + 1, F.lit(2**31 - 1)))
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", zero, put, tail)).otherwise(F.col(f"keep_{text_col}"))
+    df = secret_spans(docs, id_col, text_col, keep=others).withColumn("found", F.size("spans") > 0)
+    # what stands before each span and after the last end so far; a span that begins within an earlier one adds nothing
+    df = df.withColumn("past", F.when(F.col("found"), _running_max(F.transform("spans", lambda x: x["end"]), 0)))
+    df = df.withColumn("blocks", F.when(F.col("found"), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+
+    def between(a: Column, b: Column) -> Column:
+        """The text from a to b, out of the blocks that it touches."""
+        first = F.floor(a / BLOCK).cast("int")
+        some = F.slice("blocks", first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1)
+        piece = lambda x, i: F.substring(x, (F.greatest(a - (first + i) * BLOCK, F.lit(0)) + 1).cast("int"), (F.least(b - (first + i) * BLOCK, F.lit(BLOCK)) - F.greatest(a - (first + i) * BLOCK, F.lit(0))).cast("int"))
+        return F.when(b > a, F.array_join(F.transform(some, piece), "")).otherwise(F.lit(""))
+
+    pieces = F.zip_with("spans", "past", lambda x, p: F.when(x["start"] >= p, F.concat(between(p, x["start"]), F.lit(mark))).otherwise(F.lit("")))
+    last = F.array_max(F.transform("spans", lambda x: x["end"]))
+    clean = F.concat(F.array_join(pieces, ""), between(last, F.length("text").cast("long")))
+    text = F.when(F.col("found"), clean).otherwise(F.col(f"keep_{text_col}"))
     return df.select(*[(text if c == text_col else F.col(f"keep_{c}")).alias(c) for c in others])
 
 
