@@ -1,16 +1,20 @@
 """Media columns: content-addressed payloads in tar shards, metadata from header-only range reads.
 
 A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are the 8-bit samples of a grey PNG image 64 wide
-(lossless; the compressed form is what is stored). Each task writes tar shards into the shared folder; a member is named
-by the SHA-256 of its bytes and is stored once a shard, however many rows share it. Rows carry the shard, the member's
-offset and length. A shard gets a name of its own for each attempt and appears under it only when complete, so a retried
-task never refers to half a file. Width, height and depth are read from the first 33 bytes of a member; payloads are read
-back by their range, checked against their digests and turned into features.
+(lossless; the compressed form is what is stored). Storing is a step of its own that runs once: each task writes tar shards
+into the shared folder, and what it returns, the table of pointers, is written there too before anything reads it. So a
+later action, however often it runs, stores nothing again. A member is named by the SHA-256 of its bytes and is stored once a
+shard, however many rows share it; over all shards `canonical_members` gives one place for each digest. A shard gets a name of
+its own for each attempt and appears under it only when complete; pointers are those of the attempts that Spark committed, so
+none refers to half a file, and shards that no pointer names (of lost attempts) are listed by `orphan_shards` and can be
+deleted. Rows carry digest, shard, offset and length. Width, height and depth are read from the first 33 bytes of a member;
+payloads are read back by their range, checked against their digests and turned into features.
 
 Memory: one payload at a time, and a digest table bounded by a shard's size.
 
 Defined cases: null is the empty text, whose payload is 64 zero bytes; equal texts give equal values; a long text is one
-member (images have up to 2^31 - 1 rows); an empty table gives no rows and no shard; other columns are not read.
+member (images have up to 2^31 - 1 rows); ids keep their type and value, repeated and null ones too; an empty table gives no
+rows and no shard; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,17 +27,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch_path, text_or_empty
+from .common import add_columns, arrow_types, filesystem, materialise, record_batch, scratch_path, slices, text_or_empty
 
 WIDTH, SHARD_BYTES, LEVEL = 64, 64 << 20, 6
 SIGNATURE, HEADER_BYTES, BLOCK = b"\x89PNG\r\n\x1a\n", 33, 512
 POINTER = "id {id}, n_bytes long, digest string, shard string, member_offset long, member_length long"
-META = POINTER + ", width long, height long, bit_depth long"
-FEATURES = "id {id}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -120,24 +123,35 @@ class ShardWriter:
 
 
 def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """id, n_bytes, digest, shard, member_offset, member_length; written shard by shard, rows of a shard given once it is complete."""
+    """Store all payloads now, once. Returns the written table id, n_bytes, digest, shard, member_offset, member_length."""
     source = docs.select(docs[id_col].alias("id"), text_or_empty(docs, text_col).alias("text"))
+    schema = POINTER.format(id=dict(source.dtypes)["id"])
+    names, types = ["id", "n_bytes", "digest", "shard", "member_offset", "member_length"], arrow_types(schema)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, rows = ShardWriter(folder, shard_bytes), []
-        names = ["id", "n_bytes", "digest", "shard", "member_offset", "member_length"]
-        for batch in batches:
-            for i, text in zip(batch["id"].tolist(), batch["text"].tolist()):
+        for batch in slices(batches):
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 n, samples = payload(text)
                 rows.append((i, n, *shards.add(encode_media(samples))))
                 if shards.full():
                     shards.close()
-                    yield pd.DataFrame(rows, columns=names)
+                    yield record_batch(rows, names, types)
                     rows = []
         shards.close()
-        yield pd.DataFrame(rows, columns=names)
+        yield record_batch(rows, names, types)
 
-    return source.mapInPandas(write, POINTER.format(id=dict(source.dtypes)["id"]))
+    return materialise(source.mapInArrow(write, schema), "pointers")
+
+
+def orphan_shards(folder: str, pointers: DataFrame) -> list[str]:
+    """Shards in the folder that no pointer names: left by lost attempts, or not finished. A shard holds many rows, so names are few."""
+    fs, path = filesystem(folder)
+    from pyarrow.fs import FileSelector
+
+    named = {r["shard"].rsplit("/", 1)[1] for r in pointers.select("shard").distinct().toLocalIterator()}
+    there = [f.base_name for f in fs.get_file_info(FileSelector(path, allow_not_found=True))]
+    return sorted(f"{folder}/{x}" for x in there if x not in named)
 
 
 class RangeReader:
@@ -161,15 +175,13 @@ class RangeReader:
 
 def media_columns(pointers: DataFrame) -> DataFrame:
     """Pointers with width, height and bit_depth; reads HEADER_BYTES bytes a row."""
+    at = F.struct("shard", "member_offset").alias("at")
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         reader = RangeReader()
-        for batch in batches:
-            got = [read_header(reader.read(s, o, HEADER_BYTES)) for s, o in zip(batch["shard"], batch["member_offset"].tolist())]
-            yield batch.assign(width=[g[0] for g in got], height=[g[1] for g in got], bit_depth=[g[2] for g in got])
-        reader.close()
+        return lambda at: read_header(reader.read(at["shard"], at["member_offset"], HEADER_BYTES))
 
-    return pointers.mapInPandas(fill, META.format(id=dict(pointers.dtypes)["id"]))
+    return add_columns(pointers.select("*", at), "at", make, "width long, height long, bit_depth long", drop=("at",))
 
 
 def feature_of(samples: bytes) -> str:
@@ -184,22 +196,22 @@ def feature_of(samples: bytes) -> str:
 def media_features(meta: DataFrame) -> DataFrame:
     """Read each payload back by its range, check its digest and size, and compute features."""
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         reader = RangeReader()
-        for batch in batches:
-            rows = []
-            for i, n, digest, shard, offset, length, width, height, depth in batch.itertuples(index=False):
-                media = reader.read(shard, offset, length)
-                if hashlib.sha256(media).hexdigest() != digest:
-                    raise OSError(f"{shard} at {offset}: the bytes do not have digest {digest}")
-                samples = decode_media(media)
-                if len(samples) * 8 != width * height * depth:
-                    raise OSError(f"{shard} at {offset}: the header does not fit the samples")
-                rows.append((i, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(media), digest, feature_of(samples)))
-            yield pd.DataFrame(rows, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-        reader.close()
-
-    return meta.mapInPandas(compute, FEATURES.format(id=dict(meta.dtypes)["id"]))
+
+        def compute(m: dict) -> tuple:
+            media = reader.read(m["shard"], m["member_offset"], m["member_length"])
+            if hashlib.sha256(media).hexdigest() != m["digest"]:
+                raise OSError(f"{m['shard']} at {m['member_offset']}: the bytes do not have digest {m['digest']}")
+            samples = decode_media(media)
+            if len(samples) * 8 != m["width"] * m["height"] * m["bit_depth"]:
+                raise OSError(f"{m['shard']} at {m['member_offset']}: the header does not fit the samples")
+            return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(media), m["digest"], feature_of(samples)
+
+        return compute
+
+    rows = meta.select("id", "n_bytes", F.struct("digest", "shard", "member_offset", "member_length", "width", "height", "bit_depth").alias("member"))
+    return add_columns(rows, "member", make, FEATURES, drop=("member",))
 
 
 def canonical_members(pointers: DataFrame) -> DataFrame:
@@ -208,7 +220,7 @@ def canonical_members(pointers: DataFrame) -> DataFrame:
 
 
 def media_query(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store, fill the metadata, read back: one narrow pass, no shuffle."""
+    """Store (now, once), then fill the metadata and read back lazily: narrow passes, no shuffle."""
     folder = folder or scratch_path(docs.sparkSession, "media")
     pointers = store_media(docs, folder, id_col, text_col)
     return media_features(media_columns(pointers)).withColumnRenamed("id", id_col)
