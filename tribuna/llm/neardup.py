@@ -3,20 +3,30 @@
 1. Texts with equal word sequences are one node. A node has the set of its 64-bit shingle hashes and, as its sketch, the
    SKETCH smallest of them.
 2. Inverted lists: retained values that several nodes share, with the nodes that have them. A pair that reaches the
-   threshold shares at least `need` retained values (certain where one sketch is the whole set, by counting what the other
-   may have left out; all but one chance in 10^7 where neither is), so each node enters only the lists of its rarest values, all but need - 1 of them. Passages that many texts share drop out.
+   threshold shares at least `needed` retained values (certain where one sketch is the whole set, by counting what the other
+   may have left out; all but one chance in 10^7 where neither is), so each node enters only the lists of its rarest values, all
+   but needed - 1 of them. Passages that many texts share drop out.
 3. Each list is ordered from its most connected node on. A node is paired with the list's first node and the NEAR nodes
    before it: a number of pairs in proportion to the lists. The union sketch estimates each pair's similarity; pairs that stay
    are verified on full shingle sets.
-4. Longer lists are then swept for links of nodes that are not linked to the first one, on full sets, block against block;
-   what each has in common with the first node bounds what two can reach. A block gives a spanning forest of its links, so no
-   list is paired out.
+4. In longer lists, nodes that are not linked to the first one are open. Lists with the same first node are one unit. Units of
+   more than REFINE nodes get inverted lists anew, over full sets: a node enters the lists of the rarest quarter (and one) of
+   its shingles, which any partner at the threshold must meet, so texts that share a long template but are not near copies do
+   not meet any more. Their pairs go through step 3 again; what is long then, and the smaller units, is swept: open nodes are
+   compared with the unit's nodes on full sets, block against block; what each has in common with the first node bounds what two
+   can reach. A block gives a spanning forest of its links, so no list is paired out.
 5. Components are found by alternating large-star and small-star steps over the links; every step is a table in the
    shared folder. Nothing but counters comes to the driver.
 
+Cost: steps 1 to 3 are in proportion to the texts. The sweep copies each open node once a block of its unit's nodes, and each of
+these once a block of open ones, so it grows with (open nodes) x (unit's nodes) / BLOCK in rows; that is many only for thousands
+of texts that pairwise nearly reach the threshold.
+
 Defined cases: text without words (null, empty, white space) has 0 shingles and is linked with nothing; fewer words than a
-shingle give one shingle of the whole sequence; equal texts are linked; ids are unique (a repeated
-id keeps its rows, and the links of one of its texts count); rows with null ids are left out; hot values, sources and groups are never paired out or gathered in one task; other columns are not read.
+shingle give one shingle of the whole sequence; equal texts are linked; ids of any type, repeated and null ones too: each row is
+judged by its own text, a component is named by its smallest id that is not null, and has a null id only if all are;
+kept is whether the row's id is that name (so repeated rows are all kept; `keep_one` keeps one of them); hot values, sources and
+groups are never paired out or gathered in one task; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,19 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import add_columns, fresh, materialise, slices
 
 #: Fixed values of the contract: words, shingle width, threshold.
 WORD = r"[^\x20\x09-\x0D]+"
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Retained values, those that a pair at the threshold shares at least, nodes before it that a node is paired with.
 SKETCH, NEED, NEAR = 64, 30, 8
-#: Rows and shingles of a block of a long list.
-BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: Rows and shingles of a block of a long list; units of more nodes get lists over full sets; buckets that rank shingles there.
+BLOCK, BLOCK_SHINGLES, REFINE, RANKS = 512, 500_000, 8192, 1 << 16
 #: Hashes of words that a worker keeps.
 KEPT_WORDS = 300_000
 
@@ -116,26 +127,30 @@ def union_estimate(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int(np.count_nonzero(both <= union[-1])) if len(both) else 0, len(union)
 
 
+def text_key(column: str | Column) -> Column:
+    """Tells the texts of rows with one id apart."""
+    return F.xxhash64(column)
+
+
 def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the word sequence, n_shingles and sketch of each row."""
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    """id, key of the text, digest of the word sequence, n_shingles and sketch of each row."""
+    source = docs.select(docs[id_col].alias("id"), text_key(docs[text_col]).alias("key"), docs[text_col].alias("text"))
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         hasher = Hasher()
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch["id"].tolist(), batch["text"].tolist()):
-                words = words_of(text if isinstance(text, str) else None)
-                own = hasher.shingles(words)
-                digest = xxhash.xxh3_128_digest("\n".join(words)) if words else None
-                rows.append((i, digest, len(own), own[:SKETCH]))
-            yield pd.DataFrame(rows, columns=["id", "digest", "n", "sketch"])
 
-    return source.mapInPandas(sketch, f"id {dict(source.dtypes)['id']}, digest binary, n long, sketch array<long>")
+        def sketch(text: str | None) -> tuple:
+            words = words_of(text)
+            own = hasher.shingles(words)
+            return xxhash.xxh3_128_digest("\n".join(words)) if words else None, len(own), own[:SKETCH]
+
+        return sketch
+
+    return add_columns(source, "text", make, "digest binary, n long, sketch array<long>", drop=("text",))
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """value, node, weight: lists of at least two nodes, each node in the lists of its rarest values only."""
+    """value, df, node, n, weight: lists of at least two nodes, each node in the lists of its rarest values only."""
     retained = nodes.select("node", "n", F.explode("sketch").alias("value"))
     shared = retained.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     hits = retained.join(shared, "value")
@@ -152,11 +167,11 @@ def near_pairs(lists: DataFrame, near: int = NEAR) -> tuple[DataFrame, DataFrame
     """(pairs a, b with a < b of each list's nodes with its first and the `near` before them; first node of long lists)."""
     top = lists.groupBy("value").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("first"), F.count("*").alias("m")).where("m > 1")
 
-    def window(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, before = None, []  # the last nodes of the present list
         for batch in batches:
             out = []
-            for value, first, node in batch.itertuples(index=False):
+            for value, first, node in zip(*(batch.column(c).to_pylist() for c in ("value", "first", "node"))):
                 if value != at:
                     at, before = value, []
                 out.extend((min(x, node), max(x, node)) for x in before if x != node)
@@ -165,12 +180,16 @@ def near_pairs(lists: DataFrame, near: int = NEAR) -> tuple[DataFrame, DataFrame
                 before.append(node)
                 if len(before) > near:
                     del before[0]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+            out = sorted(set(out))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
-    # ranges of (value, weight, node): a long list is dealt over several tasks
-    spread = lists.join(top, "value").select("value", "first", "node", "weight").repartitionByRange("value", "weight", "node").sortWithinPartitions("value", F.desc("weight"), "node")
-    pairs = spread.select("value", "first", "node").mapInPandas(window, "a long, b long").distinct()
-    return pairs, top.where(F.col("m") > near + 1)
+    spread = lists.join(top, "value").select("value", "first", "node", "weight", "m")
+    order = ("value", F.desc("weight"), "node")
+    # a short list stays whole in one task, as all its pairs are wanted; a long one, which is swept besides, is dealt by ranges
+    short = spread.where(F.col("m") <= near + 1).repartition("value").sortWithinPartitions(*order)
+    long = spread.where(F.col("m") > near + 1).repartitionByRange("value", "weight", "node").sortWithinPartitions(*order)
+    pairs = [x.select("value", "first", "node").mapInArrow(window, "a long, b long") for x in (short, long)]
+    return pairs[0].unionByName(pairs[1]).distinct(), top.where(F.col("m") > near + 1)
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -190,47 +209,47 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(may("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b", "n_a", "n_b")
     likely = materialise(likely, "likely")
+    texts = materialise(texts_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts), "texts")
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = materialise(texts.join(wanted, "node"), "texts")
-    both = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "n_a", "n_b", "text_a", "text_b")
+    both = likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "n_a", "n_b", F.struct("a", "b", "text_a", "text_b").alias("pair"))
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         hasher, kept = Hasher(), {}
-        for batch in batches:
-            rows = []
-            for a, b, na, nb, ta, tb in batch.itertuples(index=False):
-                sets = []
-                for i, t in ((a, ta), (b, tb)):
-                    s = kept.get(i)
-                    if s is None:
-                        if len(kept) > 256:
-                            kept.clear()
-                        kept[i] = s = hasher.shingles(words_of(t))
-                    sets.append(s)
-                rows.append((a, b, common(*sets), na, nb))
-            yield pd.DataFrame(rows, columns=["a", "b", "both", "n_a", "n_b"])
-
-    return materialise(both.mapInPandas(exact, "a long, b long, both long, n_a long, n_b long"), "verified")
-
-
-def shingle_sets(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+
+        def set_of(node: int, t: str) -> np.ndarray:
+            s = kept.get(node)
+            if s is None:
+                if len(kept) > 256:
+                    kept.clear()
+                kept[node] = s = hasher.shingles(words_of(t))
+            return s
+
+        return lambda p: (common(set_of(p["a"], p["text_a"]), set_of(p["b"], p["text_b"])),)
+
+    return materialise(add_columns(both, "pair", make, "both long", drop=("pair",)), "verified")
+
+
+def texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes: the text of the row that stands for a node; rows that repeat it count once."""
+    rows = wanted.join(nodes.select("node", F.col("at.id").alias("id"), F.col("at.key").alias("key")), "node")
+    found = texts.alias("t").join(rows.alias("r"), F.col("t.id").eqNullSafe(F.col("r.id")) & (F.col("t.key") == F.col("r.key"))).select("node", "text")
+    return found.dropDuplicates(["node"])  # equal texts, whichever stays
+
+
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """node, grams (its sorted shingle hashes as bytes) of the wanted nodes."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         hasher = Hasher()
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "grams": [hasher.shingles(words_of(t)).tobytes() for t in batch["text"]]})
+        return lambda t: (hasher.shingles(words_of(t)).tobytes(),)
 
-    return texts.join(wanted, "node").mapInPandas(make, "node long, grams binary")
+    return add_columns(texts_of(wanted, nodes, texts), "text", make, "grams binary", drop=("text",))
 
 
-def sweep_links(lists: DataFrame, tops: DataFrame, nodes: DataFrame, texts: DataFrame, verified: DataFrame, rows_a_block: int = BLOCK, shingles_a_block: int = BLOCK_SHINGLES) -> DataFrame:
-    """a, b: further links of long lists, enough of them to connect what is connected.
+def members_of(lists: DataFrame, tops: DataFrame, nodes: DataFrame, verified: DataFrame) -> DataFrame:
+    """first, node, n, both (with the first, -1 if unknown), linked, of units that have open nodes, and the unit's shape.
 
-    Lists with the same first node are one unit, so a node is sent once a unit and not once a list. A unit's open nodes, those
-    not linked to its first node, are compared with all its nodes on full sets, block against block; each block gives a
-    spanning forest of the links it finds, so what comes out grows with the nodes and not with their pairs."""
+    Lists with the same first node are one unit, so a node is sent once a unit and not once a list."""
     known = verified.select("a", "b", "both").unionByName(verified.select(F.col("b").alias("a"), F.col("a").alias("b"), "both"))
     members = lists.join(tops, "value").select("first", "node", "n").distinct()
     sizes = nodes.select(F.col("node").alias("first"), F.col("n").alias("n_first"))
@@ -238,22 +257,88 @@ def sweep_links(lists: DataFrame, tops: DataFrame, nodes: DataFrame, texts: Data
     both = F.when(F.col("node") == F.col("first"), F.col("n")).otherwise(F.coalesce("both", F.lit(-1)))
     linked = (F.col("both") >= 0) & (F.col("both") * DENOMINATOR >= NUMERATOR * (F.col("n") + F.col("n_first") - F.col("both")))
     rows = materialise(rows.withColumn("both", both).withColumn("linked", linked).select("first", "node", "n", "both", "linked"), "members")
-    blocks = lambda count, shingles: F.greatest(F.ceil(count / rows_a_block), F.ceil(shingles / shingles_a_block)).cast("int")
     is_open = ~F.col("linked")
-    shape = rows.groupBy("first").agg(blocks(F.count("*"), F.sum("n")).alias("nb"), F.count_if(is_open).alias("u"), F.greatest(F.lit(1), blocks(F.count_if(is_open), F.sum(F.when(is_open, F.col("n")).otherwise(0)))).alias("nu")).where("u > 0")
-    rows = rows.join(shape, "first")
+    shape = rows.groupBy("first").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.count_if(is_open).alias("u"), F.sum(F.when(is_open, F.col("n")).otherwise(0)).alias("us")).where("u > 0")
+    return rows.join(shape, "first")
+
+
+def sweep_links(rows: DataFrame, sets: DataFrame, rows_a_block: int = BLOCK, shingles_a_block: int = BLOCK_SHINGLES) -> DataFrame:
+    """a, b: further links of units, enough of them to connect what is connected.
+
+    A unit's open nodes, those not linked to its first node, are compared with all its nodes on full sets, block against
+    block; each block gives a spanning forest of the links it finds, so what comes out grows with the nodes and not with their pairs."""
+    blocks = lambda count, shingles: F.greatest(F.lit(1), F.ceil(F.col(count) / rows_a_block), F.ceil(F.col(shingles) / shingles_a_block)).cast("int")
+    rows = rows.withColumn("nb", blocks("m", "s")).withColumn("nu", blocks("u", "us"))
+    is_open = ~F.col("linked")
     h = F.xxhash64("node")
     left = rows.where(is_open).withColumn("xb", F.pmod(h, F.col("nu")).cast("int")).withColumn("yb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     right = rows.withColumn("yb", F.pmod(h, F.col("nb")).cast("int")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("nu") - 1)))
     columns = ["first", "xb", "yb", "node", "n", "both", "linked"]
     units = left.select(*columns, F.lit(True).alias("open")).unionByName(right.select(*columns, F.lit(False).alias("open")))
-    units = units.join(materialise(shingle_sets(rows.select("node").distinct(), texts), "sets"), "node")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         x, y = group[group["open"]], group[~group["open"]]
         return pd.DataFrame(_block_links(x, y, key[0]) if len(x) and len(y) else [], columns=["a", "b"], dtype="int64")
 
-    return units.groupBy("first", "xb", "yb").applyInPandas(compare, "a long, b long")
+    return units.join(sets, "node").groupBy("first", "xb", "yb").applyInPandas(compare, "a long, b long")
+
+
+def refined_lists(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """value, df, node, n, weight: lists over full sets of the wanted nodes, each in those of its rarest shingles only.
+
+    A pair at the threshold has at least NUMERATOR / DENOMINATOR of the smaller and of the larger set in common, so under any
+    one order of shingles it meets in the first n - ceil(that) + 1 of both. The order is by how often a shingle's bucket occurs."""
+    sets = sets.join(wanted, "node")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(RANKS, dtype=np.int64)
+        for batch in slices(batches):
+            for g in batch.column("grams").to_pylist():
+                sums += np.bincount(np.frombuffer(g, np.int64) & (RANKS - 1), minlength=RANKS)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["bucket", "c"])
+
+    often = np.zeros(RANKS, dtype=np.int64)
+    counted = sets.mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toPandas()  # RANKS rows at most
+    often[counted["bucket"].to_numpy()] = counted["c"].to_numpy()
+    shared = wanted.sparkSession.sparkContext.broadcast(often)
+
+    def make():
+        ranks = shared.value
+
+        def first(grams: bytes) -> tuple:
+            v = np.frombuffer(grams, np.int64)
+            n = len(v)
+            return n, v[np.lexsort((v, ranks[v & (RANKS - 1)]))][: n - -(-NUMERATOR * n // DENOMINATOR) + 1]
+
+        return first
+
+    rows = add_columns(sets, "grams", make, "n long, values array<long>", drop=("grams",)).select("node", "n", F.explode("values").alias("value"))
+    rows = materialise(rows, "refined")
+    shared_values = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    hits = rows.join(shared_values, "value")
+    weights = hits.groupBy("node").agg(F.sum("df").alias("weight"))
+    return hits.join(weights, "node").select("value", "df", "node", "n", "weight")
+
+
+def long_list_links(lists: DataFrame, tops: DataFrame, nodes: DataFrame, texts: DataFrame, verified: DataFrame, refine: int = REFINE, **blocks) -> DataFrame:
+    """a, b: what `near_pairs` leaves open in long lists."""
+    units = materialise(members_of(lists, tops, nodes, verified), "units")
+    sets = materialise(shingle_sets(units.select("node").distinct(), nodes, texts), "sets")
+    small, large = units.where(F.col("m") <= refine), units.where(F.col("m") > refine)
+    links = sweep_links(small, sets, **blocks)
+    if large.isEmpty():
+        return links
+    again = materialise(refined_lists(large.select("node").distinct(), sets), "lists")
+    pairs, tops = near_pairs(again)
+    verified = verify(pairs, nodes, texts)
+    rest = sweep_links(materialise(members_of(again, tops, nodes, verified), "units"), sets, **blocks)
+    return links.unionByName(linked_pairs(verified)).unionByName(rest)
+
+
+def linked_pairs(verified: DataFrame) -> DataFrame:
+    """a, b of the verified pairs that are links."""
+    return verified.where(F.col("both") * DENOMINATOR >= NUMERATOR * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def _block_links(x: pd.DataFrame, y: pd.DataFrame, first: int) -> list[tuple[int, int]]:
@@ -328,19 +413,49 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept of each row."""
-    rows = materialise(nodes_of(docs.where(docs[id_col].isNotNull()), id_col, text_col), "rows")
-    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    nodes = materialise(nodes, "nodes")
+def judged(docs: DataFrame, id_col: str, text_col: str, refine: int = REFINE, **blocks) -> DataFrame:
+    """id, key, digest, n_shingles, component (a number, null without words), component_id of each row."""
+    rows = materialise(nodes_of(docs, id_col, text_col), "rows")
+    # a node is numbered when its table is written; the numbers stay what they are, whatever is computed again later
+    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("id", "key")).alias("at"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     lists = materialise(inverted_lists(nodes), "lists")
-    texts = docs.select(docs[id_col].cast("long").alias("node"), docs[text_col].alias("text")).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    texts = docs.select(docs[id_col].alias("id"), text_key(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     pairs, tops = near_pairs(lists)
     first = verify(pairs, nodes, texts)
-    links = first.where(F.col("both") * DENOMINATOR >= NUMERATOR * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
-    found = components(links.unionByName(sweep_links(lists, tops, nodes, texts, first)))
-    # rows of a node, and ids that stand on several nodes, go to the node's component
-    named = rows.where("digest IS NOT NULL").join(nodes.select("digest", "node"), "digest").select("id", "n", "node").join(found, "node", "left")
-    named = named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
-    alone = rows.where("digest IS NULL").select("id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
-    return named.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    found = components(linked_pairs(first).unionByName(long_list_links(lists, tops, nodes, texts, first, refine, **blocks)))
+    named = nodes.join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))  # null ids are passed over
+    named = named.join(least, "component").select("digest", "component", "component_id")
+    own = rows.select("id", "key", "digest", F.col("n").alias("n_shingles"))
+    linked = own.where("digest IS NOT NULL").join(named, "digest").select("id", "key", "digest", "n_shingles", "component", "component_id")
+    return linked.unionByName(own.where("digest IS NULL").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("id")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", refine: int = REFINE, **blocks) -> DataFrame:
+    """id, n_shingles, component_id, kept of each row."""
+    out = judged(docs, id_col, text_col, refine, **blocks)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that are near-duplicates of another: of each component the row with the smallest id stays, and of
+    rows that repeat that id in the component one. Rows without words all stay. Same columns."""
+    found = materialise(judged(docs, id_col, text_col), "judged")
+    named = F.col("id").eqNullSafe(F.col("component_id"))
+    key = fresh(docs, "__key")
+    out = docs.withColumn(key, text_key(docs[text_col]))
+
+    def among(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        other = other.select(F.col("id").alias("i"), F.col("key").alias("k")).distinct().alias("g")
+        return rows.join(other, rows[id_col].eqNullSafe(F.col("g.i")) & (rows[key] == F.col("g.k")), how)
+
+    out = among(out, found.where(~named), "left_anti")
+    heads = found.where(named & F.col("component").isNotNull())
+    several = heads.groupBy("component").agg(F.count("*").alias("c"), F.min("key").alias("least")).where("c > 1")
+    if several.isEmpty():  # ids do not repeat within a component
+        return out.drop(key)
+    heads = materialise(heads.join(several, "component"), "heads")
+    out = among(out, heads.where(F.col("key") != F.col("least")), "left_anti")
+    left = heads.where(F.col("key") == F.col("least"))
+    return among(out, left, "left_anti").unionByName(among(out, left, "left_semi").dropDuplicates([id_col, key])).drop(key)
