@@ -11,42 +11,59 @@ from .common import table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text. Null and empty texts count 0; rows with equal or null ids each give their row; an empty table none."""
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from rows that are not held out. Null texts and texts without a letter are `und` with
+    score 0; ties go to the first name; null ids are neither held out nor learned from; an empty table gives no rows."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every url. Null urls and those without :// have an empty host and path and are allowed; rows with equal
+    or null ids each give their row; an empty table none."""
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), urlrules.query_rules(spark))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in windows of benchmark items. Null texts have no words; items without words or with a null id are
+    not found; equal items all count; empty tables give no hits, or no rows."""
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences. Null and empty texts are a closing id alone; rows with equal or null ids are packed each
+    on their own; an empty table gives no rows."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null and empty html give the empty text, as do pages without content; an empty table gives no rows."""
     return pagetext.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text. Null and empty texts have none; equal spans of two kinds both count; an empty table gives no rows."""
     return secretscan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every whole text. Null and empty texts are rejected; without annotations the heuristic labellers
+    decide; an empty table gives no rows."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored payload and features of every whole text. Null is the empty text, 64 zero bytes; equal texts give equal values; an empty
+    table gives no rows."""
     return media.media_query(table(spark, sf_dir, "documents"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document. Texts without words are linked with nothing; rows with equal or null ids are judged by their own
+    texts; an empty table gives no rows."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
