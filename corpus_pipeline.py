@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns a DataFrame; all but the last return
 the columns of documents. run() writes each stage's result into the shared folder and reads it back for the next one.
+
+Defined cases: a document with null or empty text is rejected by the first stage; rows with equal or null ids are judged by their
+own texts; columns of other names pass through; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,8 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates, and all others."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return neardup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
