@@ -6,8 +6,8 @@
    threshold shares at least `needed` retained values (certain where one sketch is the whole set, by counting what the other
    may have left out; all but one chance in 10^7 where neither is), so each node enters only the lists of its rarest values, all
    but needed - 1 of them. Passages that many texts share drop out.
-3. Each list is ordered from its most connected node on. A node is paired with the list's first node and the NEAR nodes
-   before it: a number of pairs in proportion to the lists. The union sketch estimates each pair's similarity; pairs that stay
+3. In lists of up to NEAR + 1 nodes all are paired, in longer ones each with the list's first, that is most connected, node: a
+   number of pairs in proportion to the lists. The union sketch estimates each pair's similarity; pairs that stay
    are verified on full shingle sets.
 4. In longer lists, nodes that are not linked to the first one are open. Lists with the same first node are one unit. Units of
    more than REFINE nodes get inverted lists anew, over full sets: a node enters the lists of the rarest quarter (and one) of
@@ -46,7 +46,7 @@ from .common import add_columns, fresh, materialise, slices
 #: Fixed values of the contract: words, shingle width, threshold.
 WORD = r"[^\x20\x09-\x0D]+"
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
-#: Retained values, those that a pair at the threshold shares at least, nodes before it that a node is paired with.
+#: Retained values, those that a pair at the threshold shares at least, and one less than the nodes of a short list.
 SKETCH, NEED, NEAR = 64, 30, 8
 #: Rows and shingles of a block of a long list; units of more nodes get lists over full sets; buckets that rank shingles there.
 BLOCK, BLOCK_SHINGLES, REFINE, RANKS = 512, 500_000, 8192, 1 << 16
@@ -164,32 +164,26 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
 
 
 def near_pairs(lists: DataFrame, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b with a < b of each list's nodes with its first and the `near` before them; first node of long lists)."""
+    """(pairs a, b with a < b: all of short lists, each node with the first one of longer lists; value and first node of these)."""
     top = lists.groupBy("value").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("first"), F.count("*").alias("m")).where("m > 1")
 
     def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, before = None, []  # the last nodes of the present list
+        at, before = None, []  # the nodes of the present list
         for batch in batches:
             out = []
-            for value, first, node in zip(*(batch.column(c).to_pylist() for c in ("value", "first", "node"))):
+            for value, node in zip(*(batch.column(c).to_pylist() for c in ("value", "node"))):
                 if value != at:
                     at, before = value, []
-                out.extend((min(x, node), max(x, node)) for x in before if x != node)
-                if first != node and first not in before:
-                    out.append((min(first, node), max(first, node)))
+                out.extend((min(x, node), max(x, node)) for x in before)
                 before.append(node)
-                if len(before) > near:
-                    del before[0]
             out = sorted(set(out))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
-    spread = lists.join(top, "value").select("value", "first", "node", "weight", "m")
-    order = ("value", F.desc("weight"), "node")
-    # a short list stays whole in one task, as all its pairs are wanted; a long one, which is swept besides, is dealt by ranges
-    short = spread.where(F.col("m") <= near + 1).repartition("value").sortWithinPartitions(*order)
-    long = spread.where(F.col("m") > near + 1).repartitionByRange("value", "weight", "node").sortWithinPartitions(*order)
-    pairs = [x.select("value", "first", "node").mapInArrow(window, "a long, b long") for x in (short, long)]
-    return pairs[0].unionByName(pairs[1]).distinct(), top.where(F.col("m") > near + 1)
+    spread = lists.join(top, "value").select("value", "first", "node", "m")
+    short = spread.where(F.col("m") <= near + 1).select("value", "node").repartition("value").sortWithinPartitions("value", "node")
+    # a longer list is swept besides, for what its first node leaves open
+    long = spread.where((F.col("m") > near + 1) & (F.col("first") != F.col("node"))).select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
+    return short.mapInArrow(window, "a long, b long").unionByName(long).distinct(), top.where(F.col("m") > near + 1)
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
