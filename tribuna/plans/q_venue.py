@@ -153,14 +153,12 @@ def type_percentile_reference(spark, sf_dir):
     return rounded(r.select("type_site", "conteo", "es_cold_start", *[F.col("bin_edges")[i].alias(f"q{i}") for i in (0, 25, 50, 100)]), 3)
 
 
-@query(f"""WITH {_MEANS}, ref AS (SELECT type_site, mean_price FROM m WHERE mean_price IS NOT NULL), agg AS (SELECT type_site, list_sort(list(mean_price)) AS v, count(*) AS n FROM ref GROUP BY 1),
-x AS (SELECT t_performance_id, _row_id, typed.type_site, coalesce(med_base_unit_amt_itx, 0.0) AS p FROM typed WHERE t_performance_id % 20 = 3),
-r AS (SELECT x.*, n, len(list_filter(v, lambda y: y < p)) AS lt, len(list_filter(v, lambda y: y <= p)) AS le FROM x LEFT JOIN agg USING (type_site))
-SELECT t_performance_id, _row_id, round(CASE WHEN n IS NULL OR n < 50 OR type_site = 'desconocido' THEN 0.5 ELSE (lt + le + CASE WHEN lt < le THEN 1 ELSE 0 END) / (2.0 * n) END, 6) AS percentil FROM r""")
+@query(f"""WITH {_MEANS}, u AS (SELECT type_site, v, CAST(sum(k) AS BIGINT) AS k FROM (SELECT DISTINCT type_site, CAST(coalesce(med_base_unit_amt_itx, 0.0) AS DOUBLE) AS v, 0 AS k FROM typed UNION ALL SELECT type_site, mean_price, count(*) FROM m WHERE mean_price IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2),
+r AS (SELECT type_site, v, k, sum(k) OVER (PARTITION BY type_site ORDER BY v ROWS UNBOUNDED PRECEDING) AS le, sum(k) OVER (PARTITION BY type_site) AS n FROM u)
+SELECT t_performance_id, _row_id, round(CASE WHEN n < 50 OR type_site = 'desconocido' THEN 0.5 ELSE (2 * le - k + CASE WHEN k > 0 THEN 1 ELSE 0 END) / (2.0 * n) END, 6) AS percentil FROM typed JOIN r USING (type_site) WHERE v = CAST(coalesce(med_base_unit_amt_itx, 0.0) AS DOUBLE)""")
 def type_percentile_infer(spark, sf_dir):
     t = typed(spark, sf_dir)
-    # the SQL is quadratic in this query's form, so a lot (every twentieth event) is scored against the whole reference
-    out = P.percentile_of(t.where("t_performance_id % 20 = 3"), P.reference_prices(t, "med_base_unit_amt_itx"), P.percentile_reference(t, "med_base_unit_amt_itx"))
+    out = P.percentile_of(t, P.reference_prices(t, "med_base_unit_amt_itx"), P.percentile_reference(t, "med_base_unit_amt_itx"))
     return rounded(out.select("t_performance_id", "_row_id", F.col("percentil_precio_absoluto_dentro_tipo").alias("percentil")))
 
 
