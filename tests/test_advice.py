@@ -53,7 +53,7 @@ def test_mixture_and_prototypes_settle(spark):
 
 def test_vector_queries_read_all_dimensions(spark):
     rows = spark.read.parquet(f"{DIR}/embeddings.parquet").collect()
-    assert {len(r.features) for r in q_cluster.whole_vectors(spark, DIR).collect()} == {len(rows[0].embedding)} == {64}
+    assert {len(r.features) for r in q_cluster.vectors(spark, DIR).collect()} == {len(rows[0].embedding)} == {64}
     x = np.array([r.embedding for r in rows], dtype=float)
     var = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
     got = q_cluster.pca_project(spark, DIR).first()

@@ -129,6 +129,13 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def sub_phrases(tokens: Column, most: Column | int) -> Column:
+    """Every distinct run of 1 to `most` tokens, joined by a space; all of them if `most` is at least the number of tokens."""
+    size = F.size(tokens)
+    runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(size - i + 1, most if isinstance(most, Column) else F.lit(most))), lambda n: F.array_join(F.slice(tokens, i, n), " "))
+    return F.when(size >= 1, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), runs)))).otherwise(F.array().cast("array<string>"))
+
+
 def terms(c: Column) -> Column:
     """Words and pairs of words."""
     return let(words(c), lambda w: F.concat(w, ngrams(w, 2)))

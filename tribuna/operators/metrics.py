@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +13,21 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """a, b, r: Pearson's correlation of each pair of columns over rows that have both, in one pass."""
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in combinations(columns, 2)]
+    return df.agg(F.array(*pairs).alias("x")).select(F.explode("x").alias("x")).select("x.a", "x.b", "x.r")
+
+
+def cumulative_variance(df: DataFrame, order: str, variance: str, enough: float = 0.90) -> DataFrame:
+    """Adds share, cumulative, and is_enough (the first rows in order that reach `enough`). A row an axis, so one window is small."""
+    w = Window.partitionBy(F.lit(1)).orderBy(order)
+    total = F.sum(variance).over(Window.partitionBy(F.lit(1)))
+    total = F.when(total > 0, total)
+    upto = F.sum(variance).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumns({"share": F.col(variance) / total, "cumulative": upto / total}).withColumn("is_enough", F.col("cumulative") >= enough)
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).agg(F.count("*").alias("n"))
 

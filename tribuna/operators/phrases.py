@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TAGS, ngrams, normalize_text
+from ..functions.text import TAGS, ngrams, normalize_text, sub_phrases
 
 _MONTHS = r"\b(ENE|FEB|MAR|ABR|MAYO|JUN|JUL|AGO|SEP|OCT|NOV|DIC|ENERO|FEBRERO|MARZO|ABRIL|JUNIO|JULIO|AGOSTO|SEPTIEMBRE|OCTUBRE|NOVIEMBRE|DICIEMBRE)\b"
 _CITIES = r"\b(BOGOTA|MEDELLIN|CALI|BARRANQUILLA|CARTAGENA|BUCARAMANGA|PEREIRA|MANIZALES|SANTA MARTA|IBAGUE|CUCUTA|VILLAVICENCIO|PASTO|POPAYAN|ARMENIA|MONTERIA|VALLEDUPAR)\b"
@@ -72,13 +72,22 @@ def subsume(candidates: DataFrame, text: str = "ngram") -> DataFrame:
     rank = F.struct(-F.col("frecuencia"), -F.col("n_eventos"), -F.col("n_tokens"), -F.length(text), F.col(text))
     c = candidates.withColumn("rank", rank)
     words = F.split(text, " ")
-    subs = F.array_distinct(F.flatten(F.array(*[ngrams(words, n) for n in (1, 2, 3, 4, 5)])))
+    subs = sub_phrases(words, F.size(words))
     holds = c.select(F.col(text).alias("holder"), F.col("rank").alias("holder_rank"), F.explode(subs).alias(text)).where(F.col(text) != F.col("holder"))
     parents = c.select(text, "rank").join(holds, text).where("holder_rank < rank").groupBy(text).agg(F.min_by("holder", "holder_rank").alias("holder"))
     absorbed = parents.groupBy(F.col("holder").alias(text)).agg(F.count("*").alias("subsumidos"))
     return c.drop("rank").join(parents.select(text), text, "left_anti").join(absorbed, text, "left").fillna(0, ["subsumidos"])
 
 
+def compression(candidates: DataFrame, classes: DataFrame, least_events: int = 20, most: int = 100) -> DataFrame:
+    """One row: brutos (phrases found), tras_subsumcion (those for review that no other holds), tras_clases (with classes of as many
+    events), final (what the queue takes)."""
+    kept = subsume(candidates.where(F.col("n_eventos") >= least_events)).agg(F.count("*").alias("tras_subsumcion"))
+    systematic = classes.where(F.col("n_eventos") >= least_events).agg(F.count("*").alias("c"))
+    one = candidates.agg(F.count("*").alias("brutos")).crossJoin(kept).crossJoin(systematic)  # single rows
+    return one.withColumn("tras_clases", F.col("tras_subsumcion") + F.col("c")).withColumn("final", F.least("tras_clases", F.lit(most).cast("long"))).drop("c")
+
+
 def review_queue(rows: DataFrame, most: int = 100, key: str = "ngram") -> DataFrame:
     """Adds position and queue: the first `most` rows for review, what is beyond for observation."""
     top = rows.orderBy(F.desc("frecuencia"), F.desc("n_eventos"), key).limit(most).select(key, F.lit("review").alias("queue"))

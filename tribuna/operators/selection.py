@@ -64,6 +64,60 @@ def price_ladder(df: DataFrame, event, price: str, n: int = 12) -> DataFrame:
     return rows.orderBy(F.desc(price), "logical_seat_category").limit(n).select("logical_seat_category", price).crossJoin(total).withColumn("rest", F.greatest(F.col("total") - n, F.lit(0))).drop("total")
 
 
+def name_matches(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Rows whose name holds a match of the pattern, in either case; a null name has none."""
+    return df.where(F.col(column).rlike(f"(?i){pattern}"))
+
+
+def event_detail(df: DataFrame, event) -> DataFrame:
+    """All rows of one event, each with the event's number of rows and sum of quotas."""
+    w = Window.partitionBy("t_performance_id")
+    return df.where(F.col("t_performance_id") == event).withColumn("event_rows", F.count("*").over(w)).withColumn("event_sum", F.sum("dn_quota").over(w))
+
+
+def dear_general(df: DataFrame, types: Sequence[str] = ("teatro", "auditorio"), over: float = 0.60, archetype_cluster: str = "cluster") -> DataFrame:
+    """Rows named GENERAL in venues of the types whose price percentile within the type is above `over`, single-zone rows (-1) aside."""
+    general = F.coalesce(F.col("texto_limpio"), F.lit("")).rlike(r"\bGENERAL\b")
+    return df.where(F.col("type_site").isin(*types) & general & (F.col("percentil_precio_absoluto_dentro_tipo") > over) & (F.col(archetype_cluster) != -1))
+
+
+def representatives(df: DataFrame, group: str, score: str = "score_confianza", border: str = "es_frontera", *ties: str) -> DataFrame:
+    """One row a group: the surest that is off the border, or the surest where all are on it."""
+    return best_per_group(df, group, F.coalesce(F.col(border), F.lit(False)), F.desc_nulls_last(score), *ties)
+
+
+#: Clusters of the gallery's two groups, and how many cards each may hold.
+PREMIUM = ("VIP-0", "VIP-1", "VIP-2", "PPF-0", "PPF-1", "PPF-2")
+MASS = ("PGI-0", "PGI-1", "PGI-2", "PGI-3", "POP-0", "POP-1", "POP-2", "POP-3", "GGM-0", "GGM-1", "GGM-2")
+GALLERY = (("premium", PREMIUM, 8), ("masivos", MASS, 12))
+
+
+def gallery(df: DataFrame, groups=GALLERY, single: str = "AU-0", excluded: Sequence[str] = (), tie: str = "_row_id") -> DataFrame:
+    """Cards with `grupo` and `caso`: the report's bounded pick (its caps are the feature).
+
+    Each group takes the best row of each of its clusters off the border, then the second best names of its most populous
+    clusters (by distinct names) up to its cap. Then come two rows of the single-zone cluster, the two least sure border rows and
+    the surest hybrid. Ties go by `tie`. Empty clusters give nothing; a null label is no hybrid.
+    """
+    id_, name, score = "micro_cluster_id", "logical_seat_category", "score_confianza"
+    df = df.where(~F.col(id_).isin(*excluded)) if excluded else df
+    off = ~F.coalesce(F.col("es_frontera"), F.lit(False))
+    best = (F.desc_nulls_last(score), F.col(tie))
+    group = F.coalesce(*[F.when(F.col(id_).isin(*ids), F.lit(g)) for g, ids, _ in groups])
+    top = top_per_group(df.where(off & group.isNotNull()), id_, name, 2, *best)
+    names = df.where(off & group.isNotNull()).groupBy(id_).agg(F.count_distinct(name).alias("_names"))
+    ranked = top.join(names, id_).withColumn("grupo", group)
+    order = (F.col("rank"), F.when(F.col("rank") == 2, -F.col("_names")), F.col(id_))
+    ranked = ranked.withColumn("_card", F.row_number().over(Window.partitionBy("grupo").orderBy(*order)))
+    most = F.coalesce(*[F.when(F.col("grupo") == g, F.lit(n)) for g, _, n in groups])
+    cards = ranked.where((F.col("rank") == 1) | (F.col("_card") <= most)).withColumn("caso", F.lit("representante")).drop("rank", "_names", "_card")
+    special = lambda rows, case, n, *by: rows.orderBy(*by).limit(n).withColumn("grupo", F.lit("especiales")).withColumn("caso", F.lit(case))
+    alone = special(df.where(off & (F.col(id_) == single)), "representante", 2, *best)
+    edge = special(df.where("es_frontera"), "frontera", 2, F.asc_nulls_last(score), tie)
+    mixed = special(df.where(off & F.col("label_auto").startswith("hibrido")), "hibrido", 1, *best)
+    return cards.unionByName(alone).unionByName(edge).unionByName(mixed)
+
+
 def count_bucket(n: Column) -> Column:
     """1 to 5, or more."""
     return F.when(n <= 5, n.cast("string")).otherwise(F.lit(">5"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import ngrams, normalize_venue
+from ..functions.text import normalize_venue, sub_phrases
 
 
 def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
@@ -27,14 +27,15 @@ def exact_types(df: DataFrame, lookup: DataFrame, site: str = "site", fallback:
     return df.join(_small(lookup.select(F.col("site").alias(site), F.col("type_site").alias("_t"))), site, "left").withColumn("type_site", F.coalesce("_t", F.lit(fallback))).drop("_t")
 
 
-def dictionary_types(df: DataFrame, dictionary: DataFrame, site: str = "site", most_words: int = 12) -> DataFrame:
+def dictionary_types(df: DataFrame, dictionary: DataFrame, site: str = "site") -> DataFrame:
     """Adds dictionary_type: an exact name, else the first entry (by _ord) of two words and eight characters or more that the
-    name holds as a phrase. Names give their phrases and join by equality, so there is no nested-loop join."""
+    name holds as a phrase. Names give their phrases, as long as the dictionary's longest, and join by equality, so there is no
+    nested-loop join."""
     entries = dictionary.select(normalize_venue(F.col("site")).alias("phrase"), F.col("type_site").alias("_type"), "_ord").where("phrase <> ''")
     entries = entries.groupBy("phrase").agg(F.min_by("_type", "_ord").alias("_type"), F.min("_ord").alias("_ord"))
     names = df.select(normalize_venue(F.col(site)).alias("_name")).distinct()
-    tokens = F.split("_name", " ")
-    phrases = F.array_distinct(F.flatten(F.array(F.array("_name"), *[ngrams(tokens, n) for n in range(2, most_words + 1)])))
+    most = entries.agg(F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(1))).first()[0]
+    phrases = F.array_union(F.array("_name"), sub_phrases(F.split("_name", " "), most))
     found = names.select("_name", F.explode(phrases).alias("phrase")).join(_small(entries), "phrase")
     found = found.where((F.col("phrase") == F.col("_name")) | (F.contains("phrase", F.lit(" ")) & (F.length("phrase") >= 8)))
     best = found.groupBy("_name").agg(F.min_by("_type", F.struct(F.col("phrase") != F.col("_name"), F.col("_ord"))).alias("dictionary_type"))
@@ -77,6 +78,12 @@ def consolidate_review(lookup: DataFrame, review: DataFrame) -> DataFrame:
     return merge_precedence(done, lookup.select("site", "type_site", "confianza", "fuente"))
 
 
+def coverage(lookup: DataFrame, sites: DataFrame, key: str = "site") -> DataFrame:
+    """One row: lookup_rows, distinct sites, pct of the sites that the lookup's rows make up."""
+    rows, names = lookup.agg(F.count("*").alias("lookup_rows")), sites.agg(F.count_distinct(key).alias("sites"))
+    return rows.crossJoin(names).withColumn("pct", F.when(F.col("sites") > 0, 100 * F.col("lookup_rows") / F.when(F.col("sites") > 0, F.col("sites"))))  # single rows
+
+
 def unprocessed(df: DataFrame, done: DataFrame, key: str = "site") -> DataFrame:
     """Rows whose key was not handled yet."""
     return df.join(done.select(key).distinct(), key, "left_anti")

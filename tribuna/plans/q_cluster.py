@@ -23,20 +23,14 @@ from .q_venue import SEATS_SQL, TAGGED_SQL, seats, typed
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
 
-DIMS = 8
-VEC_SQL = f"vec AS (SELECT vec_id, label, CAST(embedding[1:{DIMS}] AS DOUBLE[]) AS v, vec_id % 5 AS other FROM embeddings)"
-CEN_SQL = "long AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(1, 9)) AS i FROM vec), cen AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM long GROUP BY 1, 2)"
+DIMS = 64
+VEC_SQL = "vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, vec_id % 5 AS other FROM embeddings)"
+CEN_SQL = "long AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vec), cen AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM long GROUP BY 1, 2)"
 
 
 def vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("features"), (F.col("vec_id") % 5).alias("other"))
-
-
-def whole_vectors(spark, sf_dir):
-    """All dimensions, for the queries without SQL."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"), (F.col("vec_id") % 5).alias("other"))
 
 
 @lru_cache(maxsize=4)
@@ -45,7 +39,7 @@ def metrics(spark, sf_dir):
     return materialise(T.with_text_features(R.relative_metrics(typed(spark, sf_dir))), "enriched")
 
 
-@query(f"WITH {VEC_SQL}, c AS (SELECT vec_id AS c, v AS cv FROM vec WHERE vec_id < 5), d AS (SELECT vec_id, c, sqrt(list_sum(list_transform(range(1, 9), lambda i: (v[i] - cv[i]) * (v[i] - cv[i])))) AS d FROM vec, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS k FROM d) SELECT vec_id, CAST(max(CASE WHEN k = 1 THEN c END) AS INT) AS cluster, CAST(max(CASE WHEN k = 2 THEN c END) AS INT) AS second, round(max(CASE WHEN k = 1 THEN d END), 6) + 0.0 AS d1, round((max(CASE WHEN k = 2 THEN d END) - max(CASE WHEN k = 1 THEN d END)) / (max(CASE WHEN k = 2 THEN d END) + 1e-9), 6) AS margin FROM r GROUP BY vec_id")
+@query(f"WITH {VEC_SQL}, c AS (SELECT vec_id AS c, v AS cv FROM vec WHERE vec_id < 5), d AS (SELECT vec_id, c, sqrt(list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - cv[i]) * (v[i] - cv[i])))) AS d FROM vec, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS k FROM d) SELECT vec_id, CAST(max(CASE WHEN k = 1 THEN c END) AS INT) AS cluster, CAST(max(CASE WHEN k = 2 THEN c END) AS INT) AS second, round(max(CASE WHEN k = 1 THEN d END), 6) + 0.0 AS d1, round((max(CASE WHEN k = 2 THEN d END) - max(CASE WHEN k = 1 THEN d END)) / (max(CASE WHEN k = 2 THEN d END) + 1e-9), 6) AS margin FROM r GROUP BY vec_id")
 def nearest_two_centroids(spark, sf_dir):
     v = vectors(spark, sf_dir)
     centers = [r["features"] for r in v.where("vec_id < 5").orderBy("vec_id").collect()]
@@ -77,7 +71,7 @@ def calinski_harabasz(spark, sf_dir):
     return rounded(M.calinski_harabasz(vectors(spark, sf_dir), "label"), 5)
 
 
-@query(f"WITH {VEC_SQL}, t AS (SELECT * FROM vec), d AS (SELECT a.vec_id, a.label AS c, b.label AS c2, avg(sqrt(list_sum(list_transform(range(1, 9), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))))) AS d FROM t a JOIN t b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), ab AS (SELECT vec_id, c, max(CASE WHEN c = c2 THEN d END) AS a, min(CASE WHEN c <> c2 THEN d END) AS b FROM d GROUP BY 1, 2) SELECT c AS label, count(*) AS n, round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab GROUP BY c")
+@query(f"WITH {VEC_SQL}, t AS (SELECT * FROM vec), d AS (SELECT a.vec_id, a.label AS c, b.label AS c2, avg(sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))))) AS d FROM t a JOIN t b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), ab AS (SELECT vec_id, c, max(CASE WHEN c = c2 THEN d END) AS a, min(CASE WHEN c <> c2 THEN d END) AS b FROM d GROUP BY 1, 2) SELECT c AS label, count(*) AS n, round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab GROUP BY c")
 def silhouette_sample(spark, sf_dir):
     return rounded(M.silhouette(vectors(spark, sf_dir), "label", "vec_id"))
 
@@ -227,13 +221,13 @@ def elbow_score(spark, sf_dir):
 
 @query()
 def kmeans_fit(spark, sf_dir):
-    centers, inertia = K.fit_kmeans(whole_vectors(spark, sf_dir), 5, seeds=(42, 43))
-    return K.nearest_two(whole_vectors(spark, sf_dir), centers).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("inertia", F.lit(round(inertia, 6)))
+    centers, inertia = K.fit_kmeans(vectors(spark, sf_dir), 5, seeds=(42, 43))
+    return K.nearest_two(vectors(spark, sf_dir), centers).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("inertia", F.lit(round(inertia, 6)))
 
 
 @query()
 def auto_k(spark, sf_dir):
-    best, table_ = K.choose_k(whole_vectors(spark, sf_dir), (3, 4, 5, 6, 7))
+    best, table_ = K.choose_k(vectors(spark, sf_dir), (3, 4, 5, 6, 7))
     return spark.createDataFrame([(r["k"], float(r["inertia"]), float(r["davies_bouldin"]), float(r["score"]), r["k"] == best) for r in table_], "k int, inertia double, davies_bouldin double, score double, chosen boolean")
 
 
@@ -308,7 +302,7 @@ def cluster_catalogue(spark, sf_dir):
 
 @query()
 def bootstrap_stability(spark, sf_dir):
-    v = whole_vectors(spark, sf_dir)
+    v = vectors(spark, sf_dir)
     centers, _ = K.fit_kmeans(v, 4, seeds=(42,))
     x = K.nearest_two(v, centers).drop("second", "d1", "d2", "margin")
     mean, std = H.bootstrap_stability(x, "vec_id", "cluster", lambda d, s: K.fit_kmeans(d, 4, seeds=(s,))[0], rounds=20)
@@ -317,7 +311,7 @@ def bootstrap_stability(spark, sf_dir):
 
 @query()
 def benchmark_families(spark, sf_dir):
-    v = whole_vectors(spark, sf_dir)
+    v = vectors(spark, sf_dir)
     out = []
     for family in ("gmm", "bisecting"):
         x = K.fit_family(v, family, 4)
@@ -327,4 +321,4 @@ def benchmark_families(spark, sf_dir):
 
 @query()
 def pca_project(spark, sf_dir):
-    return K.principal_axes(whole_vectors(spark, sf_dir), 2).groupBy().agg(F.round(F.var_samp(F.col("pca")[0]), 6).alias("var1"), F.round(F.var_samp(F.col("pca")[1]), 6).alias("var2"))
+    return K.principal_axes(vectors(spark, sf_dir), 2).groupBy().agg(F.round(F.var_samp(F.col("pca")[0]), 6).alias("var1"), F.round(F.var_samp(F.col("pca")[1]), 6).alias("var2"))

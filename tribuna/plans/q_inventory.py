@@ -180,15 +180,6 @@ def top_n_share(spark, sf_dir):
     return rounded(S.top_share(inventory(spark, sf_dir), "site", 10))
 
 
-_PAIRS = [("peso_aforo", "ratio_precio_max"), ("peso_aforo", "tasa_ocupacion"), ("ratio_precio_max", "percentil_precio_evento"), ("tasa_ocupacion", "ratio_cortesias")]
-
-
-@query(f"WITH {METRICS_SQL} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 5) AS r FROM metrics" for a, b in _PAIRS))
-def corr_matrix(spark, sf_dir):
-    one = R.relative_metrics(inventory(spark, sf_dir)).agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in _PAIRS]).alias("x"))
-    return rounded(one.select(F.explode("x").alias("x")).select("x.a", "x.b", "x.r"), 5)
-
-
 @query(f"WITH {METRICS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY t_performance_id ORDER BY ratio_precio_max DESC NULLS LAST, _row_id) AS n FROM metrics) SELECT t_performance_id, min(_row_id) AS _row_id FROM k WHERE n = 1 GROUP BY t_performance_id")
 def best_per_group(spark, sf_dir):
     return S.best_per_group(R.relative_metrics(inventory(spark, sf_dir)), "t_performance_id", F.desc_nulls_last("ratio_precio_max"), "_row_id").select("t_performance_id", "_row_id")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..operators import metrics as M
 from ..operators import percentile as P
 from ..operators import relative as R
 from ..operators import venue as V
 from .common import Registry, rounded
 from .domain import INV_SQL, TYPED_SQL, inventory, lookup, table
+from .q_inventory import METRICS_SQL
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -139,14 +143,26 @@ def type_quota_table(spark, sf_dir):
 _MEANS = f"{TYPED_SQL}, m AS (SELECT site, logical_seat_category, type_site, avg(med_base_unit_amt_itx) AS mean_price FROM typed GROUP BY 1, 2, 3)"
 
 
-@query(f"""WITH {_MEANS}, c AS (SELECT *, count(mean_price) OVER (PARTITION BY type_site) AS n, CASE WHEN mean_price IS NOT NULL THEN (rank() OVER (PARTITION BY type_site ORDER BY mean_price ASC NULLS LAST) + (count(mean_price) OVER (PARTITION BY type_site, mean_price) - 1) / 2.0) / count(mean_price) OVER (PARTITION BY type_site) END AS p FROM m),
-k AS (SELECT site, logical_seat_category, type_site, CASE WHEN n < 50 OR type_site = 'desconocido' THEN 0.5 ELSE coalesce(p, 0.5) END AS p, CASE WHEN n < 50 OR type_site = 'desconocido' THEN 1 ELSE 0 END AS cold FROM c)
-SELECT t_performance_id, _row_id, round(k.p, 6) AS percentil, cold FROM typed JOIN k USING (site, logical_seat_category, type_site)""")
+_PCT_SQL = f"""{_MEANS}, c AS (SELECT *, count(mean_price) OVER (PARTITION BY type_site) AS n, CASE WHEN mean_price IS NOT NULL THEN (rank() OVER (PARTITION BY type_site ORDER BY mean_price ASC NULLS LAST) + (count(mean_price) OVER (PARTITION BY type_site, mean_price) - 1) / 2.0) / count(mean_price) OVER (PARTITION BY type_site) END AS p FROM m),
+k AS (SELECT site, logical_seat_category, type_site, CASE WHEN n < 50 OR type_site = 'desconocido' THEN 0.5 ELSE coalesce(p, 0.5) END AS p, CASE WHEN n < 50 OR type_site = 'desconocido' THEN 1 ELSE 0 END AS cold FROM c)"""
+
+
+@query(f"WITH {_PCT_SQL} SELECT t_performance_id, _row_id, round(k.p, 6) AS percentil, cold FROM typed JOIN k USING (site, logical_seat_category, type_site)")
 def type_percentile_train(spark, sf_dir):
     out = P.type_percentile(typed(spark, sf_dir))
     return rounded(out.select("t_performance_id", "_row_id", F.col("percentil_precio_absoluto_dentro_tipo").alias("percentil"), F.col("flag_cold_start_tipo").alias("cold")))
 
 
+_CORRELATED = ["med_base_unit_amt_itx", "ratio_precio_max", "ratio_precio_mean", "percentil_precio_evento", "percentil_precio_absoluto_dentro_tipo", "dn_quota", "peso_aforo", "tasa_ocupacion", "tasa_venta_paga", "ratio_cortesias"]
+_PAIRS = list(combinations(_CORRELATED, 2))
+
+
+@query(f"""WITH {_PCT_SQL}{METRICS_SQL.removeprefix(INV_SQL)}, x AS (SELECT m.*, k.p AS percentil_precio_absoluto_dentro_tipo FROM metrics m JOIN typed t USING (t_performance_id, _row_id) JOIN k ON k.site = t.site AND k.logical_seat_category = t.logical_seat_category AND k.type_site = t.type_site),
+r AS (SELECT [{', '.join(f"{{'a': '{a}', 'b': '{b}', 'r': round(corr({a}, {b}), 5) + 0.0}}" for a, b in _PAIRS)}] AS r FROM x) SELECT u.a AS a, u.b AS b, u.r AS r FROM (SELECT unnest(r) AS u FROM r)""")
+def corr_matrix(spark, sf_dir):
+    return rounded(M.correlations(P.type_percentile(R.relative_metrics(typed(spark, sf_dir))), _CORRELATED), 5)
+
+
 @query(f"WITH {_MEANS} SELECT type_site, count(mean_price) AS conteo, count(mean_price) < 50 OR type_site = 'desconocido' AS es_cold_start, round(quantile_cont(mean_price, 0.0), 3) AS q0, round(quantile_cont(mean_price, 0.25), 3) AS q25, round(quantile_cont(mean_price, 0.5), 3) AS q50, round(quantile_cont(mean_price, 1.0), 3) AS q100 FROM m GROUP BY type_site")
 def type_percentile_reference(spark, sf_dir):
     r = P.percentile_reference(typed(spark, sf_dir))
