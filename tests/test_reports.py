@@ -1,7 +1,9 @@
 """Operators of reports, bounded picks, long phrases and saved sub-models."""
 
+import numpy as np
 import pytest
 
+from tribuna.operators import cluster as K
 from tribuna.operators import metrics as M
 from tribuna.operators import phrases as X
 from tribuna.operators import selection as S
@@ -87,3 +89,27 @@ def test_stop_patterns_never_raise(spark, tmp_path):
     assert io.stop_patterns(spark, str(tmp_path / "none.csv"), None, str(tmp_path / "s.csv")) == ["A", "B"]
     (tmp_path / "bad.parquet").write_text("x")
     assert len(io.stop_patterns(spark, str(tmp_path / "absent"))) > 5
+
+
+def test_sweeps(spark):
+    points = [(i, [float(i % 3 * 10 + i / 100), float(i % 3 * 10 - i / 90)]) for i in range(90)]
+    df = spark.createDataFrame(points, "id int, features array<double>")
+    rows = {r["k"]: r for r in K.sweep_kmeans(df, "id", (2, 3, 4))}
+    x, labels = np.array([p[1] for p in points]), np.array([i % 3 for i in range(90)])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    s = []
+    for i in range(90):
+        inside = [d[i, j] for j in range(90) if labels[j] == labels[i] and j != i]
+        a, b = np.mean(inside), min(np.mean([d[i, j] for j in range(90) if labels[j] == g]) for g in {0, 1, 2} - {labels[i]})
+        s.append((b - a) / max(a, b))
+    centers = np.array([x[labels == g].mean(0) for g in range(3)])
+    within = sum(((x[labels == g] - centers[g]) ** 2).sum() for g in range(3))
+    between = sum(30 * ((centers[g] - x.mean(0)) ** 2).sum() for g in range(3))
+    assert abs(rows[3]["silhouette"] - np.mean(s)) < 1e-9 and abs(rows[3]["inertia"] - within) < 1e-6
+    assert abs(rows[3]["calinski_harabasz"] - (between / 2) / (within / 87)) < 1e-5
+    assert max(rows.values(), key=lambda r: r["silhouette"])["k"] == 3
+
+    two = K.sweep_mixture(df, (2, 3))
+    for r, parameters in zip(two, (11, 17)):
+        assert abs(r["bic"] - (parameters * np.log(90) - 2 * r["log_likelihood"])) < 1e-6
+        assert abs(r["aic"] - (2 * parameters - 2 * r["log_likelihood"])) < 1e-6

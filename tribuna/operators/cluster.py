@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, token_coverage
-from .metrics import davies_bouldin, elbow_scores, squared_distance
+from .metrics import calinski_harabasz, davies_bouldin, elbow_scores, silhouette, squared_distance
 from .relative import split_flag
 from .space import Space, fit_space, with_features
 
@@ -95,6 +95,34 @@ def choose_k(df: DataFrame, ks: Sequence[int] = (3, 4, 5, 6, 7), vector: str = "
     return max(table, key=lambda r: (r["score"], -r["k"]))["k"], table
 
 
+def sweep_kmeans(df: DataFrame, key: str, ks: Sequence[int] = (3, 4, 5, 6, 7), vector: str = "features", seeds: Sequence[int] = (42,)) -> list[dict]:
+    """k, inertia, silhouette (on its bounded sample), davies_bouldin, calinski_harabasz of each k."""
+    rows = []
+    for k in ks:
+        centers, inertia = fit_kmeans(df, k, vector, seeds)
+        x = nearest_two(df, centers, vector).select(key, vector, "cluster").persist()
+        try:
+            s = silhouette(x, "cluster", key, vector).agg(F.sum(F.col("n") * F.col("silhouette")) / F.sum("n")).first()[0]
+            rows.append({"k": k, "inertia": inertia, "silhouette": s, "davies_bouldin": davies_bouldin(x, "cluster", vector).first()[0], "calinski_harabasz": calinski_harabasz(x, "cluster", vector).first()[0]})
+        finally:
+            x.unpersist()
+    return rows
+
+
+def sweep_mixture(df: DataFrame, ks: Sequence[int] = (2, 3, 4), vector: str = "features", seed: int = 42) -> list[dict]:
+    """k, log_likelihood, bic, aic of full-covariance mixtures."""
+    data = df.select(array_to_vector(vector).alias("v")).persist()
+    try:
+        n, d, rows = data.count(), len(data.first()["v"]), []
+        for k in ks:
+            ll = GaussianMixture(k=k, seed=seed, featuresCol="v").fit(data).summary.logLikelihood
+            parameters = k - 1 + k * d + k * d * (d + 1) / 2
+            rows.append({"k": k, "log_likelihood": ll, "bic": bic(ll, n, k, d), "aic": 2 * parameters - 2 * ll})
+    finally:
+        data.unpersist()
+    return rows
+
+
 def ideal_profiles(space: Space, k: int = 5) -> dict[str, list[float]]:
     """Archetype -> its point in the scaled space."""
     out = {}

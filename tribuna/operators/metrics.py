@@ -129,6 +129,7 @@ def silhouette(df: DataFrame, cluster: str, key: str, vector: str = "features",
     """cluster, n, silhouette (Euclidean) on a bounded sample, which alone is paired with itself; one-row clusters are 0."""
     s = hash_sample(df.select(F.col(key).alias("id"), F.col(cluster).alias("c"), F.col(vector).alias("v")), sample, "id", seed)
     other = F.broadcast(s.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("v").alias("v2")))
+    s = s.repartition(s.sparkSession.sparkContext.defaultParallelism, "id")  # few rows, much work: over all cores
     d = s.join(other, F.col("id") != F.col("id2")).groupBy("id", "c", "c2").agg(F.avg(F.sqrt(squared_distance(F.col("v"), F.col("v2")))).alias("d"))
     ab = d.groupBy("id", "c").agg(F.max(F.when(F.col("c") == F.col("c2"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("c2"), F.col("d"))).alias("b"))
     top = F.greatest("a", "b")

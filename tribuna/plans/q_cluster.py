@@ -231,6 +231,18 @@ def auto_k(spark, sf_dir):
     return spark.createDataFrame([(r["k"], float(r["inertia"]), float(r["davies_bouldin"]), float(r["score"]), r["k"] == best) for r in table_], "k int, inertia double, davies_bouldin double, score double, chosen boolean")
 
 
+@query()
+def k_sweep(spark, sf_dir):
+    rows = K.sweep_kmeans(vectors(spark, sf_dir), "vec_id")
+    return rounded(spark.createDataFrame([(r["k"], float(r["inertia"]), float(r["silhouette"]), float(r["davies_bouldin"]), float(r["calinski_harabasz"])) for r in rows], "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double"))
+
+
+@query()
+def mixture_sweep(spark, sf_dir):
+    rows = K.sweep_mixture(vectors(spark, sf_dir))
+    return rounded(spark.createDataFrame([(r["k"], float(r["log_likelihood"]), float(r["bic"]), float(r["aic"])) for r in rows], "k int, log_likelihood double, bic double, aic double"))
+
+
 @query()
 def archetype_assignment(spark, sf_dir):
     cost = [[1.0, 2.0, 9.0], [1.1, 5.0, 4.0], [3.0, 1.2, 0.9], [2.0, 2.0, 2.0]]
