@@ -290,7 +290,11 @@ def hierarchy_predict(spark, sf_dir):
 def subspace_select_k(spark, sf_dir):
     df = predicted(spark, sf_dir).where(F.col("arquetipo_demanda") != K.SINGLE)
     space = S.fit_space(df, S.MICRO_TAGS, types=False)
-    best, rows = H.select_k(S.with_features(df, space).persist(), list(space.idf), ks=(2, 3), rounds=2)
+    x = S.with_features(df, space).persist()
+    try:
+        best, rows = H.select_k(x, list(space.idf), ks=(2, 3), rounds=2)
+    finally:
+        x.unpersist()
     return spark.createDataFrame([(r["k"], float(r["purity"]), float(r["ari"]), bool(r["degenerate"]), bool(r["passes"]), r["k"] == best) for r in rows], "k int, purity double, ari double, degenerate boolean, passes boolean, chosen boolean")
 
 
