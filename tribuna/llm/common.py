@@ -119,3 +119,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+#: Largest table that is sent to all executors (rows of a key and some numbers), and shares of a hot key where it is larger.
+SMALL_ROWS, SALTS = 100_000, 32
+
+
+def join_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], most: int = SMALL_ROWS) -> DataFrame:
+    """df and the columns of a lookup with one row for each value of the keys (nulls are values); rows without one are left out.
+
+    The lookup goes to all executors if a count shows at most `most` rows. Else it is joined by a shuffle in which every key is
+    dealt over SALTS shares, so that a key with a third of all rows is no single task's."""
+    left, right = {c: fresh(df, f"_l_{c}") for c in keys}, [c for c in lookup.columns if c not in keys]
+    small = lookup.select(*[F.col(c).alias(left[c]) for c in keys], *right)
+    same = F.lit(True)
+    for c in keys:
+        same = same & df[c].eqNullSafe(F.col(left[c]))
+    if lookup.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(small), same).drop(*left.values())
+    share = fresh(df, "_share")
+    df = df.withColumn(share, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)))
+    small = small.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.join(small, same & (df[share] == small["_of"])).drop(*left.values(), share, "_of")
