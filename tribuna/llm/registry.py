@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, media, mixing, neardup, packing, pagetext, quality, secretscan, tokencount, urlrules
+from . import collocation, decontam, langid, media, mixing, neardup, packing, pagetext, quality, secretscan, tokencount, urlrules
 from .common import table
 
 
@@ -67,6 +67,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language. Null texts are empty, a null lang is `und`; repeated rows count each; an empty table gives no rows."""
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document. Null and empty texts have none; a null source is the last one; rows with equal id and
     text are taken alike; an empty table gives no rows."""
@@ -84,11 +89,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_media_columns": op9_media_columns,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_collocations": op12_collocations,
     "op13_mixing": op13_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_rules": urlrules.ORACLE_SQL,
     "op4_decontamination": decontam.ORACLE_SQL,
+    "op12_collocations": collocation.ORACLE_SQL,
     "op13_mixing": mixing.ORACLE_SQL,
 }
