@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocation, decontam, langid, media, mixing, neardup, packing, pagetext, quality, secretscan, tokencount, urlrules
+from . import collocation, decontam, hardneg, langid, media, mixing, neardup, packing, pagetext, quality, secretscan, tokencount, urlrules
 from .common import table
 
 
@@ -67,6 +67,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each anchor and positive. Rows with a null label, vector or component take no part; null ids come last among
+    equal scores; an anchor without positives and a window without rows give nothing; an empty table gives no rows."""
+    return hardneg.hard_negatives_query(table(spark, sf_dir, "embeddings"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of each language. Null texts are empty, a null lang is `und`; repeated rows count each; an empty table gives no rows."""
     return collocation.collocations(table(spark, sf_dir, "documents"))
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_media_columns": op9_media_columns,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_collocations": op12_collocations,
     "op13_mixing": op13_mixing,
 }
@@ -96,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_url_rules": urlrules.ORACLE_SQL,
     "op4_decontamination": decontam.ORACLE_SQL,
+    "op11_hard_negatives": hardneg.ORACLE_SQL,
     "op12_collocations": collocation.ORACLE_SQL,
     "op13_mixing": mixing.ORACLE_SQL,
 }
