@@ -113,6 +113,11 @@ def with_text_features(df: DataFrame, name: str = "logical_seat_category", stop_
     return df.select("*", *tag_columns(F.col("texto_limpio")))
 
 
+def names_with_features(df: DataFrame, keys: Sequence[str] = (), name: str = "logical_seat_category", stop_patterns: Sequence[str] = STOP_PATTERNS) -> DataFrame:
+    """keys, name, n (rows), texto_limpio and the tags: a name is cleaned once, however many rows have it."""
+    return with_text_features(df.groupBy(*keys, name).agg(F.count("*").alias("n")), name, stop_patterns)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often body names it."""
     return F.transform(F.array(value), body)[0]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles, small
+
 EPS, BINS, REVIEW, ALERT, SHARE_ALERT, MICRO_ALERT = 1e-4, 10, 0.10, 0.25, 0.05, 0.08
 NO_REFERENCE = "NO_REFERENCE"
 #: Expected shares of the archetypes, rows of 33775.
@@ -34,12 +36,14 @@ def bin_of(x: Column, lo: Column, hi: Column, bins: int = BINS) -> Column:
 
 def ranges(values: DataFrame) -> DataFrame:
     """variable, lo, hi: [0, 1] where the maximum is at most 1.05, else [0, 99.5th percentile]."""
-    return values.groupBy("variable").agg(F.max("x").alias("top"), F.percentile("x", F.lit(0.995)).alias("p")).select("variable", F.lit(0.0).alias("lo"), F.when(F.col("top") <= 1.05, 1.0).otherwise(F.greatest("p", F.lit(1e-9))).alias("hi"))
+    top = values.groupBy("variable").agg(F.max("x").alias("top"))
+    p = quantiles(values, ["variable"], "x", 200, (199,)).select("variable", F.col("q").alias("p"))
+    return top.join(p, "variable").select("variable", F.lit(0.0).alias("lo"), F.when(F.col("top") <= 1.05, 1.0).otherwise(F.greatest("p", F.lit(1e-9))).alias("hi"))
 
 
 def histogram(values: DataFrame, limits: DataFrame, bins: int = BINS) -> DataFrame:
     """variable, bin, n for every bin, also empty ones."""
-    counted = values.join(F.broadcast(limits), "variable").withColumn("bin", bin_of(F.col("x"), F.col("lo"), F.col("hi"), bins)).where("bin IS NOT NULL").groupBy("variable", "bin").agg(F.count("*").alias("n"))
+    counted = values.join(small(limits), "variable").withColumn("bin", bin_of(F.col("x"), F.col("lo"), F.col("hi"), bins)).where("bin IS NOT NULL").groupBy("variable", "bin").agg(F.count("*").alias("n"))
     every = limits.select("variable", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     return every.join(counted, ["variable", "bin"], "left").select("variable", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -8,15 +8,29 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+from .ranks import small
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Pairs in one aggregate: six numbers a pair, and Spark compiles aggregates of up to a hundred.
+PAIRS_AT_ONCE = 15
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """a, b, r: Pearson's correlation of each pair of columns over rows that have both, in one pass."""
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in combinations(columns, 2)]
-    return df.agg(F.array(*pairs).alias("x")).select(F.explode("x").alias("x")).select("x.a", "x.b", "x.r")
+    """a, b, r: Pearson's correlation of each pair of columns over rows that have both. The columns are written once and each group of
+    pairs is a compiled aggregate over them."""
+    data, pairs = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "correlated"), list(combinations(columns, 2))
+    out = None
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        part = pairs[at : at + PAIRS_AT_ONCE]
+        one = data.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)])
+        one = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(part)])).alias("x")).select("x.a", "x.b", "x.r")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def cumulative_variance(df: DataFrame, order: str, variance: str, enough: float = 0.90) -> DataFrame:
@@ -62,15 +76,19 @@ def tag_shares(df: DataFrame, cluster: str, tags: Sequence[str]) -> DataFrame:
     return one.select(cluster, F.explode(items).alias("x")).select(cluster, "x.tag", "x.pos", "x.share")
 
 
-def purity(df: DataFrame, cluster: str, tags: Sequence[str], vocabulary: Sequence[str], text: str = "texto_limpio") -> DataFrame:
-    """Per cluster: n, strongest tag and its share, most common term and its share of rows, the larger share. One aggregate."""
+def purity(df: DataFrame, cluster: str, tags: Sequence[str], vocabulary: Sequence[str], text: str = "texto_limpio", weight: str | None = None) -> DataFrame:
+    """Per cluster: n, strongest tag and its share, most common term and its share of rows, the larger share. One aggregate.
+
+    `weight` names a column with the number of rows that a row stands for."""
     tokens = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+")
-    has = [F.avg(F.array_contains(tokens, t.lower()).cast("double")) for t in vocabulary]
+    rows = F.col(weight) if weight else F.lit(1)
+    share = lambda x: F.sum(x.cast("double") * rows) / F.sum(F.when(x.isNotNull(), rows))
+    has = [share(F.array_contains(tokens, t.lower()).cast("double")) for t in vocabulary]
     best = lambda xs: F.array_max(F.array(*[F.struct(x.alias("share"), F.lit(-i).alias("pos"), F.lit(n).alias("name")) for i, (n, x) in enumerate(xs)])) if xs else F.struct(F.lit(0.0).alias("share"), F.lit(0).alias("pos"), F.lit("ninguno").alias("name"))
-    got = df.groupBy(cluster).agg(F.count("*").alias("n"), best([(t, F.avg(t)) for t in tags]).alias("tag"), best(list(zip(vocabulary, has))).alias("term"))
+    got = df.groupBy(cluster).agg(F.sum(rows).cast("long").alias("n"), best([(t, share(F.col(t))) for t in tags]).alias("tag"), best(list(zip(vocabulary, has))).alias("term"))
     name = lambda c: F.when(F.col(f"{c}.share") > 0, F.col(f"{c}.name")).otherwise(F.lit("ninguno"))
-    share = lambda c: F.greatest(F.col(f"{c}.share"), F.lit(0.0))
-    return got.select(cluster, "n", share("tag").alias("purity_tag"), name("tag").alias("tag_dominante"), share("term").alias("purity_term"), name("term").alias("term_dominante"), F.greatest(share("tag"), share("term")).alias("purity_naming"))
+    top = lambda c: F.greatest(F.col(f"{c}.share"), F.lit(0.0))
+    return got.select(cluster, "n", top("tag").alias("purity_tag"), name("tag").alias("tag_dominante"), top("term").alias("purity_term"), name("term").alias("term_dominante"), F.greatest(top("tag"), top("term")).alias("purity_naming"))
 
 
 def weighted_purity(per_cluster: DataFrame, column: str = "purity_naming") -> DataFrame:
@@ -102,11 +120,11 @@ def centroids(df: DataFrame, cluster: str, vector: str = "features") -> DataFram
 
 def davies_bouldin(df: DataFrame, cluster: str, vector: str = "features") -> DataFrame:
     """One row: the index. Only the k x k centroids are paired."""
-    c = F.broadcast(centroids(df, cluster, vector))  # k rows
+    c = small(centroids(df, cluster, vector), 10_000)
     s = df.join(c, cluster).groupBy(cluster).agg(F.avg(F.sqrt(squared_distance(F.col(vector), F.col("centroid")))).alias("s"), F.any_value("centroid").alias("c"))
     a, b = s.select(F.col(cluster).alias("i"), F.col("s").alias("si"), F.col("c").alias("ci")), s.select(F.col(cluster).alias("j"), F.col("s").alias("sj"), F.col("c").alias("cj"))
     d = F.sqrt(squared_distance(F.col("ci"), F.col("cj")))
-    pair = a.join(F.broadcast(b), F.col("i") != F.col("j")).withColumn("d", d)
+    pair = a.join(small(b, 10_000), F.col("i") != F.col("j")).withColumn("d", d)
     r = F.when(F.col("d") > 0, (F.col("si") + F.col("sj")) / F.when(F.col("d") > 0, F.col("d"))).otherwise(F.lit(0.0))
     return pair.groupBy("i").agg(F.max(r).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
@@ -115,7 +133,7 @@ def calinski_harabasz(df: DataFrame, cluster: str, vector: str = "features") ->
     """One row: the index, from within and between dispersion."""
     c = centroids(df, cluster, vector)
     overall = centroids(df.select(F.lit(0).alias("one"), vector), "one", vector).select(F.col("centroid").alias("g"), F.col("n").alias("total"))
-    within = df.join(F.broadcast(c), cluster).agg(F.sum(squared_distance(F.col(vector), F.col("centroid"))).alias("w"))
+    within = df.join(small(c, 10_000), cluster).agg(F.sum(squared_distance(F.col(vector), F.col("centroid"))).alias("w"))
     between = c.crossJoin(overall).agg(F.sum(F.col("n") * squared_distance(F.col("centroid"), F.col("g"))).alias("b"), F.count("*").alias("k"), F.max("total").alias("n"))
     return within.crossJoin(between).select(((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
 

@@ -1,13 +1,18 @@
-"""Price percentiles within a venue type: training over means per name, a reference, and ranks against the reference."""
+"""Price percentiles within a venue type: training over means per name, a reference, and ranks against the reference.
+
+Ranks and percentiles are those of `ranks`: a type of any size is spread over ranges. Means are written once, as a mean summed in
+another order may differ in its last digit and would not join with itself.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import UNKNOWN_TYPE
+from ..sources.scratch import materialise
 from .columns import PRICE_METRICS, PRICE_REFERENCE, first_present
-from .relative import average_rank_pct
+from .ranks import average_pct, positions, quantiles, small
 
 COLD = 50
 
@@ -21,9 +26,12 @@ def mean_prices(df: DataFrame, price: str, name: str = "logical_seat_category")
 def type_percentile(df: DataFrame, price: str | None = None, name: str = "logical_seat_category", cold: int = COLD) -> DataFrame:
     """Adds percentil_precio_absoluto_dentro_tipo and flag_cold_start_tipo (training form)."""
     price = price or first_present(df, PRICE_METRICS)
-    stats = mean_prices(df, price, name).withColumn("_pct", average_rank_pct("mean_price", "type_site"))
-    counts = stats.groupBy("type_site").agg(F.count("mean_price").alias("_n"))
-    stats = stats.join(counts, "type_site")
+    stats = materialise(mean_prices(df, price, name), "mean-prices")
+    ranked = positions(stats, ["type_site"], "mean_price").select(F.col("type_site").alias("_t"), F.col("mean_price").alias("_v"), average_pct().alias("_pct"), "n")
+    stats = stats.join(ranked, (F.col("type_site") == F.col("_t")) & (F.col("mean_price") == F.col("_v")), "left")
+    # a type without a row here has no price at all, and a name without a price has the middle
+    counts = stats.groupBy("type_site").agg(F.coalesce(F.max("n"), F.lit(0)).alias("_n"))
+    stats = stats.join(small(counts), "type_site")
     is_cold = (F.col("_n") < cold) | (F.col("type_site") == UNKNOWN_TYPE)
     stats = stats.select("site", name, "type_site", F.when(is_cold, 0.5).otherwise(F.coalesce("_pct", F.lit(0.5))).alias("_p"), F.when(is_cold, 1).otherwise(0).alias("_c"))
     out = df.join(stats, ["site", name, "type_site"], "left")
@@ -33,9 +41,10 @@ def type_percentile(df: DataFrame, price: str | None = None, name: str = "logica
 def percentile_reference(df: DataFrame, price: str | None = None, name: str = "logical_seat_category", cold: int = COLD) -> DataFrame:
     """type_site, conteo, es_cold_start, bin_edges (101 interpolated quantiles)."""
     price = price or first_present(df, PRICE_REFERENCE)
-    edges = F.percentile("mean_price", F.array(*[F.lit(i / 100) for i in range(101)]))
-    out = mean_prices(df, price, name).groupBy("type_site").agg(F.count("mean_price").alias("conteo"), edges.alias("bin_edges"))
-    return out.withColumn("es_cold_start", (F.col("conteo") < cold) | (F.col("type_site") == UNKNOWN_TYPE))
+    means = materialise(mean_prices(df, price, name), "mean-prices")
+    edges = quantiles(means, ["type_site"], "mean_price").groupBy("type_site").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("bin_edges"))  # 101 a type
+    out = means.groupBy("type_site").agg(F.count("mean_price").alias("conteo")).join(edges, "type_site", "left")
+    return out.select("type_site", "conteo", "bin_edges", ((F.col("conteo") < cold) | (F.col("type_site") == UNKNOWN_TYPE)).alias("es_cold_start"))
 
 
 def reference_prices(df: DataFrame, price: str | None = None, name: str = "logical_seat_category") -> DataFrame:
@@ -47,20 +56,16 @@ def reference_prices(df: DataFrame, price: str | None = None, name: str = "logic
 def percentile_of(df: DataFrame, prices: DataFrame, reference: DataFrame, price: str = "med_base_unit_amt_itx") -> DataFrame:
     """Adds the percentile of each price among its type's reference prices: (below + up to it + 1 if any equals) / 2n.
 
-    Both sides are reduced to distinct (type, price) first and ranked by one ordered window per type over their union, an
-    as-of style join that needs no array of the reference and no nested loop. A missing price counts as 0.
+    Both sides are reduced to distinct (type, price) and take their positions in the union of both, in which asked prices have no
+    copies: an as-of style join without an array of the reference, a nested loop or a type in one task. A missing price counts as 0.
     """
     x = F.coalesce(F.col(price).cast("double"), F.lit(0.0))
     df = df.withColumn("_x", x)
     asked = df.select("type_site", F.col("_x").alias("v")).distinct().withColumn("k", F.lit(0).cast("long"))
     given = prices.groupBy("type_site", F.col("mean_price").alias("v")).agg(F.count("*").alias("k"))
-    both = asked.unionByName(given).groupBy("type_site", "v").agg(F.sum("k").alias("k"))
-    w = Window.partitionBy("type_site").orderBy("v")
-    upto = F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    n = F.sum("k").over(Window.partitionBy("type_site"))
-    ranked = both.withColumn("_u", upto).withColumn("_n", n)
-    ranked = ranked.select("type_site", F.col("v").alias("_x"), F.when(F.col("_n") > 0, (2 * F.col("_u") - F.col("k") + F.when(F.col("k") > 0, 1).otherwise(0)) / (2 * F.when(F.col("_n") > 0, F.col("_n")))).alias("_p"))
+    p = positions(asked.unionByName(given), ["type_site"], "v", "k")
+    ranked = p.select("type_site", F.col("v").alias("_x"), F.when(F.col("n") > 0, (2 * F.col("below") + F.col("k") + F.when(F.col("k") > 0, 1).otherwise(0)) / (2 * F.when(F.col("n") > 0, F.col("n")))).alias("_p"))
     cold = reference.select("type_site", F.col("es_cold_start").alias("_cold"))
-    out = df.join(ranked, ["type_site", "_x"], "left").join(F.broadcast(cold), "type_site", "left")  # a row per type
+    out = df.join(ranked, ["type_site", "_x"], "left").join(small(cold), "type_site", "left")
     is_cold = F.coalesce("_cold", F.lit(True))
     return out.withColumn("percentil_precio_absoluto_dentro_tipo", F.when(is_cold, 0.5).otherwise(F.coalesce("_p", F.lit(0.5)))).withColumn("flag_cold_start_tipo", F.when(is_cold, 1).otherwise(0)).drop("_x", "_p", "_cold")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TAGS, ngrams, normalize_text, sub_phrases
+from ..functions.text import ngrams, normalize_text, sub_phrases
+from ..sources.scratch import materialise
+from .ranks import small
 
 _MONTHS = r"\b(ENE|FEB|MAR|ABR|MAYO|JUN|JUL|AGO|SEP|OCT|NOV|DIC|ENERO|FEBRERO|MARZO|ABRIL|JUNIO|JULIO|AGOSTO|SEPTIEMBRE|OCTUBRE|NOVIEMBRE|DICIEMBRE)\b"
 _CITIES = r"\b(BOGOTA|MEDELLIN|CALI|BARRANQUILLA|CARTAGENA|BUCARAMANGA|PEREIRA|MANIZALES|SANTA MARTA|IBAGUE|CUCUTA|VILLAVICENCIO|PASTO|POPAYAN|ARMENIA|MONTERIA|VALLEDUPAR)\b"
@@ -19,6 +21,22 @@ CLASSES = {
     "ciudad": (_CITIES, _CITIES),
     "venue_paren": (r"\([^\)]*(?:TEATRO|MUSEO|PARQUE|ARENA|COLISEO)[^\)]*\)", r"\([^\)]*(TEATRO|MUSEO|PARQUE|ARENA|COLISEO)[^\)]*\)"),
 }
+#: Words of the tags that no phrase may hold.
+TAG_WORDS = """
+PALCO PALCOS BOX BOXES SUITE SUITES MESA MESAS
+VIP PLATINUM PLATINO PREMIUM GOLD DIAMANTE ORO PLATA
+PLATEA SILLAS SILLERIA PISTA CANCHA
+PREFERENCIAL PREFERENTE CENTRAL FRONTAL
+GENERAL TIQUETE ENTRADA STANDARD NORMAL ADMISION
+BALCON BALCONES MEZZANINE VOLADIZO
+ALTA ALTAS PISO SEGUNDO TERCER CUARTO POSTERIOR ALTO
+BAJA BAJAS PRIMER PLANTA DELANTERA FILA BAJO
+OCCIDENTAL OCC OESTE ORIENTAL ORI ESTE NORTE NTE SUR
+LATERAL LATERALES COSTADO ESQUINA
+VISTA VISIBILIDAD PARCIAL RESTRINGIDA REDUCIDA OBSTRUIDA PILARES
+FAMILIAR FAMILIA MENORES KIDS NINOS INFANTIL LIBRE ALCOHOL CERO
+MOVILIDAD DISCAPACIDAD PMR RUEDAS ACCESIBLE
+""".split()
 #: Words that no phrase may hold besides those of the tags and classes, and words it may not begin or end with.
 STRUCTURE = {"GENERAL", "PALCO", "PLATEA", "GRADA", "GRADAS", "BALCON", "VIP", "PREFERENCIAL", "FILA", "SILLA", "SILLAS", "MESA", "MESAS", "PISO", "OCCIDENTAL", "NORTE", "SUR", "ORIENTAL", "TRIBUNA", "SECTOR", "LOCALIDAD", "ASIENTO", "BOLETA", "ENTRADA", "NIVEL", "ZONA", "SECCION", "BLOQUE", "PUERTA", "ACCESO", "CORREDOR", "UBICACION"}
 EDGES = ["DE", "LA", "EL", "EN", "Y", "A", "DEL", "LOS", "LAS", "POR", "CON", "PARA", "UN", "UNA", "AL", "O", "E", "ES", "SE", "SU", "SUS", "MAS", "LO", "LE", "LES"]
@@ -26,9 +44,8 @@ EDGES = ["DE", "LA", "EL", "EN", "Y", "A", "DEL", "LOS", "LAS", "POR", "CON", "P
 
 def forbidden_words(extra: Sequence[str] = ()) -> list[str]:
     """Words of tags, structure, classes and a model's vocabulary, upper case."""
-    tags = {w for words in TAGS.values() for part in words.replace("MESAS?", "MESA|MESAS").split("|") for w in part.split() if w != "DE" and not w.isdigit()}
     classes = {w for p in (_MONTHS, _CITIES) for part in p[3:-3].split("|") for w in part.split()}
-    return sorted(tags | STRUCTURE | classes | {"DIR"} | {w.upper() for w in extra})
+    return sorted({*TAG_WORDS, *STRUCTURE, *classes, "DIR", *(w.upper() for w in extra)})
 
 
 def phrase_classes(df: DataFrame, product: str = "product", event: str = "t_performance_id") -> DataFrame:
@@ -69,6 +86,7 @@ def subsume(candidates: DataFrame, text: str = "ngram") -> DataFrame:
     A longer phrase gives its own sub-phrases and these join by equality, so the work is a few rows a phrase. Containment is
     transitive, so what holds a phrase is, at the top of the ranking, a survivor itself.
     """
+    candidates = materialise(candidates, "candidates")  # read three times
     rank = F.struct(-F.col("frecuencia"), -F.col("n_eventos"), -F.col("n_tokens"), -F.length(text), F.col(text))
     c = candidates.withColumn("rank", rank)
     words = F.split(text, " ")
@@ -91,7 +109,7 @@ def compression(candidates: DataFrame, classes: DataFrame, least_events: int = 2
 def review_queue(rows: DataFrame, most: int = 100, key: str = "ngram") -> DataFrame:
     """Adds position and queue: the first `most` rows for review, what is beyond for observation."""
     top = rows.orderBy(F.desc("frecuencia"), F.desc("n_eventos"), key).limit(most).select(key, F.lit("review").alias("queue"))
-    return rows.join(F.broadcast(top), key, "left").fillna("observe", ["queue"])  # `most` rows
+    return rows.join(small(top), key, "left").fillna("observe", ["queue"])  # `most` rows
 
 
 def valid_decisions(review: DataFrame) -> DataFrame:

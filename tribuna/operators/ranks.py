@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialise
 
-#: Largest table that may be sent to all executors: its rows, of some numbers and a short key each.
-SMALL_ROWS = 200_000
+#: Largest table that may be sent to all executors.
+SMALL_ROWS, SMALL_BYTES = 200_000, 64 << 20
 
 
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """df marked for broadcast if a count shows at most `most` rows, else as it is: Spark joins it by a shuffle then."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = SMALL_ROWS, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """df marked for broadcast if it is measured to have at most `most` rows and `most_bytes`, else as it is: Spark joins it by a shuffle then."""
+    size = F.lit(0).cast("long")
+    for c, kind in df.dtypes:
+        cell = F.octet_length(c) if kind in ("string", "binary") else F.octet_length(F.to_json(c)) if kind.startswith(("array", "struct", "map")) else F.lit(8)
+        size = size + F.coalesce(cell, F.lit(0)) + 8
+    n, held = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and held <= most_bytes else df
 
 
 def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -68,8 +73,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, parts: int = 100,
     # the higher position is the next one, or the last itself for i = parts
     high = span(F.when(last > 0, F.when(F.col("below") > 0, whole("(below - 1)")).otherwise(F.lit(0))).otherwise(F.lit(0)), F.when(F.col("below") + F.col("k") == F.col("n"), m + 1).otherwise(ends("(below + k - 1)")))
     keep = (lambda a: F.filter(a, lambda i: i.isin([int(x) for x in wanted]))) if wanted is not None else (lambda a: a)
-    sides = p.select(*keys, "n", value, F.explode(F.concat(F.transform(keep(low), lambda i: F.struct(i.alias("i"), F.lit(0).alias("side"))), F.transform(keep(high), lambda i: F.struct(i.alias("i"), F.lit(1).alias("side"))))).alias("x"))
-    got = sides.groupBy(*keys, F.col("x.i").alias("i")).agg(F.max("n").alias("n"), F.max(F.when(F.col("x.side") == 0, F.col(value))).alias("_lo"), F.max(F.when(F.col("x.side") == 1, F.col(value))).alias("_hi"))
+    sides = p.select(*keys, "n", value, F.explode(F.concat(F.transform(keep(low), lambda i: F.struct(i.alias("i"), F.lit(0).alias("side"))), F.transform(keep(high), lambda i: F.struct(i.alias("i"), F.lit(1).alias("side"))))).alias("_x"))
+    got = sides.groupBy(*keys, F.col("_x.i").alias("i")).agg(F.max("n").alias("n"), F.max(F.when(F.col("_x.side") == 0, F.col(value))).alias("_lo"), F.max(F.when(F.col("_x.side") == 1, F.col(value))).alias("_hi"))
     part = (F.col("i") * last % m) / m
     return got.select(*keys, "n", "i", F.when(part == 0, F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part).alias("q"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import VENUE_TYPES
 from ..functions.text import let, terms
 from .columns import column_or
+from .ranks import quantiles
 
 #: The features of the two spaces and their weights.
 NUMERIC = ("ratio_precio_max", "percentil_precio_evento", "peso_aforo", "percentil_precio_absoluto_dentro_tipo")
@@ -43,9 +44,10 @@ def scaling(df: DataFrame, columns: Sequence[str], standard: bool = False) -> tu
     if standard:
         row = df.agg(*[F.struct(F.avg(column_or(df, c)).alias("m"), F.stddev_pop(column_or(df, c)).alias("s")).alias(c) for c in columns]).first()
         return {c: row[c]["m"] or 0.0 for c in columns}, {c: row[c]["s"] or 1.0 for c in columns}
-    quarter = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    row = df.agg(*[F.percentile(column_or(df, c).cast("double"), quarter).alias(c) for c in columns]).first()
-    got = {c: row[c] or [0.0, 0.0, 1.0] for c in columns}
+    items = F.array(*[F.struct(F.lit(c).alias("c"), column_or(df, c).cast("double").alias("x")) for c in columns])
+    got: dict[str, list[float]] = {c: [0.0, 0.0, 1.0] for c in columns}
+    for r in quantiles(df.select(F.explode(items).alias("i")).select("i.c", "i.x"), ["c"], "x", 4, (1, 2, 3)).collect():  # three numbers a column
+        got[r["c"]][r["i"] - 1] = r["q"]
     return {c: q[1] for c, q in got.items()}, {c: (q[2] - q[0]) or 1.0 for c, q in got.items()}
 
 

@@ -6,25 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import normalize_venue, sub_phrases
-
-
-def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows; larger ones join by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+from ..functions.text import TAGS, names_with_features, normalize_venue, sub_phrases
+from ..sources.scratch import materialise
+from .ranks import quantiles, small
 
 
 def venue_types(df: DataFrame, lookup: DataFrame, site: str = "site", order: str = "_ord") -> DataFrame:
     """Adds type_site and flag_site_desconocido by the normalised name. The last of repeated lookup names wins."""
     key = lookup.select(normalize_venue(F.col("site")).alias("_key"), "type_site", order).where("_key <> ''")
     key = key.groupBy("_key").agg(F.max_by("type_site", order).alias("_type"))
-    out = df.withColumn("_key", normalize_venue(F.col(site))).join(_small(key), "_key", "left").drop("_key")
+    out = df.withColumn("_key", normalize_venue(F.col(site))).join(small(key), "_key", "left").drop("_key")
     return out.withColumn("type_site", F.coalesce("_type", F.lit(rules.UNKNOWN_TYPE))).withColumn("flag_site_desconocido", F.when(F.col("_type").isNull(), 1).otherwise(0)).drop("_type")
 
 
 def exact_types(df: DataFrame, lookup: DataFrame, site: str = "site", fallback: str = "otro") -> DataFrame:
     """Left join on the text as it stands."""
-    return df.join(_small(lookup.select(F.col("site").alias(site), F.col("type_site").alias("_t"))), site, "left").withColumn("type_site", F.coalesce("_t", F.lit(fallback))).drop("_t")
+    return df.join(small(lookup.select(F.col("site").alias(site), F.col("type_site").alias("_t"))), site, "left").withColumn("type_site", F.coalesce("_t", F.lit(fallback))).drop("_t")
 
 
 def dictionary_types(df: DataFrame, dictionary: DataFrame, site: str = "site") -> DataFrame:
@@ -36,7 +33,7 @@ def dictionary_types(df: DataFrame, dictionary: DataFrame, site: str = "site") -
     names = df.select(normalize_venue(F.col(site)).alias("_name")).distinct()
     most = entries.agg(F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(1))).first()[0]
     phrases = F.array_union(F.array("_name"), sub_phrases(F.split("_name", " "), most))
-    found = names.select("_name", F.explode(phrases).alias("phrase")).join(_small(entries), "phrase")
+    found = names.select("_name", F.explode(phrases).alias("phrase")).join(small(entries), "phrase")
     found = found.where((F.col("phrase") == F.col("_name")) | (F.contains("phrase", F.lit(" ")) & (F.length("phrase") >= 8)))
     best = found.groupBy("_name").agg(F.min_by("_type", F.struct(F.col("phrase") != F.col("_name"), F.col("_ord"))).alias("dictionary_type"))
     return df.withColumn("_name", normalize_venue(F.col(site))).join(best, "_name", "left").drop("_name")
@@ -98,3 +95,19 @@ def type_frequencies(rows: DataFrame, cold: int = 50, dominant: float = 0.70) ->
     share = F.when(total > 0, F.col("n") / F.when(total > 0, total)).otherwise(F.lit(0.0))
     out = out.withColumn("share", share)
     return out.withColumn("is_empty", F.col("n") == 0).withColumn("is_cold", (F.col("n") > 0) & (F.col("n") < cold)).withColumn("is_dominant", F.col("share") > dominant)
+
+
+def tag_profile(df: DataFrame, price: str = "med_base_unit_amt_itx", name: str = "logical_seat_category") -> DataFrame:
+    """tag, n, mean_price, std_price, mean_quota, median_price of the rows with each tag.
+
+    Rows are counted by name and price first; names alone are cleaned and tagged; the median is a lookup of positions."""
+    counted = materialise(names_with_features(df.withColumn("_p", F.col(price)).withColumn("_q", F.col("dn_quota")), ["_p", "_q"], name), "names")
+    tags = F.filter(F.array(*[F.when(F.col(t) == 1, F.lit(t)) for t in TAGS]), lambda t: t.isNotNull())
+    long = counted.select(F.explode(tags).alias("tag"), "_p", "_q", "n")
+    has = F.when(F.col("_p").isNotNull(), F.col("n"))
+    one = long.groupBy("tag").agg(F.sum("n").alias("n"), (F.sum(F.col("_p") * F.col("n")) / F.sum(has)).alias("mean_price"), (F.sum(F.col("_q") * F.col("n")) / F.sum(F.when(F.col("_q").isNotNull(), F.col("n")))).alias("mean_quota"), F.sum(has).alias("_m"))
+    one = small(materialise(one, "tags"))  # a row a tag
+    off = F.col("_p") - F.col("mean_price")
+    spread = long.join(one.select("tag", "mean_price", "_m"), "tag").groupBy("tag").agg(F.sqrt(F.sum(off * off * F.col("n")) / F.when(F.any_value("_m") > 1, F.any_value("_m") - 1)).alias("std_price"))
+    middle = quantiles(long, ["tag"], "_p", 2, (1,), copies="n").select("tag", F.col("q").alias("median_price"))
+    return one.join(spread, "tag").join(middle, "tag", "left").select("tag", "n", "mean_price", "std_price", "mean_quota", "median_price")

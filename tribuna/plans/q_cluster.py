@@ -100,14 +100,14 @@ _PURITY = f"""{TAGGED_SQL}, g AS (SELECT dn_quota % 4 AS cluster, count(*) AS n,
 
 @query(f"WITH {_PURITY} SELECT cluster, n, round(tag.share, 6) AS purity_tag, tag.name AS tag_dominante, round(term.share, 6) AS purity_term, term.name AS term_dominante, round(greatest(tag.share, term.share), 6) AS purity_naming FROM g")
 def cluster_purity(spark, sf_dir):
-    df = T.with_text_features(inventory(spark, sf_dir)).withColumn("cluster", F.col("dn_quota") % 4)
-    return rounded(M.purity(df, "cluster", _PTAGS, _PTERMS))
+    names = T.names_with_features(inventory(spark, sf_dir).withColumn("cluster", F.col("dn_quota") % 4), ["cluster"])
+    return rounded(M.purity(names, "cluster", _PTAGS, _PTERMS, weight="n"))
 
 
 @query(f"WITH {_PURITY} SELECT round(sum(n * greatest(tag.share, term.share)) / sum(n), 6) AS purity_naming FROM g")
 def weighted_purity(spark, sf_dir):
-    df = T.with_text_features(inventory(spark, sf_dir)).withColumn("cluster", F.col("dn_quota") % 4)
-    return rounded(M.weighted_purity(M.purity(df, "cluster", _PTAGS, _PTERMS)))
+    names = T.names_with_features(inventory(spark, sf_dir).withColumn("cluster", F.col("dn_quota") % 4), ["cluster"])
+    return rounded(M.weighted_purity(M.purity(names, "cluster", _PTAGS, _PTERMS, weight="n")))
 
 
 _QUARTILES = ["peso_aforo", "ratio_precio_max", "percentil_precio_evento"]

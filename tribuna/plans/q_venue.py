@@ -210,20 +210,19 @@ TAGGED_SQL = f"{SEATS_SQL}, tags AS (SELECT seat, texto_limpio, {_TAGS_SQL} FROM
 
 @query(f"WITH {TAGGED_SQL}, u AS (UNPIVOT (SELECT dn_quota, med_base_unit_amt_itx, {', '.join(T.TAGS)} FROM tagged) ON {', '.join(T.TAGS)} INTO NAME tag VALUE v) SELECT tag, count(*) AS n, round(avg(med_base_unit_amt_itx), 4) AS mean_price, round(stddev_samp(med_base_unit_amt_itx), 3) AS std_price, round(avg(dn_quota), 6) AS mean_quota, round(median(med_base_unit_amt_itx), 4) AS median_price FROM u WHERE v = 1 GROUP BY tag")
 def tag_profile(spark, sf_dir):
-    df = T.with_text_features(inventory(spark, sf_dir)).unpivot(["dn_quota", "med_base_unit_amt_itx"], list(T.TAGS), "tag", "v").where("v = 1")
-    p = "med_base_unit_amt_itx"
-    return df.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg(p), 4).alias("mean_price"), F.round(F.stddev_samp(p), 3).alias("std_price"), F.round(F.avg("dn_quota"), 6).alias("mean_quota"), F.round(F.median(p), 4).alias("median_price"))
+    digits = {"mean_price": 4, "std_price": 3, "mean_quota": 6, "median_price": 4}
+    return V.tag_profile(inventory(spark, sf_dir)).withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 @query(f"WITH {TAGGED_SQL} SELECT n_tags, count(*) AS rows FROM (SELECT {' + '.join(T.TAGS)} AS n_tags FROM tagged) GROUP BY n_tags")
 def tags_per_row(spark, sf_dir):
-    df = T.with_text_features(inventory(spark, sf_dir))
-    return df.groupBy(sum((F.col(t) for t in list(T.TAGS)[1:]), F.col(list(T.TAGS)[0])).alias("n_tags")).agg(F.count("*").alias("rows"))
+    names = T.names_with_features(inventory(spark, sf_dir))
+    return names.groupBy(sum((F.col(t) for t in list(T.TAGS)[1:]), F.col(list(T.TAGS)[0])).alias("n_tags")).agg(F.sum("n").alias("rows"))
 
 
 @query(f"WITH {TAGGED_SQL} SELECT tag, CAST(sum(v) AS BIGINT) AS n FROM (UNPIVOT (SELECT {', '.join(T.TAGS)} FROM tagged) ON {', '.join(T.TAGS)} INTO NAME tag VALUE v) GROUP BY tag")
 def tags_long(spark, sf_dir):
-    return T.with_text_features(inventory(spark, sf_dir)).unpivot([], list(T.TAGS), "tag", "v").groupBy("tag").agg(F.sum("v").cast("long").alias("n"))
+    return T.names_with_features(inventory(spark, sf_dir)).unpivot(["n"], list(T.TAGS), "tag", "v").groupBy("tag").agg(F.sum(F.col("v") * F.col("n")).cast("long").alias("n"))
 
 
 _VOCABULARY = ["palco", "norte", "sur", "general", "vip"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder of this application's own where that is unset (local runs and tests)."""
+    """spark.checkpoint.dir; a local folder of this application's own where the master is local and it is unset.
+
+    On a cluster each executor would write into a folder of its own, so an unset spark.checkpoint.dir is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return (path or _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tribuna-"))).rstrip("/")
+    if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master is {master})")
+        path = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tribuna-"))
+    return path.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
