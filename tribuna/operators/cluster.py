@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import permutations
 
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, token_coverage
+from . import lloyd
 from .metrics import calinski_harabasz, davies_bouldin, elbow_scores, silhouette, squared_distance
 from .relative import split_flag
 from .space import Space, fit_space, with_features
@@ -48,25 +49,19 @@ class Model:
     version: str = "1"
 
 
-def fit_kmeans(df: DataFrame, k: int, vector: str = "features", seeds: Sequence[int] = (42, 43, 44), iterations: int = 300) -> tuple[list[list[float]], float]:
-    """(centres in a canonical order, inertia) of the best of several seeded fits; the input is read from memory between them."""
-    data = df.select(array_to_vector(vector).alias("v")).persist()
-    try:
-        best = None
-        for seed in seeds:
-            m = KMeans(k=k, seed=seed, featuresCol="v", maxIter=iterations).fit(data)
-            if best is None or m.summary.trainingCost < best[1]:
-                best = ([list(map(float, c)) for c in m.clusterCenters()], float(m.summary.trainingCost))
-    finally:
-        data.unpersist()
-    return sorted(best[0]), best[1]
+#: Seeds of a fit, as many as the usual number of starts.
+SEEDS = tuple(range(42, 52))
 
 
-def fit_family(df: DataFrame, family: str, k: int, vector: str = "features", seed: int = 42) -> DataFrame:
-    """df with `cluster` by another family: full mixture ("gmm") or bisecting K-Means ("bisecting", for agglomeration)."""
-    data = df.withColumn("_v", array_to_vector(vector))
-    est = GaussianMixture(k=k, seed=seed, featuresCol="_v", predictionCol="cluster", probabilityCol="_p") if family == "gmm" else BisectingKMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster")
-    return est.fit(data).transform(data).drop("_v", "_p")
+def fit_kmeans(df: DataFrame, k: int, vector: str = "features", seeds: Sequence[int] = SEEDS, iterations: int = lloyd.ITERATIONS) -> tuple[list[list[float]], float]:
+    """(centres in a canonical order, inertia) of the best of several seeded fits, which share every pass over the data."""
+    return fit_kmeans_of(df, (k,), vector, seeds, iterations)[k]
+
+
+def fit_kmeans_of(df: DataFrame, ks: Sequence[int], vector: str = "features", seeds: Sequence[int] = SEEDS, iterations: int = lloyd.ITERATIONS) -> dict[int, tuple[list[list[float]], float]]:
+    """k -> (centres, inertia); all numbers of clusters and seeds share every pass."""
+    best = lloyd.best_of(lloyd.fit(lloyd.packed(df, vector), [lloyd.Start(k, s) for k in ks for s in seeds], iterations))
+    return {k: (lloyd.ordered(s.centers) if s.centers is not None else [], s.cost) for k, s in best.items()}
 
 
 def bic(log_likelihood: float, n: int, k: int, d: int) -> float:
@@ -84,31 +79,35 @@ def nearest_two(df: DataFrame, centers: Sequence[Sequence[float]], vector: str =
     return df.withColumn("margin", (F.col("d2") - F.col("d1")) / (F.col("d2") + 1e-9))
 
 
-def choose_k(df: DataFrame, ks: Sequence[int] = (3, 4, 5, 6, 7), vector: str = "features", seeds: Sequence[int] = (42,)) -> tuple[int, list[dict]]:
+def choose_k(df: DataFrame, ks: Sequence[int] = (3, 4, 5, 6, 7), vector: str = "features", seeds: Sequence[int] = SEEDS) -> tuple[int, list[dict]]:
     """(k of the best score, table of k, inertia, Davies-Bouldin, score)."""
     rows = []
-    for k in ks:
-        centers, inertia = fit_kmeans(df, k, vector, seeds)
+    for k, (centers, inertia) in fit_kmeans_of(df, ks, vector, seeds).items():
         db = davies_bouldin(nearest_two(df, centers, vector), "cluster", vector).first()[0]
         rows.append((k, inertia, db))
     table = elbow_scores(rows)
     return max(table, key=lambda r: (r["score"], -r["k"]))["k"], table
 
 
-def sweep_kmeans(df: DataFrame, key: str, ks: Sequence[int] = (3, 4, 5, 6, 7), vector: str = "features", seeds: Sequence[int] = (42,)) -> list[dict]:
+def sweep_kmeans(df: DataFrame, key: str, ks: Sequence[int] = (3, 4, 5, 6, 7), vector: str = "features", seeds: Sequence[int] = SEEDS) -> list[dict]:
     """k, inertia, silhouette (on its bounded sample), davies_bouldin, calinski_harabasz of each k."""
     rows = []
-    for k in ks:
-        centers, inertia = fit_kmeans(df, k, vector, seeds)
-        x = nearest_two(df, centers, vector).select(key, vector, "cluster").persist()
-        try:
-            s = silhouette(x, "cluster", key, vector).agg(F.sum(F.col("n") * F.col("silhouette")) / F.sum("n")).first()[0]
-            rows.append({"k": k, "inertia": inertia, "silhouette": s, "davies_bouldin": davies_bouldin(x, "cluster", vector).first()[0], "calinski_harabasz": calinski_harabasz(x, "cluster", vector).first()[0]})
-        finally:
-            x.unpersist()
+    for k, (centers, inertia) in fit_kmeans_of(df, ks, vector, seeds).items():
+        x = nearest_two(df, centers, vector).select(key, vector, "cluster")
+        rows.append({"k": k, "inertia": inertia, **validity(x, key, vector)})
     return rows
 
 
+def validity(df: DataFrame, key: str, vector: str = "features", cluster: str = "cluster") -> dict[str, float]:
+    """silhouette (on its bounded sample), davies_bouldin, calinski_harabasz of a partition; noise (-1) is left out."""
+    x = df.where(F.col(cluster) >= 0).select(key, vector, cluster).persist()
+    try:
+        s = silhouette(x, cluster, key, vector).agg(F.sum(F.col("n") * F.col("silhouette")) / F.sum("n")).first()[0]
+        return {"silhouette": s, "davies_bouldin": davies_bouldin(x, cluster, vector).first()[0], "calinski_harabasz": calinski_harabasz(x, cluster, vector).first()[0]}
+    finally:
+        x.unpersist()
+
+
 def sweep_mixture(df: DataFrame, ks: Sequence[int] = (2, 3, 4), vector: str = "features", seed: int = 42) -> list[dict]:
     """k, log_likelihood, bic, aic of full-covariance mixtures."""
     data = df.select(array_to_vector(vector).alias("v")).persist()
@@ -206,7 +205,7 @@ def posterior(v, weights: Sequence[float], means: Sequence[Sequence[float]], var
     return let(shifted, lambda ys: let(F.aggregate(ys, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(ys, lambda y: y / total)))
 
 
-def train_two_stage(df: DataFrame, k: int | str = 5, mixture_steps: int = 100, seeds: Sequence[int] = (42, 43, 44), text_weight: float = 0.2) -> Model:
+def train_two_stage(df: DataFrame, k: int | str = 5, mixture_steps: int = 100, seeds: Sequence[int] = SEEDS, text_weight: float = 0.2) -> Model:
     """Fit on rows of multi-zone events: space, K-Means (or k chosen), labels, diagonal mixture."""
     multi = split_flag(df).where("NOT es_monozona").persist()
     try:

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import agglomerate as A
 from ..operators import cluster as K
 from ..operators import drift as D
+from ..operators import explore as X
 from ..operators import hierarchy as H
+from ..operators import lloyd
 from ..operators import metrics as M
 from ..operators import relative as R
 from ..operators import space as S
 from ..sources.scratch import materialise
 from ..streaming import drift as W
-from .common import Registry, rounded
+from .common import INVENTORY, Registry, kept, rounded
 from .domain import inventory, table
 from .q_inventory import METRICS_SQL
 from .q_venue import SEATS_SQL, TAGGED_SQL, seats, typed
@@ -33,7 +34,7 @@ def vectors(spark, sf_dir):
     return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("features"), (F.col("vec_id") % 5).alias("other"))
 
 
-@lru_cache(maxsize=4)
+@kept(*INVENTORY)
 def metrics(spark, sf_dir):
     """Enriched rows, computed once a session: fits and predictions read them many times."""
     return materialise(T.with_text_features(R.relative_metrics(typed(spark, sf_dir))), "enriched")
@@ -221,8 +222,9 @@ def elbow_score(spark, sf_dir):
 
 @query()
 def kmeans_fit(spark, sf_dir):
-    centers, inertia = K.fit_kmeans(vectors(spark, sf_dir), 5, seeds=(42, 43))
-    return K.nearest_two(vectors(spark, sf_dir), centers).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("inertia", F.lit(round(inertia, 6)))
+    v = vectors(spark, sf_dir)
+    centers, inertia = K.fit_kmeans(v, 5)
+    return K.nearest_two(v, centers).groupBy("cluster").agg(F.count("*").alias("n")).withColumn("inertia", F.lit(round(inertia, 6)))
 
 
 @query()
@@ -249,9 +251,9 @@ def archetype_assignment(spark, sf_dir):
     return spark.createDataFrame([(i, j) for i, j in enumerate(K.assign_one_to_one(cost))], "row int, col int")
 
 
-@lru_cache(maxsize=4)
+@kept(*INVENTORY)
 def _model(spark, sf_dir):
-    return K.train_two_stage(metrics(spark, sf_dir), 5, seeds=(42,))
+    return K.train_two_stage(metrics(spark, sf_dir), 5)
 
 
 @query()
@@ -260,7 +262,7 @@ def two_stage_train(spark, sf_dir):
     return spark.createDataFrame([(i, lab, float(w)) for i, (lab, w) in enumerate(zip(m.labels, m.weights))], "cluster int, arquetipo_demanda string, weight double")
 
 
-@lru_cache(maxsize=4)
+@kept(*INVENTORY)
 def predicted(spark, sf_dir):
     return materialise(K.predict_two_stage(metrics(spark, sf_dir), _model(spark, sf_dir)), "predicted")
 
@@ -270,9 +272,9 @@ def two_stage_predict(spark, sf_dir):
     return predicted(spark, sf_dir).groupBy("arquetipo_demanda").agg(F.count("*").alias("n"), F.round(F.avg("score_confianza"), 6).alias("confidence"), F.round(F.avg(F.col("es_frontera").cast("double")), 6).alias("border"))
 
 
-@lru_cache(maxsize=4)
+@kept(*INVENTORY)
 def _micro(spark, sf_dir):
-    return H.train_hierarchy(predicted(spark, sf_dir), k=3)
+    return H.train_hierarchy(predicted(spark, sf_dir))
 
 
 @query()
@@ -292,7 +294,7 @@ def subspace_select_k(spark, sf_dir):
     space = S.fit_space(df, S.MICRO_TAGS, types=False)
     x = S.with_features(df, space).persist()
     try:
-        best, rows = H.select_k(x, list(space.idf), ks=(2, 3), rounds=2)
+        best, rows = H.select_k(x, list(space.idf))
     finally:
         x.unpersist()
     return spark.createDataFrame([(r["k"], float(r["purity"]), float(r["ari"]), bool(r["degenerate"]), bool(r["passes"]), r["k"] == best) for r in rows], "k int, purity double, ari double, degenerate boolean, passes boolean, chosen boolean")
@@ -318,21 +320,41 @@ def cluster_catalogue(spark, sf_dir):
 
 @query()
 def bootstrap_stability(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    centers, _ = K.fit_kmeans(v, 4, seeds=(42,))
-    x = K.nearest_two(v, centers).drop("second", "d1", "d2", "margin")
-    mean, std = H.bootstrap_stability(x, "vec_id", "cluster", lambda d, s: K.fit_kmeans(d, 4, seeds=(s,))[0], rounds=20)
-    return spark.createDataFrame([(float(mean), float(std))], "mean double, std double")
+    blocks = lloyd.packed(vectors(spark, sf_dir), key="vec_id")
+    best = lloyd.best_of(lloyd.fit(blocks, [lloyd.Start(4, s) for s in K.SEEDS]))
+    mean, std = lloyd.stability(blocks, {4: best[4].centers})[4]
+    return spark.createDataFrame([(mean, std)], "mean double, std double")
+
+
+@kept("embeddings")
+def families(spark, sf_dir):
+    return materialise(X.four_families(vectors(spark, sf_dir), 5, "vec_id"), "families")
 
 
 @query()
 def benchmark_families(spark, sf_dir):
+    return rounded(spark.createDataFrame(X.family_table(families(spark, sf_dir), "vec_id"), X.FAMILY_ROW))
+
+
+@query()
+def family_agreement(spark, sf_dir):
+    return rounded(X.agreement(families(spark, sf_dir), X.FAMILIES))
+
+
+@query()
+def density_clusters(spark, sf_dir):
+    """Density clusters for three shares of the rows as the least size."""
+    return rounded(spark.createDataFrame(X.density_grid(vectors(spark, sf_dir), "vec_id"), X.DENSITY_ROW))
+
+
+@query()
+def ward_clusters(spark, sf_dir):
+    out = None
     v = vectors(spark, sf_dir)
-    out = []
-    for family in ("gmm", "bisecting"):
-        x = K.fit_family(v, family, 4)
-        out.append((family, float(M.davies_bouldin(x, "cluster").first()[0] or 0.0), float(M.adjusted_rand(x, "cluster", "label").first()[0])))
-    return spark.createDataFrame(out, "family string, davies_bouldin double, ari double")
+    for k, centers in A.ward_centers(v, (5, 6, 7), key="vec_id").items():
+        part = K.nearest_two(v, centers).groupBy("cluster").agg(F.count("*").alias("n")).select(F.lit(k).alias("k"), "cluster", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query()
