@@ -76,22 +76,47 @@ def test_stretches(monkeypatch):
         assert words == text.lower().replace(",", ".").replace(";", ".").replace(".", " . ").encode().split()
 
 
+def counted(lang, *texts):
+    s = collocation.Slice(lang)
+    for t in texts:
+        s.add(t)
+    return collocation.Counted(*s.written())
+
+
+def bits(full):
+    return collocation.Bits(15, (b"\xff" if full else b"\0") * 4096)
+
+
 def test_chance_hits_change_nothing():
-    """A set that holds everything gives more rows and the same counts."""
-    c = collocation.Counter("en")
-    c.add("a b c d. a b c e, a b")
-    every = collocation.Bits(15, b"\xff" * 4096)
-    rows = {p: f for _, _, p, f in c.runs(3, 5, every)}
-    assert rows == {"a b c": 2, "b c d": 1, "b c e": 1, "a b c d": 1, "a b c e": 1}
-    assert {p: f for _, _, p, f in c.runs(2, 2, every)} == {"a b": 3, "b c": 2, "c d": 1, "c e": 1}
-    assert list(c.runs(2, 2, collocation.Bits(15, bytes(4096)))) == []
+    """Sets that hold everything give more rows and the same counts."""
+    c = counted("en", "a b c d. a b c e, a b")
+    pairs = {"a b": 3, "b c": 2, "c d": 1, "c e": 1}
+    triples = {"a b c": 2, "b c d": 1, "b c e": 1}
+    for sets in ([bits(1)] * 2, [bits(1)] * 3):
+        assert {p: f for _, _, p, f in c.runs(5, sets)} == {**pairs, **triples, "a b c d": 1, "a b c e": 1}
+        assert {p: f for _, _, p, f in c.runs(2, sets)} == pairs
+    assert sorted(c.hashes([bits(1)])[1].tolist()) == sorted(pairs.values())
+    assert sorted(c.hashes([bits(1)] * 2)[1].tolist()) == sorted(triples.values())
+    assert list(c.runs(5, [bits(1), bits(0)])) == [] and c.hashes([bits(1), bits(0)])[0].tolist() == [] and c.hashes([bits(0)])[0].tolist() == []
+    assert {p: f for _, _, p, f in c.runs(5, [bits(1), bits(1), bits(0)])} == pairs
+    assert not set(counted("de", "a b").hashes([bits(1)])[0].tolist()) & set(c.hashes([bits(1)])[0].tolist())
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 5, 7])
+def test_stretches_of_places_change_nothing(monkeypatch, chunk):
+    c = counted("en", "a b c d a b c. b c d, a b c d e f", "x y. z")
+    want = [sorted(zip(*(v.tolist() for v in c.hashes([bits(1)] * n)))) for n in (1, 2, 3)], sorted(c.runs(5, [bits(1)] * 3))
+    monkeypatch.setattr(collocation, "CHUNK", chunk)
+    assert ([sorted(zip(*(v.tolist() for v in c.hashes([bits(1)] * n)))) for n in (1, 2, 3)], sorted(c.runs(5, [bits(1)] * 3))) == want
 
 
 def test_hashes_of_spark_and_of_tasks_agree(spark):
-    rows = [("en", "a b"), ("", "é 🙂"), ("und", "x")]
-    held = collocation.Bits(*collocation.bit_set(spark.createDataFrame(rows, "lang string, phrase string")))
-    assert all(held.have(g, [p.encode()])[0] for g, p in rows)
-    assert sum(held.have("en", [b"q%d" % i for i in range(2000)])) < 50
+    rows = [("en", "a"), ("", "é🙂"), ("und", "x")]
+    df = spark.createDataFrame(rows, "lang string, phrase string")
+    held = collocation.Bits(*collocation.bit_set(df.select(collocation.word_hash().alias("h"))))
+    for lang, word in rows:
+        assert len(counted(lang, f"{word} {word}").hashes([held])[0]) == 1
+    assert len(counted("en", " ".join(f"q{i}" for i in range(2000))).hashes([held])[0]) < 5
 
 
 def test_lookup_by_shuffle(spark):

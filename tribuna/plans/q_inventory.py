@@ -153,12 +153,16 @@ def logical_inconsistencies(spark, sf_dir):
     return Q.inconsistencies(inventory(spark, sf_dir))
 
 
-@query(f"""WITH {INV_SQL}, x AS (SELECT *, sum(dn_quota) OVER (PARTITION BY t_performance_id) AS s FROM inv)
+#: Checks A-E over `inv`, as the table `checks`.
+CHECKS_SQL = """y AS (SELECT *, sum(dn_quota) OVER (PARTITION BY t_performance_id) AS s FROM inv), checks AS (
 SELECT 'a_duplicate_rows' AS "check", CAST(sum(n - 1) AS DOUBLE) AS value FROM (SELECT count(*) AS n FROM inv GROUP BY t_performance_id, logical_seat_category)
-UNION ALL SELECT 'b_incoherent_rows', CAST(count(*) FILTER (s <> performance_quota) AS DOUBLE) FROM x UNION ALL SELECT 'c_rows', CAST(count(*) AS DOUBLE) FROM x
-UNION ALL SELECT 'c_deviation', round(abs((count(*) - 33775) / 33775), 6) FROM x UNION ALL SELECT 'c_alert', CASE WHEN abs((count(*) - 33775) / 33775) > 0.2 THEN 1.0 ELSE 0.0 END FROM x
-UNION ALL SELECT 'd_excluded_products', CAST(count(*) FILTER (contains(upper(coalesce(product, '')), 'TEST') OR contains(upper(coalesce(product, '')), 'CANCELAD') OR contains(upper(coalesce(product, '')), 'PARQUEA') OR contains(upper(coalesce(product, '')), 'NO USAR')) AS DOUBLE) FROM x
-UNION ALL SELECT 'e_oversold', CAST(count(*) FILTER (net_sold_p_qty > dn_quota) AS DOUBLE) FROM x""")
+UNION ALL SELECT 'b_incoherent_rows', CAST(count(*) FILTER (s <> performance_quota) AS DOUBLE) FROM y UNION ALL SELECT 'c_rows', CAST(count(*) AS DOUBLE) FROM y
+UNION ALL SELECT 'c_deviation', round(abs((count(*) - 33775) / 33775), 6) FROM y UNION ALL SELECT 'c_alert', CASE WHEN abs((count(*) - 33775) / 33775) > 0.2 THEN 1.0 ELSE 0.0 END FROM y
+UNION ALL SELECT 'd_excluded_products', CAST(count(*) FILTER (contains(upper(coalesce(product, '')), 'TEST') OR contains(upper(coalesce(product, '')), 'CANCELAD') OR contains(upper(coalesce(product, '')), 'PARQUEA') OR contains(upper(coalesce(product, '')), 'NO USAR')) AS DOUBLE) FROM y
+UNION ALL SELECT 'e_oversold', CAST(count(*) FILTER (net_sold_p_qty > dn_quota) AS DOUBLE) FROM y)"""
+
+
+@query(f'WITH {INV_SQL}, {CHECKS_SQL} SELECT "check", value FROM checks')
 def input_checks_a_to_e(spark, sf_dir):
     return rounded(Q.input_checks(inventory(spark, sf_dir), key=["t_performance_id", "logical_seat_category"]))
 
