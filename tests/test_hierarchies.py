@@ -180,3 +180,54 @@ def test_starts_of_no_rows(spark):
     assert [s.centers for s in L.fit(L.packed(df, key="_row_id"), [L.Start(3)])] == [None]
     one = L.fit(L.packed(frame(spark, [[1.0, 2.0]] * 5), key="_row_id"), [L.Start(3)])[0]
     assert one.cost == 0 and np.allclose(one.centers, [1.0, 2.0])
+
+
+def test_measures_of_starts(spark):
+    from tribuna.operators import cluster as K
+    from tribuna.operators import metrics as M
+
+    x = np.array(points(11, 200))
+    df = frame(spark, x.tolist())
+    blocks, scale = L.packed(df, key="_row_id"), np.array([1.0, 0.5, 2.0])
+    starts = L.fit(blocks, [L.Start(3, 1), L.Start(4, 2, 1000, scale), L.Start(1, 3)], tolerance=0.0)
+    got = L.measures(blocks, starts)
+    weighted = frame(spark, (x * scale).tolist())
+    labels = [L.nearest(x, starts[0].centers)[0], L.nearest(x * scale, starts[1].centers)[0]]
+    found = L.silhouettes(spark, x, [(labels[0], None), (labels[1], scale), (np.zeros(len(x), int), None)])
+    for i, (d, s) in enumerate(((df, starts[0]), (weighted, starts[1]))):
+        c = K.nearest_two(d, s.centers.tolist()).select("_row_id", "features", "cluster")
+        assert abs(got[i]["davies_bouldin"] - M.davies_bouldin(c, "cluster").first()[0]) < 1e-9
+        assert abs(got[i]["calinski_harabasz"] / M.calinski_harabasz(c, "cluster").first()[0] - 1) < 1e-9
+        want = M.silhouette(c, "cluster", "_row_id").collect()
+        assert abs(found[i] - sum(r.n * r.silhouette for r in want) / len(x)) < 1e-9
+        assert sorted(got[i]["sizes"]) == sorted(r.n for r in want)
+    assert got[2]["davies_bouldin"] is None and found[2] is None and got[2]["sizes"] == [len(x)]
+
+
+@pytest.mark.parametrize("full", [True, False])
+def test_mixtures_against_plain(spark, full):
+    from tribuna.operators import mixture as G
+
+    x = np.array(points(12, 210))
+    blocks = L.packed(frame(spark, x.tolist()), key="_row_id")
+    fits = G.fit(blocks, [G.Mixture(k, s, full) for k in (1, 2, 3) for s in (1, 2)], tolerance=1e-6)
+    # one component is the sample's own moments
+    assert np.allclose(fits[0].means[0], x.mean(0)) and np.allclose(fits[0].covariances[0], (np.cov(x.T, bias=True) if full else x.var(0)) + (1e-6 * np.eye(3) if full else 1e-6))
+    best = G.best_of(fits)
+    for m in best.values():
+        assert m.rows == len(x)
+        dens = np.zeros(len(x))
+        for w, mu, c in zip(m.weights, m.means, m.covariances):
+            c = c if full else np.diag(c)
+            z = x - mu
+            dens += w * np.exp(-0.5 * (z @ np.linalg.inv(c) * z).sum(1)) / math.sqrt((2 * math.pi) ** 3 * np.linalg.det(c))
+        assert abs(np.log(dens).mean() - m.likelihood) < 1e-4
+        p, _ = m.posteriors(x)  # settled: a further step changes little
+        assert np.allclose(p.sum(0) / len(x), m.weights, atol=0.02)
+    assert best[1].likelihood < best[2].likelihood < best[3].likelihood
+    d = 3
+    assert best[2].parameters == 1 + 2 * d + (2 * d * (d + 1) / 2 if full else 2 * d)
+    mean, std = G.stability(blocks, {2: best[2]}, rounds=3)[2]
+    assert 0.3 < mean <= 1 and std >= 0
+    same = G.fit(L.packed(frame(spark, [[1.0, 2.0]] * 6), key="_row_id"), [G.Mixture(2, 1, full)])[0]
+    assert np.isfinite(same.likelihood)

@@ -26,15 +26,25 @@ BLOCK, SEEDING, ITERATIONS, TOLERANCE = 4096, 4096, 300, 1e-4
 
 @dataclass
 class Start:
-    """One fit: k centres, a seed, and the rows it sees (thousandths, by hash)."""
+    """One fit: k centres, a seed, the rows it sees (thousandths, by hash), and a weight for each dimension."""
 
     k: int
     seed: int = 42
     share: int = 1000
+    scale: np.ndarray | None = field(default=None, repr=False)
     centers: np.ndarray | None = field(default=None, repr=False)
     cost: float = 0.0
     done: bool = False
 
+    def light(self) -> Start:
+        """What tasks need of it."""
+        return Start(self.k, self.seed, self.share, self.scale, self.centers)
+
+    def rows(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The rows it sees, weighted."""
+        own = x if self.share >= 1000 else x[sampled(ids, self)]
+        return own if self.scale is None else own * self.scale
+
 
 def packed(df: DataFrame, vector: str = "features", key: str | None = None, label: str | None = None) -> DataFrame:
     """Blocks of rows: ids (hashes of the key, or of the vector), labels (whole numbers) and vectors as bytes."""
@@ -93,19 +103,19 @@ def _seeded(x: np.ndarray, start: Start) -> np.ndarray:
 
 def _sums(blocks: DataFrame, starts: list[Start]) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """(rows, sums, cost) of every start's centres over all blocks, in one pass."""
-    shared = blocks.sparkSession.sparkContext.broadcast([(Start(s.k, s.seed, s.share), s.centers) for s in starts])
+    shared = blocks.sparkSession.sparkContext.broadcast([s.light() for s in starts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = shared.value
-        total = [[np.zeros(len(c)), np.zeros_like(c), 0.0] for _, c in here]
+        total = [[np.zeros(s.k), np.zeros_like(s.centers), 0.0] for s in here]
         for ids, _, x in unpacked(batches):
-            for t, (s, centers) in zip(total, here):
-                own = x if s.share >= 1000 else x[sampled(ids, s)]
+            for t, s in zip(total, here):
+                own = s.rows(ids, x)
                 if len(own):
-                    at, d = nearest(own, centers)
-                    t[0] += np.bincount(at, minlength=len(centers))
+                    at, d = nearest(own, s.centers)
+                    t[0] += np.bincount(at, minlength=s.k)
                     for j in range(own.shape[1]):
-                        t[1][:, j] += np.bincount(at, own[:, j], len(centers))
+                        t[1][:, j] += np.bincount(at, own[:, j], s.k)
                     t[2] += d.sum()
         flat = np.concatenate([np.concatenate([n, m.ravel(), [c]]) for n, m, c in total])
         yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["s"])
@@ -133,16 +143,19 @@ def fit(blocks: DataFrame, starts: Sequence[Start], iterations: int = ITERATIONS
     sample = np.concatenate(parts)
     pick = np.random.default_rng(7).permutation(len(sample))[:SEEDING]
     sample = sample[np.sort(pick)]
-    scale = tolerance * float(sample.var(0).mean())
+    limit = []
     for s in starts:
-        s.centers, s.done = _seeded(sample, s), False
+        seen = sample if s.scale is None else sample * s.scale
+        s.centers, s.done = _seeded(seen, s), False
+        limit.append(tolerance * float(seen.var(0).mean()))
+    limits = dict(zip(map(id, starts), limit))
     for _ in range(iterations):
         open_ = [s for s in starts if not s.done]
         if not open_:
             break
         for s, (n, sums, cost) in zip(open_, _sums(blocks, open_)):
             moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], s.centers)
-            s.done, s.centers, s.cost = bool(((moved - s.centers) ** 2).sum() <= scale), moved, cost
+            s.done, s.centers, s.cost = bool(((moved - s.centers) ** 2).sum() <= limits[id(s)]), moved, cost
     for s, (_, _, cost) in zip(starts, _sums(blocks, starts)):  # the cost of the last centres
         s.cost = cost
     return starts
@@ -162,17 +175,95 @@ def ordered(centers: np.ndarray) -> list[list[float]]:
     return sorted([float(v) for v in c] for c in centers)
 
 
+def measures(blocks: DataFrame, starts: Sequence[Start]) -> list[dict]:
+    """sizes, inertia, davies_bouldin and calinski_harabasz of each start's clusters, in two passes for all: means, then distances to them.
+    Both indices are null where there are under two clusters."""
+    means = []
+    for s, (n, sums, _) in zip(starts, _sums(blocks, list(starts))):
+        means.append(np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], s.centers))
+    shared = blocks.sparkSession.sparkContext.broadcast([(s.light(), m) for s, m in zip(starts, means)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((3, s.k)) for s, _ in shared.value]
+        for ids, _, x in unpacked(batches):
+            for t, (s, m) in zip(total, shared.value):
+                own = s.rows(ids, x)
+                if len(own):
+                    at, _ = nearest(own, s.centers)
+                    d = ((own - m[at]) ** 2).sum(1)
+                    for i, v in enumerate((np.ones(len(d)), np.sqrt(d), d)):
+                        t[i] += np.bincount(at, v, s.k)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([t.ravel() for t in total]).tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    got = blocks.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    shared.unpersist()
+    flat, at, out = np.zeros(sum(3 * s.k for s in starts)), 0, []
+    for r in got:
+        flat[r["i"]] = r["x"]
+    for s, m in zip(starts, means):
+        n, far, within = flat[at : at + 3 * s.k].reshape(3, s.k)
+        at += 3 * s.k
+        on = n > 0
+        n, m, spread, inner = n[on], m[on], (far[on] / n[on]), within.sum()
+        one = {"k": s.k, "inertia": s.cost, "sizes": n.astype(int).tolist(), "davies_bouldin": None, "calinski_harabasz": None}
+        if len(n) > 1:
+            apart = np.sqrt(((m[:, None] - m) ** 2).sum(2))
+            ratio = np.divide(spread[:, None] + spread, apart, out=np.zeros_like(apart), where=apart > 0)
+            np.fill_diagonal(ratio, 0.0)
+            middle = (n[:, None] * m).sum(0) / n.sum()
+            between = (n * ((m - middle) ** 2).sum(1)).sum()
+            one |= {"davies_bouldin": float(ratio.max(1).mean()), "calinski_harabasz": float(between / (len(n) - 1) / (inner / (n.sum() - len(n)))) if inner > 0 and n.sum() > len(n) else None}
+        out.append(one)
+    return out
+
+
+def silhouette_of(x: np.ndarray, label: np.ndarray) -> float | None:
+    """Mean silhouette of a bounded sample; noise (-1) is left out, a row alone in its cluster has 0."""
+    x, label = x[label >= 0], label[label >= 0]
+    names, label = np.unique(label, return_inverse=True)
+    if len(names) < 2:
+        return None
+    one = np.eye(len(names))[label]
+    n, total = one.sum(0), np.zeros(len(x))
+    for at in range(0, len(x), 512):
+        part = slice(at, at + 512)
+        d = np.sqrt(np.maximum((x[part] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[part] @ x.T, 0.0))
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = 0.0
+        sums, own = d @ one, label[part]
+        rows = np.arange(len(d))
+        a = sums[rows, own] / np.maximum(n[own] - 1, 1)
+        other = sums / n
+        other[rows, own] = np.inf
+        b = other.min(1)
+        total[part] = np.where((n[own] > 1) & (np.maximum(a, b) > 0), (b - a) / np.where(np.maximum(a, b) > 0, np.maximum(a, b), 1), 0.0)
+    return float(total.mean())
+
+
+def silhouettes(spark, x: np.ndarray, labels: Sequence[tuple[np.ndarray, np.ndarray | None]]) -> list[float | None]:
+    """Silhouette of each (labels, weights of the dimensions) over one bounded sample; one task each."""
+    shared = spark.sparkContext.broadcast((x, list(labels)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                v, (label, scale) = shared.value[0], shared.value[1][i]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([silhouette_of(v if scale is None else v * scale, label)], pa.float64())], names=["i", "s"])
+
+    got = {r["i"]: r["s"] for r in spark.range(0, len(labels), 1, max(1, len(labels))).mapInArrow(run, "i long, s double").collect()}
+    shared.unpersist()
+    return [got[i] for i in range(len(labels))]
+
+
 def contingency(blocks: DataFrame, whole: np.ndarray | None, starts: Sequence[Start]) -> list[dict[tuple[int, int], int]]:
     """For each start: (cluster of the whole fit or label of the row, cluster of the start) -> rows the start sees. One pass."""
-    shared = blocks.sparkSession.sparkContext.broadcast([(Start(s.k, s.seed, s.share), s.centers) for s in starts])
+    shared = blocks.sparkSession.sparkContext.broadcast([s.light() for s in starts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int, int], int] = {}
         for ids, labels, x in unpacked(batches):
             a = nearest(x, whole)[0] if whole is not None else labels
-            for i, (s, centers) in enumerate(shared.value):
-                own = sampled(ids, s)
-                cells, counts = np.unique(np.column_stack([a[own], nearest(x[own], centers)[0]]), axis=0, return_counts=True)
+            for i, s in enumerate(shared.value):
+                cells, counts = np.unique(np.column_stack([a[sampled(ids, s)], nearest(s.rows(ids, x), s.centers)[0]]), axis=0, return_counts=True)
                 for (p, q), c in zip(cells.tolist(), counts.tolist()):
                     total[i, p, q] = total.get((i, p, q), 0) + c
         rows = [(*k, n) for k, n in total.items()]
