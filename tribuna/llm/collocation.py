@@ -7,10 +7,12 @@ decimal quotient, and the weakest cut counts. An anti-join with the one-word ext
 same count: a phrase is at least as frequent as any that holds it, so a longer candidate at that count implies such an extension.
 The best of each language are ranked by a window.
 
-A run can only be frequent if all runs within it are. So rows are made in three passes (words, pairs, longer runs), and a run becomes
-a row only if the runs of the pass before that it consists of may be frequent: their hashes are looked up in a bit set. The set
-has a bounded number of bits; a chance hit makes a row more, never one less, so counts are exact whatever the corpus's size. Each
-task counts runs in slices of its texts before they become rows, so a run as common as a function word is a row a slice.
+A run can only be frequent if all runs within it are. So texts are cut into words once, in slices of a language's texts that are
+written as numbered words, and the slices are read in passes. The first counts words. The second and third count pairs and triples
+that may be frequent as 64-bit hashes: two runs of one hash look more frequent than they are, never less. The last makes rows of
+the runs of two words and more all of whose pairs and triples may be frequent, and counts these as texts. What may be frequent is a
+bit set of hashes with a bounded number of bits; a chance hit makes a row more, never one less, so counts are exact whatever the
+corpus's size. Runs are counted within a slice before they become rows, so a run as common as a function word is a row a slice.
 
 Defined cases: a null text is empty; a null lang is `und`, together with rows of that lang; texts of any length are read in
 stretches cut between words that no run crosses; repeated rows count each; ties go as the order of the report says; an empty
@@ -20,11 +22,12 @@ table, or one without frequent phrases, gives no rows; columns other than text a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, join_lookup, materialise
@@ -32,15 +35,21 @@ from .common import SLICE_ROWS, join_lookup, materialise
 LONGEST, LEAST, SUBSUMED, TOP = 5, 100, 100, 2000
 #: Bits of the set of runs that may be frequent, at most (2^28 bits are 32 MB), and bits for each run in it.
 MOST_BITS, BITS_A_RUN = 28, 64
+#: Runs of up to so many words are counted as hashes before they become rows.
+HASHED = 3
 #: Words that a task counts together.
-SLICE_WORDS = 3_000_000
-#: Bytes of a text that are cut into words at once.
-STRETCH = 1 << 22
+SLICE_WORDS = 1_000_000
+#: Phrases, and hashes, that a task adds up before they become rows.
+TASK_PHRASES, TASK_HASHES = 300_000, 3_000_000
+#: Bytes of a text that are cut into words at once, and words that are hashed at once.
+STRETCH, CHUNK = 1 << 22, 1 << 17
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_ENDS + b"\t", b"." * len(_ENDS) + b" ")
 BREAK = 0
 ROW = "lang string, words int, phrase string, f long"
+#: Of the hashes of words (Spark's seed) and of pairs.
+SEED, SHIFT, MIX = 42, np.uint64(29), (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 def pieces(text: str) -> Iterator[list[bytes]]:
@@ -57,8 +66,8 @@ def pieces(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
-class Counter:
-    """Counts the runs of one language in a slice of texts."""
+class Slice:
+    """Texts of one language as numbered words; 0 is the end of a piece."""
 
     def __init__(self, lang: str):
         self.lang, self.ids, self.parts, self.size = lang, {b".": BREAK}, [], 0
@@ -70,52 +79,90 @@ class Counter:
             self.size += len(words) + 1
         return self.size - before
 
-    def words(self) -> tuple[np.ndarray, list[bytes]]:
-        return np.concatenate(self.parts).astype(np.int64), list(self.ids)
+    def written(self) -> tuple[str, bytes, bytes]:
+        """lang, the words by number (no word holds a line end), the texts."""
+        return self.lang, b"\n".join(self.ids), np.concatenate(self.parts).tobytes()
+
+
+class Counted:
+    """A written slice, for counting."""
+
+    def __init__(self, lang: str, names: bytes, words: bytes):
+        self.lang, self.names, self.x = lang, names.split(b"\n"), np.frombuffer(words, np.int32)
 
     def single(self) -> Iterator[tuple]:
         """Every word, and the number of all as the empty phrase."""
-        x, names = self.words()
-        counts = np.bincount(x, minlength=len(names))
+        counts = np.bincount(self.x, minlength=len(self.names))
         counts[BREAK] = 0
         yield self.lang, 0, "", int(counts.sum())
         for i in np.flatnonzero(counts):
-            yield self.lang, 1, names[i].decode("utf-8"), int(counts[i])
-
-    def runs(self, least_words: int, longest: int, frequent: Bits) -> Iterator[tuple]:
-        """Runs of `least_words` to `longest` words; the set `frequent` tells which runs of one word less than the least may be frequent."""
-        x, names = self.words()
-        ok = x != BREAK
-        if least_words == 2:
-            known = frequent.have(self.lang, names)
-            known[BREAK] = False
-            ok = known[x]
-        # code: the number, in this slice, of the run of `size` words that begins here; phrases: the runs by number
-        code, phrases, size = x, names, 1
-        while size < longest:
-            size += 1
-            at = np.flatnonzero(ok[:-1] & ok[1:])
-            at = at[at + size <= len(x)]
-            distinct, where, counts = np.unique(code[at] * len(names) + x[at + size - 1], return_inverse=True, return_counts=True)
+            yield self.lang, 1, self.names[i].decode("utf-8"), int(counts[i])
+
+    def _starts(self, sets: list[Bits]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+        """By stretches of places: (first place, for each n up to the number of sets which runs of n words may be frequent, hashes of runs of
+        one word more)."""
+        head = self.lang.encode("utf-8") + b"\0"
+        one = np.fromiter((xxhash.xxh64_intdigest(head + w, SEED) for w in self.names), np.uint64, len(self.names))
+        known = sets[0].have(one)
+        known[BREAK] = False
+        for first in range(0, len(self.x), CHUNK):
+            part = self.x[first : first + CHUNK + len(sets)]
+            h = single = one[part]
+            ok = [known[part]]
+            for n in range(1, len(sets) + 1):
+                h = pair_hash(h[:-1], single[n:])
+                if n < len(sets):
+                    ok.append(ok[-1][:-1] & ok[-1][1:] & sets[n].have(h))
+            most = min(CHUNK, len(self.x) - first)
+            yield first, [o[:most] for o in ok[:-1]] + ok[-1:], h
+
+    def hashes(self, sets: list[Bits]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of runs of one word more than there are sets, if all runs within may be frequent, and their numbers."""
+        found = []
+        for _, ok, h in self._starts(sets):
+            both = ok[-1][:-1] & ok[-1][1:]
+            found.append(h[both[: len(h)]])
+        return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def runs(self, longest: int, sets: list[Bits]) -> Iterator[tuple]:
+        """Runs of two to `longest` words all of whose parts may be frequent."""
+        x, names, depth = self.x, self.names, len(sets)
+        ok = [np.zeros(len(x), bool) for _ in sets]
+        for first, found, _ in self._starts(sets):
+            for o, f in zip(ok, found):
+                f = f[:CHUNK]
+                o[first : first + len(f)] = f
+        # code: the number, in this slice, of the run of `size` words that begins at a place; phrases: the runs by number
+        code, phrases, here = x, names, ok[0]
+        for size in range(2, longest + 1):
+            if size <= depth:
+                here = ok[size - 1]
+            else:
+                here[:-1] &= here[1:]
+                here[-1:] = False
+            at = np.flatnonzero(here)
+            distinct, where, counts = np.unique(code[at].astype(np.int64) * len(names) + x[at + size - 1], return_inverse=True, return_counts=True)
             heads, last = np.divmod(distinct, len(names))
             phrases = [phrases[h] + b" " + names[w] for h, w in zip(heads.tolist(), last.tolist())]
-            good = frequent.have(self.lang, phrases) if size < least_words else np.ones(len(phrases), bool)
-            if size >= least_words:
-                for p, c in zip(phrases, counts.tolist()):
-                    yield self.lang, size, p.decode("utf-8"), c
-            ok, code = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-            ok[at], code[at] = good[where], where
+            for p, c in zip(phrases, counts.tolist()):
+                yield self.lang, size, p.decode("utf-8"), c
+            code = np.zeros(len(x), np.int32)
+            code[at] = where
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    pair = (first * MIX[0]) ^ ((second ^ (second >> SHIFT)) * MIX[1])
+    return pair ^ (pair >> SHIFT)
 
 
 class Bits:
-    """A set of (lang, phrase) as bits of their hashes: it may hold more, never less."""
+    """A set of hashes as bits: it may hold more, never less."""
 
     def __init__(self, bits: int, table: bytes):
-        self.mask, self.table = (1 << bits) - 1, np.frombuffer(table, np.uint8)
+        self.mask, self.table = np.uint64((1 << bits) - 1), np.frombuffer(table, np.uint8)
 
-    def have(self, lang: str, phrases: list[bytes]) -> np.ndarray:
-        head = lang.encode("utf-8") + b"\0"
-        h = np.fromiter((xxhash.xxh64_intdigest(head + p, 42) & self.mask for p in phrases), np.int64, len(phrases))
+    def have(self, hashes: np.ndarray) -> np.ndarray:
+        h = (hashes & self.mask).astype(np.int64)
         return (self.table[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -123,80 +170,117 @@ class Bits:
 _ROW_BITS = 32768
 
 
-def bit_set(phrases: DataFrame) -> tuple[int, bytes]:
-    """(bits, table) of the set of lang and phrase: rows of 4 KB, no more of them than the bound of bits allows."""
-    count = phrases.count()
-    bits = min(MOST_BITS, max(15, (count * BITS_A_RUN).bit_length()))
-    place = F.xxhash64(F.concat(F.encode("lang", "utf-8"), F.lit(b"\0"), F.encode("phrase", "utf-8"))).bitwiseAND(F.lit((1 << bits) - 1))
-    rows = phrases.select(place.alias("p")).select(F.shiftright("p", 15).alias("row"), (F.col("p").bitwiseAND(F.lit(_ROW_BITS - 1))).alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+def bit_set(hashes: DataFrame) -> tuple[int, bytes]:
+    """(bits, table) of the set of a column h of hashes: rows of 4 KB, no more of them than the bound of bits allows."""
+    bits = min(MOST_BITS, max(15, (hashes.count() * BITS_A_RUN).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    rows = hashes.select(F.shiftright(place, 15).alias("row"), place.bitwiseAND(F.lit(_ROW_BITS - 1)).alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
     table = bytearray(1 << (bits - 3))
     for r in rows.toLocalIterator():
         table[r["row"] * _ROW_BITS // 8 : (r["row"] + 1) * _ROW_BITS // 8] = r["bits"]
     return bits, bytes(table)
 
 
-def _rows(docs: DataFrame, n: int, longest: int, filter_) -> DataFrame:
-    """(lang, words, phrase, f) of the slices of each task."""
+def word_hash() -> Column:
+    """Hash of lang and phrase as tasks compute it."""
+    return F.xxhash64(F.concat(F.encode("lang", "utf-8"), F.lit(b"\0"), F.encode("phrase", "utf-8")))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Written slices of a task's texts (columns text, lang)."""
+    open_: dict[str, Slice] = {}
+    held = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        while open_:
+            row = open_.popitem()[1].written()
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.string()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary())], names=["lang", "names", "words"])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(at, SLICE_ROWS)
+            for text, lang in zip(part.column(0), part.column(1).to_pylist()):
+                if t := text.as_py():
+                    if lang not in open_:
+                        open_[lang] = Slice(lang)
+                    held += open_[lang].add(t)
+                if held >= SLICE_WORDS:
+                    yield from flush()
+                    held = 0
+    yield from flush()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[Counted]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Counted(*(batch.column(c)[i].as_py() for c in range(3)))
+
+
+def _phrase_rows(slices: DataFrame, of) -> DataFrame:
+    """(lang, words, phrase, f) that `of` gives of each slice, added up within a task, then over all."""
     names, types = ["lang", "words", "phrase", "f"], [pa.string(), pa.int32(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = Bits(*filter_.value) if filter_ else None
-        open_: dict[str, Counter] = {}
-        held = 0
+        total: dict[tuple, int] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for c in open_.values():
-                rows: list[tuple] = []
-                for row in c.single() if n == 1 else c.runs(n, longest, frequent):
-                    rows.append(row)
-                    if len(rows) == 50_000:
-                        yield _batch(rows, names, types)
-                        rows = []
-                if rows:
-                    yield _batch(rows, names, types)
-            open_.clear()
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                for text, lang in zip(part.column(0), part.column(1).to_pylist()):
-                    if (t := text.as_py()):
-                        if lang not in open_:
-                            open_[lang] = Counter(lang)
-                        held += open_[lang].add(t)
-                    if held >= SLICE_WORDS:
-                        yield from flush()
-                        held = 0
+            rows = iter(total.items())
+            while some := list(islice(rows, 50_000)):
+                columns = [*zip(*(k for k, _ in some)), [f for _, f in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
+            total.clear()
+
+        for c in _counted(batches):
+            for lang, words, phrase, f in of(c):
+                key = (lang, words, phrase)
+                total[key] = total.get(key, 0) + f
+                if len(total) >= TASK_PHRASES:
+                    yield from flush()
         yield from flush()
 
-    return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(run, ROW)
+    return slices.mapInArrow(run, ROW).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+
+
+def _hash_rows(slices: DataFrame, of) -> DataFrame:
+    """(h, f) that `of` gives of each slice, added up within a task, then over all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            f = np.bincount(at, np.concatenate([n for _, n in held]), len(h)).astype(np.int64)
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(f)], names=["h", "f"])
 
+        for c in _counted(batches):
+            held.append(of(c))
+            if sum(len(x) for x, _ in held) >= TASK_HASHES:
+                yield from flush()
+        if held:
+            yield from flush()
 
-def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
+    return slices.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """lang, words, phrase, f of all phrases of 1 to `longest` words with f >= least; words 0 is the number of all words of a language."""
-    spark: SparkSession = docs.sparkSession
-    out, before = [], None
-    for n in (1, 2, 3):
-        if n > longest:
-            break
-        filter_ = None
-        if before is not None:
-            filter_ = spark.sparkContext.broadcast(bit_set(before))
-        rows = _rows(docs, n, 2 if n == 2 else longest, filter_)
-        summed = rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
-        summed = materialise(summed, f"phrases-{n}")
-        if filter_ is not None:
-            filter_.unpersist()
-        before = summed.where("words > 0")
-        out.append(summed)
-    counts = out[0]
-    for more in out[1:]:
-        counts = counts.unionByName(more)
-    return counts
+    context = docs.sparkSession.sparkContext
+    slices = materialise(docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(_sliced, "lang string, names binary, words binary"), "phrases-slices")
+
+    one = materialise(_phrase_rows(slices, Counted.single).where((F.col("f") >= least) | (F.col("words") == 0)), "phrases-words")
+    if longest < 2:
+        return one
+    sets = [bit_set(one.where("words = 1").select(word_hash().alias("h")))]
+    for n in range(2, min(longest, HASHED) + 1):
+        known = context.broadcast(sets)
+        found = _hash_rows(slices, lambda c, known=known: c.hashes([Bits(*s) for s in known.value])).where(F.col("f") >= least)
+        sets = [*sets, bit_set(materialise(found.select("h"), f"phrases-{n}"))]
+        known.unpersist()
+    known = context.broadcast(sets)
+    more = materialise(_phrase_rows(slices, lambda c: c.runs(longest, [Bits(*s) for s in known.value])).where(F.col("f") >= least), "phrases-runs")
+    known.unpersist()
+    return one.unionByName(more)
 
 
 def _long(c: str, digits: int = 19) -> str:
