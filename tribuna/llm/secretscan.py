@@ -4,25 +4,29 @@ Base kinds are the fixed patterns, leftmost and not overlapping per kind. Positi
 (split) and the matches themselves, by prefix sums over array blocks, so a text with many matches costs n^1.5, not n^2.
 
 The battery takes further strings of 20 or more characters of [A-Za-z0-9+/_-], with the padding "=" at their end, with a letter
-and a digit that touch no base span; in NAME=value both sides are strings of their own. The narrowest encoding that holds a
-string's characters is inferred (hex, base 32, 36, 62, 64, both alphabets of base 64 mixed) and three tests of "drawn evenly
-from that alphabet" are made: chi-squared over the alphabet, runs above and below its middle, and serial correlation. A string
-that one of them rejects (UNEVEN, by Bonferroni) is no secret.
-
-What is controlled is the rate of false secrets. The null hypothesis of a string is that it is ordinary text: words and numbers
-whose characters coincide at a rate of COINCIDENCE (COINCIDENCE_BOTH), not of 1 / alphabet. Then chi-squared is non-central, and its lower tail
-(Patnaik's scaled chi-squared, cube-root normal) is the string's p-value, 1 where the battery rejects an even draw; where the
-alphabet is too small for that to tell (hex), it is the chance that so much ordinary text has hexadecimal digits only. The
-Benjamini-Hochberg step-up at ALPHA over the text's strings, with weights in proportion to their length (long strings carry
-more evidence), gives the spans of kind "random". Short strings can hardly reach it, as they should not; the tests hold the rate
-of false secrets, and of random strings found by length, against labelled strings.
+and a digit that touch no base span; in NAME=value both sides are strings of their own, and a short word with _ or - before a run
+of letters and digits (a vendor's prefix) is not tested with it. The narrowest encoding that holds a string's characters is
+inferred (hex in either case, base 32, 36, 62, 64, both alphabets of base 64 mixed) and three tests of "drawn evenly from that
+alphabet" are made: chi-squared over the alphabet, runs above and below its middle, and serial correlation. A string that one
+of them rejects (UNEVEN, by Bonferroni) is no secret.
+
+What is controlled is the rate of false secrets. The null hypothesis of a string is that it is ordinary text, and two tests speak
+against it. Characters of words and numbers coincide at a rate of COINCIDENCE (COINCIDENCE_BOTH), not of 1 / alphabet: chi-squared is
+non-central then, and its lower tail (Patnaik's scaled chi-squared, cube-root normal) is one p-value. Lower case, upper case,
+digits and signs follow each other in runs, of which there are few: the upper tail of their number, with a change at a rate of
+CHANGES, is the other. Both are combined by Fisher's rule; where the alphabet is too small for them to tell (hex), the p-value is the
+chance that so much ordinary text has hexadecimal digits only; it is 1 where the battery rejects an even draw.
+
+The step-up at ALPHA has one threshold for all strings of the table, so what else a text holds does not matter. P-values are weighed by
+length (long strings carry more evidence), counted in a histogram of STEPS steps a power of two, and the threshold is the largest
+step at which expected false secrets are at most ALPHA of those found; one aggregate gives it, a second pass applies it.
 
 Base spans and strings are put together by sorting and running maxima over blocks, and redacted texts are joined from pieces,
 so a text with many matches costs n^1.5, not n^2.
 
 Defined cases: null and empty text have no spans (the hash of the empty string); equal spans of two kinds are both given; ids
 of any type, repeated and null ones too, stay what they are; repeated rows and other columns do not matter; an empty table
-gives no rows. Everything is one narrow projection.
+gives no rows. Two passes over the texts, each a narrow projection, the first with an aggregate of some hundred rows.
 """
 
 from __future__ import annotations
@@ -45,13 +49,20 @@ ALPHA, UNEVEN = 0.01, 0.001
 #: Chance that two characters of ordinary text are equal, of one letter case and of both; and, as an upper bound, that a
 #: character is a hexadecimal digit.
 COINCIDENCE, COINCIDENCE_BOTH, HEX_SHARE = 0.055, 0.042, 0.5
+#: Rate at which ordinary text changes between lower case, upper case, digits and signs, as an upper bound.
+CHANGES = 0.30
+CLASSES = "[0-9]+|[a-z]+|[A-Z]+|[^0-9A-Za-z]+"
+#: A vendor's prefix before a run of letters and digits.
+PREFIX = r"^(?:[A-Za-z][A-Za-z0-9]{1,9}[_-]){1,2}(?=[A-Za-z0-9]{20,}$)"
+#: Length that has the weight 1; steps of the histogram of p-values in a power of two, and the last of them.
+USUAL, STEPS, LAST_STEP = 32, 8, 2000
 #: Code points of a block when pieces are cut out of a text.
 BLOCK = 4096
-#: encoding: (characters it may have, its alphabet in order)
+#: encoding: (characters it may have, its alphabet in order); hex is read in lower case
+HEX_EITHER = "[0-9a-fA-F]*"
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = {
-    "hex": ("[0-9a-f]*", _DIGITS + "abcdef"),
-    "HEX": ("[0-9A-F]*", _DIGITS + "ABCDEF"),
+    "hex": (HEX_EITHER, _DIGITS + "abcdef"),
     "base32": ("[A-Z2-7]*", _UPPER + "234567"),
     "base36": ("[a-z0-9]*", _DIGITS + _LOWER),
     "BASE36": ("[A-Z0-9]*", _DIGITS + _UPPER),
@@ -124,8 +135,25 @@ def _kind(column: str, order: int, kind: str) -> Column:
 
 
 def _upper_tail(z: Column) -> Column:
-    """1 - Phi(z), by a logistic in z and its cube."""
-    return _let(F.least(F.greatest(z, F.lit(-20.0)), F.lit(20.0)), lambda z: 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z)))
+    """1 - Phi(z)."""
+    return F.exp(-_evidence(z))
+
+
+def _evidence(z: Column) -> Column:
+    """-ln(1 - Phi(z)): a logistic in z and its cube below 2, the continued fraction of the tail from there."""
+
+    def fraction(z: Column) -> Column:
+        f = z
+        for i in range(8, 0, -1):
+            f = z + i / f
+        return z * z / 2 + 0.9189385332046727 + F.log(f)  # ln of the root of 2 pi
+
+    return _let(F.least(F.greatest(z, F.lit(-20.0)), F.lit(20.0)), lambda z: F.when(z >= 2, fraction(z)).otherwise(F.log1p(F.exp(1.5976 * z + 0.07056 * z * z * z))))
+
+
+def _fisher(a: Column, b: Column) -> Column:
+    """Combined p-value of two tests from their -ln p."""
+    return _let(a + b, lambda s: F.exp(-s) * (1 + s))
 
 
 def _cube_root_normal(x: Column, df: Column) -> Column:
@@ -138,18 +166,19 @@ def _battery(token: Column) -> Column:
 
     def encoded(body: Column) -> Column:
         encoding = F.coalesce(*[F.when(body.rlike(f"^{chars}$"), F.lit(letters)) for chars, letters in ENCODINGS.values()])
-        return F.struct(body.alias("body"), encoding.alias("alphabet"))
+        runs = F.regexp_count(body, F.lit(CLASSES)).cast("double")
+        return F.struct(F.when(body.rlike(f"^{HEX_EITHER}$"), F.lower(body)).otherwise(body).alias("body"), encoding.alias("alphabet"), runs.alias("classes"))
 
     def counted(x: Column) -> Column:
         k, n = F.length(x["alphabet"]).cast("double"), F.length(x["body"]).cast("double")
         values = F.transform(F.split(x["body"], ""), lambda c: (F.instr(x["alphabet"], c) - 1).cast("double"))
         squares = F.aggregate(F.split(x["alphabet"], ""), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(x["body"], c, F.lit(""))), F.lit(2.0)))
-        return F.struct(k.alias("k"), n.alias("n"), values.alias("v"), (k * squares / n - n).alias("chi"))
+        return F.struct(k.alias("k"), n.alias("n"), values.alias("v"), (k * squares / n - n).alias("chi"), x["classes"].alias("classes"))
 
     def summed(x: Column) -> Column:
         k, n, v = x["k"], x["n"], x["v"]
         both = F.aggregate(v, F.struct(F.lit(0.0).alias("high"), F.lit(0.0).alias("sum")), lambda a, y: F.struct((a["high"] + F.when(y >= k / 2, 1.0).otherwise(0.0)).alias("high"), (a["sum"] + y).alias("sum")))
-        return _let(both, lambda b: F.struct(k.alias("k"), n.alias("n"), v.alias("v"), x["chi"].alias("chi"), (1 + 2 * b["high"] * (n - b["high"]) / n).alias("mu"), (b["sum"] / n).alias("mean")))
+        return _let(both, lambda b: F.struct(k.alias("k"), n.alias("n"), v.alias("v"), x["chi"].alias("chi"), x["classes"].alias("classes"), (1 + 2 * b["high"] * (n - b["high"]) / n).alias("mu"), (b["sum"] / n).alias("mean")))
 
     def walked(x: Column) -> Column:
         half, mean = x["k"] / 2, x["mean"]
@@ -174,12 +203,14 @@ def _battery(token: Column) -> Column:
         # non-central chi-squared of ordinary text as a scaled central one (Patnaik)
         away = n * F.greatest(F.when(x["k"] < 62, COINCIDENCE).otherwise(COINCIDENCE_BOTH) * x["k"] - 1, F.lit(0.05))
         scale, df2 = (df + 2 * away) / (df + away), (df + away) * (df + away) / (df + 2 * away)
-        ordinary = _let(F.struct(scale.alias("s"), df2.alias("d")), lambda c: _upper_tail(-_cube_root_normal(x["chi"] / c["s"], c["d"])))
+        even_chi = _let(F.struct(scale.alias("s"), df2.alias("d")), lambda c: _evidence(-_cube_root_normal(x["chi"] / c["s"], c["d"])))
+        changed = _evidence((x["classes"] - 1.5 - (n - 1) * CHANGES) / F.sqrt((n - 1) * (CHANGES * (1 - CHANGES))))
+        ordinary = _fisher(even_chi, changed)
         ordinary = F.when(x["k"] == 16, F.pow(F.lit(HEX_SHARE), n)).otherwise(ordinary)
         return F.struct(n.alias("n"), F.when(even, ordinary).otherwise(F.lit(1.0)).alias("p"))
 
     found = lambda x: F.when(x["alphabet"].isNotNull(), _let(_let(_let(x, counted), summed), walked))
-    return _let(_let(F.regexp_replace(token, "=+$", ""), encoded), found)
+    return _let(_let(F.regexp_replace(F.regexp_replace(token, "=+$", ""), PREFIX, ""), encoded), found)
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -200,16 +231,27 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     apart = F.transform(apart, lambda x: F.struct(x["mixed"]["start"].alias("start"), x["mixed"]["end"].alias("end"), x["mixed"]["match"].alias("match")))
     df = df.withColumn("dense", F.filter(F.coalesce(F.when(F.col("mixed").isNotNull(), apart), F.col("dense")), lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]")))
     df = df.withColumn("tested", F.filter(F.transform("dense", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _battery(x["match"]).alias("t"))), lambda x: x["t"].isNotNull()))
-    m, total = F.size("tested"), F.aggregate("tested", F.lit(0.0), lambda a, x: a + x["t"]["n"])
-    weighed = _let(F.struct(total.alias("total"), m.alias("m")), lambda a: F.transform("tested", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["t"]["p"] * a["total"] / (x["t"]["n"] * a["m"])).alias("q"))))
-    df = df.withColumn("weighed", F.when(m > 0, weighed))
-    ranked = F.array_sort(F.transform("weighed", lambda x: x["q"]))
-    cut = F.coalesce(F.array_max(F.filter(ranked, lambda q, i: q <= ALPHA * (i + 1) / F.size("weighed"))), F.lit(-1.0))
-    random = F.when(m > 0, _let(cut, lambda c: F.filter("weighed", lambda x: x["q"] <= c)))
-    df = df.withColumn("random", F.coalesce(random, F.array().cast("array<struct<start:bigint,end:bigint,q:double>>")))
+    q = F.transform("tested", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["t"]["p"] * USUAL / x["t"]["n"]).alias("q"), x["t"]["n"].alias("n")))
+    df = df.withColumn("weighed", q)
+    random = F.filter("weighed", lambda x: x["q"] <= F.lit(threshold(df)))
+    df = df.withColumn("random", random)
     return df.withColumn("spans", F.when(F.size("random") > 0, F.array_sort(F.concat("base", _kind("random", 3, "random")))).otherwise(F.col("base")))
 
 
+def threshold(weighed: DataFrame) -> float:
+    """The largest weighted p-value at which at most ALPHA of the strings found are expected to be ordinary; -1 if there is none."""
+    x = weighed.select(F.explode("weighed").alias("x"))
+    step = F.when(F.col("x.q") <= 0, LAST_STEP).otherwise(F.least(F.floor(-F.log2("x.q") * STEPS), F.lit(LAST_STEP))).cast("int")
+    counted = {r["step"]: (r["k"], r["n"]) for r in x.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.sum("x.n").alias("n")).collect()}  # a row a step
+    weight, found, best = sum(n for _, n in counted.values()) / USUAL, 0, -1.0
+    for step in sorted(counted, reverse=True):
+        found += counted[step][0]
+        at = 2.0 ** (-step / STEPS)  # the upper end of the step
+        if at * weight <= ALPHA * found:
+            best = at
+    return best
+
+
 def _listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
