@@ -5,14 +5,15 @@ form controls are left out; a head has nothing else that is text, and what else
 Each node is content or not; a node's evidence is its tag, the words of its class and id, its share of link text and the length of its own text. Potentials tie each child to its parent. One sum-product pass from the
 leaves to the root and one back give each node's marginal; blocks whose node is content with more than 1/2 are the text.
 
-Evidence and tie potentials are counted on labelled pages that `labelled_pages` makes: layouts of many kinds with articles,
-menus, headers, footers, sidebars, notices, adverts, forms and comments, every node labelled, class words drawn from several
+Evidence and tie potentials are counted on labelled pages of two generators. `labelled_sheets` draws trees of sections from a
+grammar; `labelled_pages` makes layouts of many kinds with articles, menus, headers, footers, sidebars, notices, adverts, forms and comments, every node labelled, class words drawn from several
 languages, from words that tell nothing, or left out, so that structure has to carry what words do not say. A class word that
 was never seen is no evidence. A page of which no block reaches 1/2 gives its best-scoring container, unless that is plainly
 none (LEAST). Fitting takes a second on the driver; the model is a few kilobytes. Extraction is one narrow pass over whole pages.
 
 Defined cases: null and empty html give the empty text; html without tags is one block; unclosed and stray tags are closed or
-skipped; an element that is left out and not closed before its parent ends at the next start or end of a block (an unclosed
+skipped; an element with a hyphen in its name is a block where it holds blocks or stands among them, and its name's words are class
+words, but inline within running text; an element that is left out and not closed before its parent ends at the next start or end of a block (an unclosed
 script or style, as in HTML, at the end of the page); an attribute whose quote is never closed ends with its tag; elements nest
 to any depth; ids of any type, repeated rows and other columns stay apart and do not matter.
 """
@@ -26,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,8 +49,11 @@ LEAST = 0.2
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)|([^>]*)(?:>|$)))", re.S)
 _BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|$)|display\s*:\s*none", re.I)
+#: Attributes in order: what stands in a quoted value is no attribute.
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+#: Elements of running text: an element of another namespace in them, or after text, is inline.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 dt figcaption caption summary pre legend".split())
 _NAME = re.compile(r"[^\W\d_]+")
 
 
@@ -122,6 +127,18 @@ def skip_element(page: str, start: int, tag: str, above: Counter, ends: dict[int
     return boundary(page, start, tag, never) if end is None else end
 
 
+def attribute_words(rest: str) -> Iterator[str]:
+    """Words of class, id and role, and `hidden` for elements that are not shown."""
+    hidden = False
+    for m in _ATTR.finditer(rest):
+        name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        if name in ("class", "id", "role"):
+            yield from _NAME.findall(value.lower())
+        hidden = hidden or name == "hidden" or name == "style" and bool(_NONE.search(value))
+    if hidden:
+        yield "hidden"
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in document order, a parent before its children; node 0 is the root."""
     nodes, stack = [Node(-1, "#root", ())], [0]
@@ -170,7 +187,10 @@ def parse(page: str) -> list[Node]:
                     flush()
                     at = skip_element(page, at, tag, opened, ends, never)
             continue
-        if tag not in BLOCKS:
+        custom = "-" in tag
+        if custom and not (opened[tag] if closing else nodes[stack[-1]].tag not in RUNNING and not "".join(run).strip()):
+            continue
+        if tag not in BLOCKS and not custom:
             if tag == "a":
                 link = 0 if closing else 1
             elif tag == "br":
@@ -196,11 +216,9 @@ def parse(page: str) -> list[Node]:
                     shut_from(k)
                     break
         rest = m.group(3) or m.group(4) or ""
-        words: tuple[str, ...] = ()
-        if rest and "=" in rest:
-            words = tuple(dict.fromkeys(w for a in _ATTR.findall(rest) for w in _NAME.findall(" ".join(a).lower())))
-        if rest and _HIDDEN.search(rest):
-            words += ("hidden",)
+        words = tuple(_NAME.findall(tag)) if custom else ()
+        if rest:
+            words = tuple(dict.fromkeys([*words, *attribute_words(rest)]))
         nodes[stack[-1]].kids += 1
         nodes.append(Node(stack[-1], tag, words))
         stack.append(len(nodes) - 1)
@@ -216,15 +234,21 @@ def tie_class(tag: str) -> int:
 
 def evidence(nodes: list[Node]) -> list[list[str]]:
     """Names of the features of each node; text and links count with all that is below."""
-    chars, linked = [x.chars for x in nodes], [x.linked for x in nodes]
+    chars, linked, blocks = [x.chars for x in nodes], [x.linked for x in nodes], [len(x.texts) for x in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         chars[nodes[i].parent] += chars[i]
         linked[nodes[i].parent] += linked[i]
+        blocks[nodes[i].parent] += blocks[i]
+    within = [False] * len(nodes)  # an article or main part
+    for i, x in enumerate(nodes):
+        within[i] = x.tag in ("article", "main") or i > 0 and within[x.parent]
     out = []
     for i, x in enumerate(nodes):
         share = linked[i] / chars[i] if chars[i] else 0.0
         above = nodes[x.parent].tag if i else ""
         own = [f"tag={x.tag}", f"under={above}/{x.tag}", f"links={'none' if not share else 'few' if share < 0.34 else 'many' if share < 0.8 else 'all'}", f"length={min(6, int(math.log2(chars[i] + 1) / 2))}", f"part={min(4, int(5 * chars[i] / (chars[0] or 1)))}"]
+        if share >= 0.34:  # menus are lists of short links, sources of long ones, and these stand in articles
+            own.append(f"linked={min(7, int(math.log2(chars[i] / blocks[i])))}/{within[i]}")
         own += [f"word={w}" for w in x.words]
         out.append(own)
     return out
@@ -286,7 +310,9 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> Iterator[tuple[str,
             return tag("div", False, lambda: tag("div", False, words(3, 30)), named(bad, 1))
 
         def block() -> str:
-            kind = rnd.randrange(14)
+            kind = rnd.randrange(15)
+            if kind == 14:  # sources: a list of links that belongs to the article
+                return (tag(rnd.choice(["h2", "h3", "p"]), True, words(1, 3)) if rnd.random() < 0.5 else "") + tag(rnd.choice(["ul", "ol"]), True, lambda: "".join(tag("li", True, f'<a href="/{word()}">{words(2, 12)}</a>' + (f" {words(1, 8)}" if rnd.random() < 0.3 else "")) for _ in range(rnd.randrange(1, 7))))
             if kind == 0:
                 return tag(rnd.choice(["ul", "ol"]), True, lambda: "".join(tag("li", True, words(2, 25)) for _ in range(rnd.randrange(2, 6))))
             if kind == 1:
@@ -333,11 +359,79 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> Iterator[tuple[str,
         yield page, labels
 
 
+def labelled_sheets(pages: int = PAGES // 2, seed: int = SEED) -> Iterator[tuple[str, list[bool]]]:
+    """The same from another generator: pages as trees of sections drawn from a grammar, with frames of tables or of elements of
+    their own, definition lists, sources, threads of remarks, and text that stands in containers without paragraphs."""
+    rnd = random.Random(seed + 1)
+    text = lambda low, high: " ".join("".join(rnd.choice("aeioulnrstmpdcgbv") for _ in range(rnd.randrange(1, 11))) for _ in range(rnd.randrange(low, high)))
+    frames = {"nav": ["nav", "site-nav", "app-menu", "div"], "head": ["header", "site-header", "div"], "foot": ["footer", "site-footer", "div"], "side": ["aside", "side-panel", "div"], "notice": ["div", "cookie-notice", "dialog"]}
+    said = {"nav": "menu nav navigation", "head": "header masthead banner", "foot": "footer bottom copyright", "side": "sidebar related widget", "notice": "cookie notice consent alert"}
+
+    for _ in range(pages):
+        labels: list[bool] = []
+        plain = rnd.random() < 0.4  # no class words at all
+
+        def put(name: str, label: bool, parts, attrs: str = "") -> str:
+            labels.append(label)
+            inner = "".join(p() if callable(p) else p for p in (parts if isinstance(parts, list) else [parts]))
+            return f"<{name}{attrs}>{inner}</{name}>"
+
+        def anchors(label: bool, low: int, high: int) -> list:
+            return [lambda: put("li", label, f"<a href='{text(1, 2)}'>{text(low, high)}</a>") for _ in range(rnd.randrange(2, 8))]
+
+        def frame(kind: str) -> str:
+            name = rnd.choice(frames[kind])
+            own = rnd.choice(said[kind].split()) if name == "div" or not plain and rnd.random() < 0.4 else ""
+            attrs = f' class="{own}"' if own else ""
+            lists = lambda: put("ul", False, anchors(False, 1, 4))
+            if kind == "nav":
+                return put(name, False, [lists], attrs)
+            if kind == "side":
+                return put(name, False, [lambda: put("h4", False, text(1, 4)), lists if rnd.random() < 0.5 else lambda: put("p", False, text(4, 25))], attrs)
+            return put(name, False, text(2, 20) if rnd.random() < 0.5 else [lambda: put("p", False, text(2, 20))], attrs)
+
+        def piece(depth: int) -> str:
+            kind = rnd.choice(["p"] * 6 + ["list", "terms", "table", "quote", "code", "sources", "bare", "section"])
+            if kind == "section" and depth < 3:
+                return put("section", True, [lambda: put(f"h{min(6, depth + 2)}", True, text(1, 7)), *[lambda: piece(depth + 1) for _ in range(rnd.randrange(1, 4))]])
+            if kind == "list":
+                return put(rnd.choice(["ul", "ol"]), True, [lambda: put("li", True, text(1, 20)) for _ in range(rnd.randrange(2, 6))])
+            if kind == "terms":
+                return put("dl", True, [lambda: put("dt", True, text(1, 4)) + put("dd", True, text(3, 25)) for _ in range(rnd.randrange(1, 4))])
+            if kind == "table":
+                return put("table", True, [lambda: put("tr", True, [lambda: put("td", True, text(1, 5)) for _ in range(2)]) for _ in range(rnd.randrange(2, 5))])
+            if kind == "quote":
+                return put("blockquote", True, text(5, 40))
+            if kind == "code":
+                return put("pre", True, text(4, 30))
+            if kind == "sources":
+                return put("h3", True, text(1, 3)) + put(rnd.choice(["ul", "ol"]), True, anchors(True, 3, 12))
+            if kind == "bare":
+                return put("div", True, text(8, 70))
+            return put("p", True, text(2, 30) + (f" <a href='x'>{text(1, 4)}</a> {text(2, 20)}" if rnd.random() < 0.3 else ""))
+
+        def thread() -> str:
+            remark = lambda: put("li", False, [lambda: put("div", False, text(3, 40))], "" if plain and rnd.random() < 0.5 else ' class="comment"')
+            return put(rnd.choice(["div", "section", "comment-thread"]), False, [lambda: put("ol", False, [remark for _ in range(rnd.randrange(1, 5))])], f' id="{rnd.choice(["comments", "replies", "discussion"])}"')
+
+        def story() -> str:
+            return put(rnd.choice(["article", "main", "article", "div"]), True, [lambda: put("h1", True, text(2, 9)), *[lambda: piece(0) for _ in range(rnd.randrange(2, 10))]], "" if plain else ' class="article"')
+
+        if rnd.random() < 0.25:  # a frame of tables: menu, story, side
+            row = [lambda: put("td", False, [lambda: frame("nav")]), lambda: put("td", True, [story])] + ([lambda: put("td", False, [lambda: frame("side")])] if rnd.random() < 0.5 else [])
+            parts = [lambda: put("table", True, [lambda: put("tr", True, row)]), lambda: frame("foot")]
+        else:
+            parts = [lambda k=k: frame(k) for k in ("head", "nav") if rnd.random() < 0.7] + [story]
+            parts += [thread] if rnd.random() < 0.4 else []
+            parts += [lambda k=k: frame(k) for k in ("side", "notice", "foot") if rnd.random() < 0.5]
+        yield put("body", True, parts), labels
+
+
 @lru_cache(maxsize=2)
 def fit(pages: int = PAGES, seed: int = SEED) -> tuple[dict[str, float], tuple[tuple[float, ...], ...]]:
     """(log-odds of each feature; for each tie class the potentials not|not, content|not, not|content, content|content)."""
     counts, pairs, totals = {True: Counter(), False: Counter()}, Counter(), Counter()
-    for page, labels in labelled_pages(pages, seed):
+    for page, labels in chain(labelled_pages(pages, seed), labelled_sheets(pages // 2, seed)):
         nodes = parse(page)
         if len(nodes) != len(labels) + 1:
             raise ValueError("a labelled page does not parse as it was made")
