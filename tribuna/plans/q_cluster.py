@@ -8,10 +8,10 @@ from ..functions import text as T
 from ..operators import agglomerate as A
 from ..operators import cluster as K
 from ..operators import drift as D
-from ..operators import explore as X
 from ..operators import hierarchy as H
 from ..operators import lloyd
 from ..operators import metrics as M
+from ..operators import percentile as P
 from ..operators import relative as R
 from ..operators import space as S
 from ..sources.scratch import materialise
@@ -37,7 +37,7 @@ def vectors(spark, sf_dir):
 @kept(*INVENTORY)
 def metrics(spark, sf_dir):
     """Enriched rows, computed once a session: fits and predictions read them many times."""
-    return materialise(T.with_text_features(R.relative_metrics(typed(spark, sf_dir))), "enriched")
+    return materialise(T.with_text_features(P.type_percentile(R.relative_metrics(typed(spark, sf_dir)))), "enriched")
 
 
 @query(f"WITH {VEC_SQL}, c AS (SELECT vec_id AS c, v AS cv FROM vec WHERE vec_id < 5), d AS (SELECT vec_id, c, sqrt(list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - cv[i]) * (v[i] - cv[i])))) AS d FROM vec, c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS k FROM d) SELECT vec_id, CAST(max(CASE WHEN k = 1 THEN c END) AS INT) AS cluster, CAST(max(CASE WHEN k = 2 THEN c END) AS INT) AS second, round(max(CASE WHEN k = 1 THEN d END), 6) + 0.0 AS d1, round((max(CASE WHEN k = 2 THEN d END) - max(CASE WHEN k = 1 THEN d END)) / (max(CASE WHEN k = 2 THEN d END) + 1e-9), 6) AS margin FROM r GROUP BY vec_id")
@@ -326,27 +326,6 @@ def bootstrap_stability(spark, sf_dir):
     return spark.createDataFrame([(mean, std)], "mean double, std double")
 
 
-@kept("embeddings")
-def families(spark, sf_dir):
-    return materialise(X.four_families(vectors(spark, sf_dir), 5, "vec_id"), "families")
-
-
-@query()
-def benchmark_families(spark, sf_dir):
-    return rounded(spark.createDataFrame(X.family_table(families(spark, sf_dir), "vec_id"), X.FAMILY_ROW))
-
-
-@query()
-def family_agreement(spark, sf_dir):
-    return rounded(X.agreement(families(spark, sf_dir), X.FAMILIES))
-
-
-@query()
-def density_clusters(spark, sf_dir):
-    """Density clusters for three shares of the rows as the least size."""
-    return rounded(spark.createDataFrame(X.density_grid(vectors(spark, sf_dir), "vec_id"), X.DENSITY_ROW))
-
-
 @query()
 def ward_clusters(spark, sf_dir):
     out = None

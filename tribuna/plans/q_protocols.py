@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rules import VENUE_TYPES
+from ..operators import explore as X
+from ..operators import metrics as M
 from ..operators import relative as R
+from ..operators import space as S
 from ..operators import venue as V
 from ..sources import external, shadow
-from ..sources.scratch import scratch_path
-from .common import Registry, rounded
-from .domain import inventory
+from ..sources.scratch import materialise, scratch_path
+from .common import INVENTORY, Registry, kept, rounded
+from .domain import inventory, table
+from .q_cluster import metrics, predicted
 from .q_inventory import CHECKS_SQL, METRICS_SQL
 from .q_venue import _BOTH, dictionary, venue_names
 
@@ -55,3 +59,91 @@ def shadow_run_report(spark, sf_dir):
     rows = R.relative_metrics(inventory(spark, sf_dir))
     report = shadow.shadow_run(rows, _ruled, scratch_path(spark, "shadow"), "lot", "1", _MACRO, _MICRO, key=["t_performance_id", "logical_seat_category"])
     return rounded(shadow.report_rows(spark, report))
+
+
+def _multi(spark, sf_dir, text_weight: float = S.TEXT_WEIGHT):
+    """(rows of multi-zone events with their vectors, the space), over the whole inventory."""
+    rows = R.split_flag(metrics(spark, sf_dir)).where("NOT es_monozona")
+    space = S.fit_space(rows, text_weight=text_weight)
+    return S.with_features(rows, space).withColumn("_key", F.concat_ws("-", "t_performance_id", "_row_id")), space
+
+
+@kept(*INVENTORY)
+def families(spark, sf_dir):
+    """Each row of multi-zone events with its cluster by each family."""
+    return materialise(X.four_families(_multi(spark, sf_dir)[0], 5, "_key"), "families")
+
+
+@query()
+def benchmark_families(spark, sf_dir):
+    return rounded(spark.createDataFrame(X.family_table(families(spark, sf_dir), "_key"), X.FAMILY_ROW))
+
+
+@query()
+def family_agreement(spark, sf_dir):
+    return rounded(X.agreement(families(spark, sf_dir), X.FAMILIES))
+
+
+@query()
+def density_clusters(spark, sf_dir):
+    """Density clusters for three shares of the rows as the least size."""
+    return rounded(spark.createDataFrame(X.density_grid(_multi(spark, sf_dir)[0], "_key"), X.DENSITY_ROW))
+
+
+@query()
+def text_weight_sweep(spark, sf_dir):
+    x, space = _multi(spark, sf_dir, 1.0)
+    rows = X.text_weight_sweep(x, space, "_key")
+    return rounded(spark.createDataFrame([(r["name"], r["silhouette"], r["davies_bouldin"], r["calinski_harabasz"], float(r["inertia"])) for r in rows], "text_weight double, silhouette double, davies_bouldin double, calinski_harabasz double, inertia double"), 4)
+
+
+@query()
+def over_clusters(spark, sf_dir):
+    x, space = _multi(spark, sf_dir)
+    return rounded(spark.createDataFrame(X.over_clusters(x, space, "_key"), "k int, label string, n long, share double"))
+
+
+@query()
+def exploration(spark, sf_dir):
+    x, space = _multi(spark, sf_dir)
+    return rounded(spark.createDataFrame(X.candidate_rows(X.explore(x, list(S.MICRO_TAGS), list(space.idf), "_key")), X.CANDIDATE), 4)
+
+
+@kept(*INVENTORY)
+def _arms(spark, sf_dir):
+    x, space = _multi(spark, sf_dir)
+    rows, labelled = X.ablation(x, space, "_key")
+    return rows, materialise(labelled, "arms")
+
+
+@query()
+def ablation(spark, sf_dir):
+    return rounded(spark.createDataFrame([(r["name"], r["dimensions"], r["silhouette"], r["davies_bouldin"], r["calinski_harabasz"], float(r["inertia"])) for r in _arms(spark, sf_dir)[0]], "arm string, dimensions int, silhouette double, davies_bouldin double, calinski_harabasz double, inertia double"), 4)
+
+
+@query()
+def ablation_transitions(spark, sf_dir):
+    labelled = _arms(spark, sf_dir)[1]
+    out = None
+    for a, b in (("base", "full"), ("base", "percentile"), ("percentile", "full")):
+        one = X.transitions(labelled, a, b).select(F.lit(a).alias("from_arm"), F.lit(b).alias("to_arm"), F.col(a).alias("was"), F.col(b).alias("is"), "n", "share")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+#: Labels of two versions: the second's are numbered anew (3 x + 1), and every ninth row has moved on by one.
+_VERSIONS = "v AS (SELECT vec_id, label AS was, CASE WHEN vec_id % 9 = 0 THEN (label + 1) % 10 ELSE label END AS now FROM embeddings)"
+
+
+@query(f"WITH {_VERSIONS} SELECT was, now, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY was), 6) AS share, (SELECT round(avg(CASE WHEN was = now THEN 1.0 ELSE 0.0 END), 6) FROM v) AS match_rate FROM v GROUP BY was, now")
+def version_transitions(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("was"), ((F.when(F.col("vec_id") % 9 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")) * 3 + 1) % 10).alias("new"))
+    x = X.aligned(v, "was", "new", "now")
+    return rounded(X.transitions(x, "was", "now").crossJoin(M.match_rate(x, "was", "now")))  # a single row
+
+
+@query()
+def subspace_weight_sweep(spark, sf_dir):
+    df = predicted(spark, sf_dir).where("arquetipo_demanda LIKE 'VIP%'")
+    rows = X.subspace_weight_sweep(df, S.MICRO_TAGS) if df.limit(1).count() else []
+    return rounded(spark.createDataFrame([(r["weight"], r["k"], float(r["purity"]), float(r["ari"]), bool(r["passes"])) for r in rows], "text_weight double, k int, purity double, ari double, passes boolean"))
