@@ -139,8 +139,8 @@ def calinski_harabasz(df: DataFrame, cluster: str, vector: str = "features") ->
 
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows by a hash of the key: the same rows in every run, a bounded top-k, no full sort."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """n rows by a hash of the seed and the key as text: the same rows in every run and every engine, a bounded top-k, no full sort."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def silhouette(df: DataFrame, cluster: str, key: str, vector: str = "features", sample: int = 2000, seed: int = 42) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -214,10 +216,24 @@ def archetype_summary(spark, sf_dir):
     return rounded(g.crossJoin(g.agg(F.sum("n").alias("t"))).withColumn("pct", 100 * F.col("n") / F.col("t")).drop("t"))
 
 
-@query()
+_KS = (3, 4, 5, 6, 7)
+_PARTS_SQL = f"""{VEC_SQL}, lk AS (SELECT t.k, vec_id, vec_id % t.k AS c, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vec, (VALUES {', '.join(f'({k})' for k in _KS)}) t(k)), ck AS (SELECT k, c, i, avg(x) AS m FROM lk GROUP BY 1, 2, 3),
+d AS (SELECT lk.k, lk.c, vec_id, sum((x - m) * (x - m)) AS d FROM lk JOIN ck ON lk.k = ck.k AND lk.c = ck.c AND lk.i = ck.i GROUP BY 1, 2, 3), s AS (SELECT k, c, avg(sqrt(d)) AS s FROM d GROUP BY 1, 2), inertia AS (SELECT k, sum(d) AS inertia FROM d GROUP BY 1),
+p AS (SELECT a.k, a.c AS i, b.c AS j, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM ck a JOIN ck b ON a.k = b.k AND a.i = b.i AND a.c <> b.c GROUP BY 1, 2, 3),
+db AS (SELECT k, avg(r) AS db FROM (SELECT p.k, p.i, max((x.s + y.s) / p.d) AS r FROM p JOIN s x ON x.k = p.k AND x.c = p.i JOIN s y ON y.k = p.k AND y.c = p.j GROUP BY 1, 2) GROUP BY k)"""
+
+
+@query(f"""WITH {_PARTS_SQL}, b AS (SELECT k, inertia, db, max(k) OVER () - min(k) OVER () AS dx, last_value(inertia) OVER w - first_value(inertia) OVER w AS dy, inertia - first_value(inertia) OVER w AS y, k - min(k) OVER () AS x FROM inertia JOIN db USING (k) WINDOW w AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+f AS (SELECT *, abs(dx * y - dy * x) / (sqrt(dx * dx + dy * dy) + 1e-9) AS far FROM b) SELECT k, round(inertia, 6) AS inertia, round(db, 6) AS davies_bouldin, round(far, 6) AS distance, round((far - min(far) OVER ()) / (max(far) OVER () - min(far) OVER () + 1e-8) + (max(db) OVER () - db) / (max(db) OVER () - min(db) OVER () + 1e-8), 4) AS score FROM f""")
 def elbow_score(spark, sf_dir):
-    rows = M.elbow_scores([(3, 32361.5, 1.62), (4, 28100.0, 1.55), (5, 25000.0, 1.48), (6, 23900.0, 1.50), (7, 22800.0, 1.53)])
-    return rounded(spark.createDataFrame(rows, "k int, inertia double, davies_bouldin double, distance double, score double"))
+    """Scores of partitions by the id's remainder."""
+    v, rows = vectors(spark, sf_dir), []
+    for k in _KS:
+        x = v.withColumn("part", F.col("vec_id") % k)
+        within = x.join(M.centroids(x, "part"), "part").agg(F.sum(M.squared_distance(F.col("features"), F.col("centroid")))).first()[0]
+        rows.append((k, within, M.davies_bouldin(x, "part").first()[0]))
+    out = rounded(spark.createDataFrame(M.elbow_scores(rows), "k int, inertia double, davies_bouldin double, distance double, score double"))
+    return out.withColumn("score", F.round("score", 4))
 
 
 @query()
@@ -245,9 +261,14 @@ def mixture_sweep(spark, sf_dir):
     return rounded(spark.createDataFrame([(r["k"], float(r["log_likelihood"]), float(r["bic"]), float(r["aic"])) for r in rows], "k int, log_likelihood double, bic double, aic double"))
 
 
-@query()
+@query(f"""WITH {VEC_SQL}, l AS (SELECT label, other, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vec), a AS (SELECT label AS r, i, avg(x) AS m FROM l WHERE label < 4 GROUP BY 1, 2), b AS (SELECT other AS c, i, avg(x) AS m FROM l WHERE other < 3 GROUP BY 1, 2),
+c AS (SELECT r, c, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM a JOIN b USING (i) GROUP BY 1, 2), best AS (SELECT x.r AS r0, y.r AS r1, z.r AS r2 FROM c x, c y, c z WHERE x.c = 0 AND y.c = 1 AND z.c = 2 AND x.r <> y.r AND x.r <> z.r AND y.r <> z.r ORDER BY x.d + y.d + z.d LIMIT 1)
+SELECT CAST(r AS INT) AS row, CAST(CASE r WHEN r0 THEN 0 WHEN r1 THEN 1 WHEN r2 THEN 2 ELSE -1 END AS INT) AS col FROM (SELECT DISTINCT r FROM c), best""")
 def archetype_assignment(spark, sf_dir):
-    cost = [[1.0, 2.0, 9.0], [1.1, 5.0, 4.0], [3.0, 1.2, 0.9], [2.0, 2.0, 2.0]]
+    """Means of four labels matched with means of three groups by least total distance; one label is left over."""
+    v = vectors(spark, sf_dir)
+    means = lambda c, n: [r["centroid"] for r in M.centroids(v.where(F.col(c) < n), c).orderBy(c).collect()]  # noqa: E731  a handful
+    cost = [[math.dist(a, b) for b in means("other", 3)] for a in means("label", 4)]
     return spark.createDataFrame([(i, j) for i, j in enumerate(K.assign_one_to_one(cost))], "row int, col int")
 
 
@@ -300,13 +321,25 @@ def subspace_select_k(spark, sf_dir):
     return spark.createDataFrame([(r["k"], float(r["purity"]), float(r["ari"]), bool(r["degenerate"]), bool(r["passes"]), r["k"] == best) for r in rows], "k int, purity double, ari double, degenerate boolean, passes boolean, chosen boolean")
 
 
-@query()
+def _pure_sql(name: str, cluster: str) -> str:
+    best = lambda xs: "list_max([" + ", ".join(f"{{'share': {x}, 'pos': {-i}}}" for i, x in enumerate(xs)) + "])"
+    terms = [f"avg(CASE WHEN list_contains(string_split(lower(texto_limpio), ' '), '{t}') THEN 1.0 ELSE 0.0 END)" for t in _PTERMS]
+    return f"{name}_g AS (SELECT {cluster} AS cluster, count(*) AS n, {best([f'avg({t})' for t in S.MICRO_TAGS])} AS tag, {best(terms)} AS term FROM tagged GROUP BY 1), {name} AS (SELECT sum(n * greatest(tag.share, term.share)) / sum(n) AS pure FROM {name}_g)"
+
+
+_TAG_KEY = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {t} > 0 THEN '{t}' ELSE '' END" for t in S.MICRO_TAGS) + "], lambda x: x <> ''), '+')"
+
+
+@query(f"""WITH {TAGGED_SQL}, {_pure_sql("present", "dn_quota % 4")}, {_pure_sql("best", _TAG_KEY)}, s AS (SELECT {_TAG_KEY} <> '' AS t, list_has_any(string_split(lower(texto_limpio), ' '), {_PTERMS}) AS w FROM tagged),
+a AS (SELECT avg(CASE WHEN t THEN 1.0 ELSE 0.0 END) AS with_tag, avg(CASE WHEN w THEN 1.0 ELSE 0.0 END) AS with_term, avg(CASE WHEN t OR w THEN 1.0 ELSE 0.0 END) AS with_either FROM s)
+SELECT round(with_tag, 6) AS with_tag, round(with_term, 6) AS with_term, round(with_either, 6) AS with_either, round(present.pure, 6) AS present, round(best.pure, 6) AS oracle,
+ CASE WHEN with_either < 0.5 THEN 'insufficient_signal' WHEN best.pure < 0.85 THEN 'space_limit' WHEN present.pure < 0.85 THEN 'improvable' ELSE 'sound' END AS verdict FROM a, present, best""")
 def subspace_diagnosis(spark, sf_dir):
     df = T.with_text_features(inventory(spark, sf_dir)).withColumn("micro_cluster_id", F.col("dn_quota") % 4)
     return rounded(H.diagnose_subspace(df, list(S.MICRO_TAGS), _PTERMS))
 
 
-@query()
+@query(f"WITH {_TERMS_SQL}, c AS (SELECT seat, term, count(*) * any_value(idf) AS x FROM g JOIN top USING (term) GROUP BY 1, 2), n AS (SELECT seat, sqrt(sum(x * x)) AS n FROM c GROUP BY 1), per AS (SELECT length(seat) % 3 AS c, count(*) AS rows FROM seats GROUP BY 1), w AS (SELECT length(seat) % 3 AS c, term, sum(x / n) AS s FROM c JOIN n USING (seat) GROUP BY 1, 2), r AS (SELECT c, term, s / rows AS weight, row_number() OVER (PARTITION BY c ORDER BY round(s / rows, 9) DESC, term) AS rank FROM w JOIN per USING (c)) SELECT CAST(c AS INT) AS c, term, round(weight, 6) AS weight, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
 def top_terms_per_cluster(spark, sf_dir):
     df = _clean_seats(spark, sf_dir).withColumn("c", F.pmod(F.length("seat"), F.lit(3)))
     return rounded(H.top_terms(df, "c", S.vocabulary(df), 3))

@@ -204,7 +204,21 @@ def event_strata(spark, sf_dir):
     return S.event_summary(inventory(spark, sf_dir)).groupBy(S.stratum(F.col("performance_quota"), _STRATA).alias("estrato")).agg(F.count("*").alias("events"))
 
 
-@query()
+def _pick_sql() -> str:
+    """The picks one after another, each without the sites of those before."""
+    out, low = [], 0.0
+    for i, (name, top) in enumerate(_STRATA):
+        free = "TRUE" if not i else "site NOT IN (" + " UNION ALL ".join(f"SELECT site FROM p{j}" for j in range(i)) + ")"
+        middle = (low + (top if top is not None else 30000)) / 2
+        out.append(f"p{i} AS (SELECT *, '{name}' AS estrato_objetivo FROM pool ORDER BY CASE WHEN {free} AND estrato_real = '{name}' THEN 0 WHEN {free} THEN 1 ELSE 2 END, CASE WHEN {free} AND estrato_real = '{name}' THEN -n_localidades ELSE abs(performance_quota - {middle}) END, t_performance_id LIMIT 1)")
+        low = top or low
+    return ", ".join(out)
+
+
+_REAL = "CASE " + " ".join(f"WHEN performance_quota <= {t} THEN '{n}'" for n, t in _STRATA if t is not None) + f" ELSE '{_STRATA[-1][0]}' END"
+
+
+@query(f"WITH {INV_SQL}, e AS (SELECT t_performance_id, min(product) AS product, min(site) AS site, CAST(max(performance_quota) AS DOUBLE) AS performance_quota, CAST(count(DISTINCT logical_seat_category) AS INT) AS n_localidades FROM inv GROUP BY 1), pool AS (SELECT *, {_REAL} AS estrato_real FROM e WHERE n_localidades >= 4), {_pick_sql()} " + " UNION ALL ".join(f"SELECT t_performance_id, product, site, performance_quota, n_localidades, estrato_objetivo, estrato_real FROM p{i}" for i in range(len(_STRATA))))
 def event_strata_pick(spark, sf_dir):
     return S.pick_strata(S.event_summary(inventory(spark, sf_dir)), strata=_STRATA)
 
@@ -238,7 +252,7 @@ def set_union(spark, sf_dir):
     return word(1).union(word(2)).distinct()
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 1000")
 def hash_sample(spark, sf_dir):
     from ..operators.metrics import hash_sample as sample
 

@@ -13,8 +13,8 @@ from ..operators import percentile as P
 from ..operators import relative as R
 from ..operators import venue as V
 from .common import Registry, rounded
-from .domain import INV_SQL, TYPED_SQL, inventory, lookup, table
-from .q_inventory import METRICS_SQL
+from .domain import INV_SQL, KEPT, TYPED_SQL, inventory, lookup, table
+from .q_inventory import METRICS, METRICS_SQL, RULES_SQL
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -163,10 +163,10 @@ def corr_matrix(spark, sf_dir):
     return rounded(M.correlations(P.type_percentile(R.relative_metrics(typed(spark, sf_dir))), _CORRELATED), 5)
 
 
-@query(f"WITH {_MEANS} SELECT type_site, count(mean_price) AS conteo, count(mean_price) < 50 OR type_site = 'desconocido' AS es_cold_start, round(quantile_cont(mean_price, 0.0), 3) AS q0, round(quantile_cont(mean_price, 0.25), 3) AS q25, round(quantile_cont(mean_price, 0.5), 3) AS q50, round(quantile_cont(mean_price, 1.0), 3) AS q100 FROM m GROUP BY type_site")
+@query(f"WITH {_MEANS} SELECT type_site, count(mean_price) AS conteo, count(mean_price) < 50 OR type_site = 'desconocido' AS es_cold_start, " + ", ".join(f"round(quantile_cont(mean_price, {i / 100}) + 1e-7, 3) AS q{i}" for i in range(101)) + " FROM m GROUP BY type_site")
 def type_percentile_reference(spark, sf_dir):
     r = P.percentile_reference(typed(spark, sf_dir))
-    return rounded(r.select("type_site", "conteo", "es_cold_start", *[F.col("bin_edges")[i].alias(f"q{i}") for i in (0, 25, 50, 100)]), 3)
+    return rounded(r.select("type_site", "conteo", "es_cold_start", *[(F.col("bin_edges")[i] + 1e-7).alias(f"q{i}") for i in range(101)]), 3)  # halves are rounded alike
 
 
 @query(f"""WITH {_MEANS}, u AS (SELECT type_site, v, CAST(sum(k) AS BIGINT) AS k FROM (SELECT DISTINCT type_site, CAST(coalesce(med_base_unit_amt_itx, 0.0) AS DOUBLE) AS v, 0 AS k FROM typed UNION ALL SELECT type_site, mean_price, count(*) FROM m WHERE mean_price IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2),
@@ -238,10 +238,20 @@ def ngrams_1_2(spark, sf_dir):
     return seats(spark, sf_dir).select(F.explode(T.terms(T.clean_seat_name(F.col("seat")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query()
+def _on_clean(text: str) -> str:
+    """SQL over the inventory as SQL over its clean rows."""
+    return text.removeprefix(INV_SQL).replace("FROM inv", "FROM cln").replace("inv.", "cln.")
+
+
+_ENRICHED = f"""WITH {RULES_SQL}, cln AS (SELECT {', '.join(KEPT)} FROM tagged WHERE r IS NULL){_on_clean(METRICS_SQL)}{_on_clean(_PCT_SQL)}{_on_clean(SEATS_SQL)}, tags AS (SELECT seat, texto_limpio, {_TAGS_SQL} FROM clean)
+SELECT {', '.join(f'm.{c}' for c in KEPT)}, t.type_site, t.flag_site_desconocido, {', '.join(f'round(CAST(m.{c} AS DOUBLE), 6) + 0.0 AS {c}' for c in METRICS)}, round(k.p, 6) AS percentil_precio_absoluto_dentro_tipo, k.cold AS flag_cold_start_tipo, tags.* EXCLUDE (seat)
+FROM metrics m JOIN typed t USING (t_performance_id, _row_id) JOIN k ON k.site = t.site AND k.logical_seat_category = t.logical_seat_category AND k.type_site = t.type_site JOIN tags ON tags.seat = m.logical_seat_category"""
+
+
+@query(_ENRICHED)
 def enriched_rows(spark, sf_dir):
     """The whole enrichment: filter, type, metrics, percentile, text."""
     from ..operators.quality import clean_rows
 
     rows = V.venue_types(clean_rows(inventory(spark, sf_dir)), lookup(spark, sf_dir))
-    return T.with_text_features(P.type_percentile(R.relative_metrics(rows)))
+    return rounded(T.with_text_features(P.type_percentile(R.relative_metrics(rows))).select(*KEPT, "type_site", "flag_site_desconocido", *METRICS, "percentil_precio_absoluto_dentro_tipo", "flag_cold_start_tipo", "texto_limpio", *T.TAGS))
