@@ -255,12 +255,6 @@ def k_sweep(spark, sf_dir):
     return rounded(spark.createDataFrame([(r["k"], float(r["inertia"]), float(r["silhouette"]), float(r["davies_bouldin"]), float(r["calinski_harabasz"])) for r in rows], "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double"))
 
 
-@query()
-def mixture_sweep(spark, sf_dir):
-    rows = K.sweep_mixture(vectors(spark, sf_dir))
-    return rounded(spark.createDataFrame([(r["k"], float(r["log_likelihood"]), float(r["bic"]), float(r["aic"])) for r in rows], "k int, log_likelihood double, bic double, aic double"))
-
-
 @query(f"""WITH {VEC_SQL}, l AS (SELECT label, other, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM vec), a AS (SELECT label AS r, i, avg(x) AS m FROM l WHERE label < 4 GROUP BY 1, 2), b AS (SELECT other AS c, i, avg(x) AS m FROM l WHERE other < 3 GROUP BY 1, 2),
 c AS (SELECT r, c, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM a JOIN b USING (i) GROUP BY 1, 2), best AS (SELECT x.r AS r0, y.r AS r1, z.r AS r2 FROM c x, c y, c z WHERE x.c = 0 AND y.c = 1 AND z.c = 2 AND x.r <> y.r AND x.r <> z.r AND y.r <> z.r ORDER BY x.d + y.d + z.d LIMIT 1)
 SELECT CAST(r AS INT) AS row, CAST(CASE r WHEN r0 THEN 0 WHEN r1 THEN 1 WHEN r2 THEN 2 ELSE -1 END AS INT) AS col FROM (SELECT DISTINCT r FROM c), best""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import VENUE_TYPES
 from ..operators import explore as X
 from ..operators import metrics as M
+from ..operators import neighbours as N
 from ..operators import relative as R
 from ..operators import space as S
 from ..operators import venue as V
@@ -14,7 +15,7 @@ from ..sources import external, shadow
 from ..sources.scratch import materialise, scratch_path
 from .common import INVENTORY, Registry, kept, rounded
 from .domain import inventory, table
-from .q_cluster import metrics, predicted
+from .q_cluster import metrics, predicted, vectors
 from .q_inventory import CHECKS_SQL, METRICS_SQL
 from .q_venue import _BOTH, dictionary, venue_names
 
@@ -147,3 +148,38 @@ def subspace_weight_sweep(spark, sf_dir):
     df = predicted(spark, sf_dir).where("arquetipo_demanda LIKE 'VIP%'")
     rows = X.subspace_weight_sweep(df, S.MICRO_TAGS) if df.limit(1).count() else []
     return rounded(spark.createDataFrame([(r["weight"], r["k"], float(r["purity"]), float(r["ari"]), bool(r["passes"])) for r in rows], "text_weight double, k int, purity double, ari double, passes boolean"))
+
+
+@query()
+def projection_sweep(spark, sf_dir):
+    return rounded(spark.createDataFrame(X.projection_sweep(_multi(spark, sf_dir)[0], "_key"), X.PROJECTION))
+
+
+@query()
+def mixture_sweep(spark, sf_dir):
+    """Full mixtures of 8 to 16 and diagonal ones of 4 to 10 components, three starts each."""
+    x = _multi(spark, sf_dir)[0]
+    rows = [("full", r) for r in X.mixture_sweep(x, "_key", (8, 10, 12, 14, 16))] + [("diag", r) for r in X.mixture_sweep(x, "_key", (4, 5, 6, 7, 8, 9, 10), False)]
+    return rounded(spark.createDataFrame([(kind, r["k"], r["log_likelihood"], r["bic"], r["aic"]) for kind, r in rows], "covariance string, k int, log_likelihood double, bic double, aic double"), 1)
+
+
+@query()
+def prototype_grid(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumn("cat", F.col("label").cast("string"))
+    return rounded(spark.createDataFrame(X.prototype_grid(v, "features", ["cat"], "vec_id"), "gamma double, k int, clusters long, silhouette double, davies_bouldin double"))
+
+
+@query()
+def neighbour_recall(spark, sf_dir):
+    """Share of the exact neighbours of every hundredth row that the improved lists hold."""
+    v = vectors(spark, sf_dir)
+    graph = N.neighbour_graph(v, key="vec_id")
+    asked = [r[0] for r in v.where("vec_id % 100 = 0").select("vec_id").collect()]  # the stated rows
+    exact = N.exact_neighbours(v, asked, key="vec_id")
+    return rounded(exact.join(graph.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").groupBy("a").agg(F.count("*").alias("k"), F.count("hit").alias("found")).agg(F.count("*").alias("rows"), (F.sum("found") / F.sum("k")).alias("recall")))
+
+
+@query()
+def spectral_layout(spark, sf_dir):
+    layout = N.spectral_layout(N.neighbour_graph(vectors(spark, sf_dir), key="vec_id"), 2)
+    return rounded(layout.select("id", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y")))
