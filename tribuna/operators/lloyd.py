@@ -113,9 +113,10 @@ def _sums(blocks: DataFrame, starts: list[Start]) -> list[tuple[np.ndarray, np.n
                 own = s.rows(ids, x)
                 if len(own):
                     at, d = nearest(own, s.centers)
-                    t[0] += np.bincount(at, minlength=s.k)
-                    for j in range(own.shape[1]):
-                        t[1][:, j] += np.bincount(at, own[:, j], s.k)
+                    of = np.zeros((s.k, len(own)))
+                    of[at, np.arange(len(own))] = 1.0
+                    t[0] += of.sum(1)
+                    t[1] += of @ own
                     t[2] += d.sum()
         flat = np.concatenate([np.concatenate([n, m.ravel(), [c]]) for n, m, c in total])
         yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["s"])
