@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, join_lookup, materialise
+from .common import SLICE_ROWS, join_lookup, materialise, scratch_path
 
 LONGEST, LEAST, SUBSUMED, TOP = 5, 100, 100, 2000
 #: Bits of the set of runs that may be frequent, at most (2^28 bits are 32 MB), and bits for each run in it.
@@ -263,10 +263,17 @@ def _hash_rows(slices: DataFrame, of) -> DataFrame:
     return slices.mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
 
 
+def _written_slices(rows: DataFrame) -> DataFrame:
+    """Slices as a table of small row groups (a row is some megabytes), packed hard: they are read once a pass."""
+    path = scratch_path(rows.sparkSession, "phrases-slices")
+    rows.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).option("parquet.enable.dictionary", "false").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """lang, words, phrase, f of all phrases of 1 to `longest` words with f >= least; words 0 is the number of all words of a language."""
     context = docs.sparkSession.sparkContext
-    slices = materialise(docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(_sliced, "lang string, names binary, words binary"), "phrases-slices")
+    slices = _written_slices(docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(_sliced, "lang string, names binary, words binary"))
 
     one = materialise(_phrase_rows(slices, Counted.single).where((F.col("f") >= least) | (F.col("words") == 0)), "phrases-words")
     if longest < 2:
