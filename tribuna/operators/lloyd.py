@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialise
 
 BLOCK, SEEDING, ITERATIONS, TOLERANCE = 4096, 4096, 300, 1e-4
+#: Passes of refits on samples, at most.
+REFIT_PASSES = 50
 
 
 @dataclass
@@ -292,7 +294,7 @@ def rand_index(cells: dict[tuple[int, int], int]) -> float:
 
 def stability(blocks: DataFrame, whole: dict[int, np.ndarray], rounds: int = 20, share: int = 800, seed: int = 42) -> dict[int, tuple[float, float]]:
     """k -> (mean, population deviation) of the agreement of refits on samples with the whole fit's clusters; all refits of all k at once."""
-    starts = fit(blocks, [Start(k, seed + r, share) for k in whole for r in range(rounds)])
+    starts = fit(blocks, [Start(k, seed + r, share) for k in whole for r in range(rounds)], REFIT_PASSES)
     out = {}
     for k, centers in whole.items():
         own = [s for s in starts if s.k == k]

@@ -104,12 +104,6 @@ def over_clusters(spark, sf_dir):
     return rounded(spark.createDataFrame(X.over_clusters(x, space, "_key"), "k int, label string, n long, share double"))
 
 
-@query()
-def exploration(spark, sf_dir):
-    x, space = _multi(spark, sf_dir)
-    return rounded(spark.createDataFrame(X.candidate_rows(X.explore(x, list(S.MICRO_TAGS), list(space.idf), "_key")), X.CANDIDATE), 4)
-
-
 @kept(*INVENTORY)
 def _arms(spark, sf_dir):
     x, space = _multi(spark, sf_dir)
