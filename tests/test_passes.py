@@ -75,3 +75,47 @@ def test_names_stand_for_their_rows(spark):
             map(tuple, H.catalogue(near, "cluster", ["tag_palco", "tag_vip"], ["norte", "vip"], rollup="texto_limpio").collect()), key=repr
         )
     assert names.count() == 6
+
+
+def test_silhouette_of_more_rows_than_a_sample(spark):
+    x, _ = points(spark, 2300)
+    rows = [(i, i % 3, v.tolist()) for i, v in enumerate(x)] + [(9001, None, [0.0] * 4), (9002, 1, None), (9003, 7, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, label long, features array<double>")
+    got = {r.label: (r.n, r.silhouette) for r in M.silhouette_of_all(df, "label", "id").collect()}
+    y = np.concatenate([x, [[1.0] * 4]])
+    label = np.array([i % 3 for i in range(2300)] + [3])
+    d = np.sqrt(((y[:, None] - y) ** 2).sum(2))
+    sums = np.stack([d[:, label == c].sum(1) for c in range(4)], 1)
+    n = np.bincount(label)
+    at = np.arange(len(y))
+    a, other = sums[at, label] / np.maximum(n[label] - 1, 1), sums / n
+    other[at, label] = np.inf
+    b = other.min(1)
+    s = np.where(n[label] > 1, (b - a) / np.maximum(a, b), 0.0)
+    assert {k: v[0] for k, v in got.items()} == {0: 767, 1: 768, 2: 766, 7: 1, None: 1}
+    for c, name in enumerate((0, 1, 2, 7)):
+        assert np.isclose(got[name][1], s[label == c].sum() / got[name][0])
+    assert got[None][1] == 0.0
+
+
+def test_ids_of_cards_pass_64_bits(spark, monkeypatch):
+    from tribuna.plans import q_reports
+
+    row = [(70000000000, 9_000_000, "s", "p", "Palco", 5, 5, 10.0, 1.0, 1.0)]
+    schema = "_row_id long, t_performance_id long, site string, product string, logical_seat_category string, dn_quota long, performance_quota long, med_base_unit_amt_itx double, net_sold_p_qty double, net_sold_c_qty double"
+    monkeypatch.setattr(q_reports, "inventory", lambda *_: spark.createDataFrame(row, schema))
+    assert [int(r.id) for r in q_reports.cluster_representatives(spark, "").collect()] == [9_000_000 * 10**13 + 70000000000]
+
+
+def test_full_mixtures_share_their_products():
+    from tribuna.operators import mixture as X
+
+    rnd = np.random.default_rng(0)
+    x, seen = rnd.normal(size=(400, 5)) @ rnd.normal(size=(5, 5)), rnd.random(400) < 0.8
+    fits = [X.Mixture(k, weights=np.full(k, 1 / k), means=rnd.normal(size=(k, 5)), covariances=np.array([np.cov(x.T) * (c + 0.5) for c in range(k)])) for k in (3, 2)]
+    q = X.quadratic(x)
+    got = X._full_sums(fits, np.concatenate([m.linear() for m in fits]), q, [None, seen.astype(float)])
+    for m, own, flat in zip(fits, (x, x[seen]), got):
+        assert np.allclose(q @ m.linear().T, m.log_terms(x))
+        p, ll = m.posteriors(own)
+        assert np.allclose(flat, np.concatenate([[ll.sum(), len(own)], p.sum(0), (p.T @ own).ravel(), np.array([(own * p[:, c, None]).T @ own for c in range(m.k)]).ravel()]))
