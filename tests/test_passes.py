@@ -119,3 +119,9 @@ def test_full_mixtures_share_their_products():
         assert np.allclose(q @ m.linear().T, m.log_terms(x))
         p, ll = m.posteriors(own)
         assert np.allclose(flat, np.concatenate([[ll.sum(), len(own)], p.sum(0), (p.T @ own).ravel(), np.array([(own * p[:, c, None]).T @ own for c in range(m.k)]).ravel()]))
+
+
+def test_shares_of_a_shadow_run_round_as_sql_does():
+    from tribuna.sources import shadow
+
+    assert [shadow.half_up(x, n) for x, n in ((21.845, 2), (100 * (13107 / 60000), 2), (-0.00005, 4), (2.0, 2), (1e-9, 4))] == [21.85, 21.85, -0.0001, 2.0, 0.0]

@@ -15,6 +15,7 @@ import json
 import math
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -26,6 +27,11 @@ EPS, ALERT, PSI_ALERT, REVIEW, CRITICAL = 1e-4, 0.08, 0.10, 0.10, 0.25
 COLUMNS = ("micro_cluster_id", "label_auto", "arquetipo_demanda", "score_confianza", "es_frontera")
 
 
+def half_up(x: float, digits: int) -> float:
+    """Rounded as SQL rounds: halves of the shortest decimal go away from 0. Python's round would see the binary value just beside it."""
+    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) if math.isfinite(x) else x
+
+
 def identity(lot: str, version: str) -> str:
     """A name for the pair, fit for a folder."""
     return "".join(c if c.isalnum() or c in "-_." else "-" for c in f"{lot}-v{version}")
@@ -52,7 +58,7 @@ def shares_against(observed: dict[str, int], reference: dict[str, float], total:
         p, q = reference[name], observed.get(name, 0) / max(total, 1)
         a, e = max(q, EPS), max(p, EPS)
         out["psi_global"] += (a - e) * math.log(a / e)
-        out["distribution"][name] = {"referencia": round(p, 4), "observado": round(q, 4), "diferencia": round(q - p, 4)}
+        out["distribution"][name] = {"referencia": half_up(p, 4), "observado": half_up(q, 4), "diferencia": half_up(q - p, 4)}
         if abs(q - p) > ALERT:
             out["alertas"].append(f"Desviacion en micro-cluster {name}: {q - p:+.1%}")
     psi = out["psi_global"]
@@ -84,12 +90,12 @@ def shadow_run(
     n = got["n"]
     per = {m: got[f"m_{i}"] for i, m in enumerate(micro)}
     drift = shares_against(per, reference or {m: 1 / len(micro) for m in micro}, n)
-    pct = lambda k: round(100 * k / n, 2) if n else 0.0
+    pct = lambda k: half_up(100 * k / n, 2) if n else 0.0
     report = {
-        "run": name, "version_modelo": version, "total_registros": n, "tasa_frontera_pct": None if got["frontera"] is None else round(100 * got["frontera"], 2), "confianza_media": None if got["confianza"] is None else round(got["confianza"], 4),
+        "run": name, "version_modelo": version, "total_registros": n, "tasa_frontera_pct": None if got["frontera"] is None else half_up(100 * got["frontera"], 2), "confianza_media": None if got["confianza"] is None else half_up(got["confianza"], 4),
         "macro": {a: {"n": got[f"a_{i}"], "pct": pct(got[f"a_{i}"])} for i, a in enumerate(archetypes)} | {"others": {"n": got["a_others"], "pct": pct(got["a_others"])}},
         "micro": {m: {"n": k, "pct": pct(k)} for m, k in per.items()} | {"others": {"n": got["m_others"], "pct": pct(got["m_others"])}},
-        "checks": {r["check"]: r["value"] for r in input_checks(df, expected_rows, key).collect()}, "psi_global": round(drift["psi_global"], 4), "estado_drift": drift["estado"], "umbral_psi": psi_alert,
+        "checks": {r["check"]: r["value"] for r in input_checks(df, expected_rows, key).collect()}, "psi_global": half_up(drift["psi_global"], 4), "estado_drift": drift["estado"], "umbral_psi": psi_alert,
         "alerta_activa": drift["psi_global"] >= psi_alert or bool(drift["alertas"]), "alertas": drift["alertas"], "desviaciones": drift["distribution"],
     }
     write_document(spark, report | {"fecha_ejecucion": began.isoformat()}, f"{folder}/report")
