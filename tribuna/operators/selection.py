@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+
 #: Strata of event quota, by upper bound.
 STRATA = (("micro", 500), ("pequeno", 2000), ("mediano", 8000), ("grande", 20000), ("estadio", None))
 
@@ -34,7 +36,8 @@ def event_summary(df: DataFrame) -> DataFrame:
 def pick_strata(events: DataFrame, least_names: int = 4, preferred: dict[str, int] | None = None, strata=STRATA) -> DataFrame:
     """One event per stratum with distinct sites: a preferred one, the one with most names, or the nearest in quota. Five strata
     give five bounded look-ups; each reads one row."""
-    pool, used, rows = events.where(F.col("n_localidades") >= least_names).withColumn("estrato_real", stratum(F.col("performance_quota"), strata)), [], []
+    pool = materialise(events.where(F.col("n_localidades") >= least_names).withColumn("estrato_real", stratum(F.col("performance_quota"), strata)), "pool")  # read for each
+    used, rows = [], []
     low = 0.0
     for name, top in strata:
         free = pool.where(~F.col("site").isin(used)) if used else pool
