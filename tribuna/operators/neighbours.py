@@ -166,7 +166,8 @@ def spectral_layout(graph: DataFrame, dims: int = 2, steps: int = 30, seed: int
     spread = graph.agg(F.avg("d").alias("s")).first()["s"] or 1.0
     weight = F.exp(-F.col("d") * F.col("d") / (2 * spread * spread))
     edges = graph.select("a", "b", weight.alias("w")).unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), weight.alias("w")))
-    edges = materialise(edges.groupBy("a", "b").agg(F.max("w").alias("w")), "edges")
+    # dealt by b once and kept: a step sends the rows' places to the edges, not the edges
+    edges = edges.groupBy("a", "b").agg(F.max("w").alias("w")).repartition(int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b").persist()
     degree = edges.groupBy("a").agg(F.sum("w").alias("g"))
     start = lambda i: F.xxhash64(F.lit(seed + i), "a") / F.lit(2.0**63)
     state = materialise(degree.select(F.col("a").alias("id"), "g", F.array(*[start(i) for i in range(dims)]).alias("x")), "layout")
@@ -175,6 +176,7 @@ def spectral_layout(graph: DataFrame, dims: int = 2, steps: int = 30, seed: int
         if step < steps - 1:
             moved = edges.join(state.select(F.col("id").alias("b"), "x"), "b").select("a", "w", *[(F.col("w") * F.col("x")[i]).alias(f"x{i}") for i in range(dims)]).groupBy("a").agg(*[F.sum(f"x{i}").alias(f"x{i}") for i in range(dims)])
             state = state.join(moved, state["id"] == moved["a"]).select("id", "g", F.array(*[(F.col("x")[i] + F.col(f"x{i}") / F.col("g")) / 2 for i in range(dims)]).alias("x"))
+    edges.unpersist()
     return state.select("id", F.col("x").alias("xy"))
 
 
